@@ -72,3 +72,25 @@ def node_box(
     x0, y0 = cell_col(patch, side) * size, cell_row(patch, side) * size
     full = F.lit(float(resolution))
     return {"x0": x0 / full, "y0": y0 / full, "x1": (x0 + size) / full, "y1": (y0 + size) / full}
+
+
+def level_start(lod: str | Column, sides: Sequence[int] = SIDES) -> Column:
+    """Number of cells on all coarser levels: the index of the first node of a level."""
+    starts = [sum(s * s for s in sides[:i]) for i in range(len(sides))]
+    return by_level(lod, starts).cast("bigint")
+
+
+def node_index(lod: str | Column, patch: str | Column, sides: Sequence[int] = SIDES) -> Column:
+    """Index of a node in the full tree, breadth first."""
+    return level_start(lod, sides) + interleaved(lod, patch, sides)
+
+
+def ancestor_rank(lod: str | Column, rank: str | Column, level: int) -> Column:
+    """Rank on ``level`` of the ancestor of a node, NULL for nodes above that level.
+
+    Ranks are breadth-first ranks inside a level, so an ancestor's rank is the node's rank
+    without its last two bits per level climbed.
+    """
+    lod, rank = _as_col(lod), _as_col(rank)
+    steps = F.greatest(lod - level, F.lit(0)).cast("int")
+    return F.when(lod >= level, F.floor(rank / F.pow(F.lit(4.0), steps)))

@@ -1 +1,411 @@
-def probabilistic_trees(*a, **k): raise NotImplementedError
+"""Quadtrees as flat node tables ``(tree_id, lod, patch)``.
+
+All trees are processed together. A tree has at most as many nodes as the full tree
+(1365 on six levels), so a window or a group per ``tree_id`` is bounded whatever the
+number of trees; the only key that grows with the data is the tree itself.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable, Iterator, Sequence
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from tesserae.functions import geometry as geo
+from tesserae.functions.core import uniform
+
+SIDES = geo.SIDES
+
+
+def _with_children(nodes: DataFrame, grow: Column, sides: Sequence[int]) -> DataFrame:
+    """Every node, followed by its four children where ``grow`` holds. One explode, no shuffle."""
+    lod = F.col("lod")
+    below = F.transform(
+        geo.child_patches("lod", "patch", sides),
+        lambda p: F.struct((lod + 1).alias("lod"), p.alias("patch")),
+    )
+    own = F.array(F.struct(lod.alias("lod"), F.col("patch").alias("patch")))
+    both = F.when(grow, F.concat(own, below)).otherwise(own)
+    keep = [c for c in nodes.columns if c not in ("lod", "patch")]
+    return nodes.select(*keep, F.explode(both).alias("n")).select(*keep, "n.lod", "n.patch")
+
+
+def _roots(tree_ids: DataFrame) -> DataFrame:
+    zero = F.lit(0).cast("bigint")
+    return tree_ids.withColumn("lod", zero).withColumn("patch", zero)
+
+
+def complete_trees(
+    tree_ids: DataFrame, depth: int | None = None, sides: Sequence[int] = SIDES
+) -> DataFrame:
+    """All nodes of the full tree down to ``depth`` for every tree id."""
+    last = len(sides) - 1 if depth is None else min(depth, len(sides) - 1)
+    nodes = _roots(tree_ids)
+    for lod in range(last):
+        nodes = _with_children(nodes, F.col("lod") == lod, sides)
+    return nodes
+
+
+def probabilistic_trees(
+    tree_ids: DataFrame,
+    guaranteed_depth: int,
+    probabilities: Sequence[float],
+    sides: Sequence[int] = SIDES,
+    draw: Column | None = None,
+) -> DataFrame:
+    """Random trees: full down to ``guaranteed_depth``, then grown with a probability per level.
+
+    A level without a probability is not grown. The draw depends only on the node, so the
+    whole growth is one pass over the tree ids without any shuffle.
+    """
+    draw = uniform("tree_id", "lod", "patch") if draw is None else draw
+    depth = min(guaranteed_depth, len(sides) - 1)
+    nodes = complete_trees(tree_ids, depth, sides)
+    for i, p in enumerate(probabilities):
+        lod = depth + i
+        if lod >= len(sides) - 1:
+            break
+        nodes = _with_children(nodes, (F.col("lod") == lod) & (draw < p), sides)
+    return nodes
+
+
+def random_size_trees(
+    tree_ids: DataFrame,
+    min_internal: int,
+    max_internal: int,
+    guaranteed_depth: int = 0,
+    sides: Sequence[int] = SIDES,
+    seed: int = 0,
+) -> DataFrame:
+    """Random trees with a uniformly drawn number of internal nodes.
+
+    Growth splits a uniformly chosen splittable leaf until the number is reached, which is
+    sequential inside one tree and independent between trees: one task grows the trees of
+    its own rows.
+    """
+    low = max(min_internal, (4**guaranteed_depth - 1) // 3)
+    high = max(low, max_internal)
+    last = len(sides) - 1
+    forced = min(guaranteed_depth, last)
+
+    def grow(tree_id: int) -> tuple[list[int], list[int]]:
+        rng = np.random.default_rng([seed, int(tree_id)])
+        wanted = int(rng.integers(low, high + 1))
+        lods, patches, leaves = [0], [0], [(0, 0)]
+        internal = 0
+        while leaves and (internal < wanted or leaves[0][0] < forced):
+            # Leaves of the guaranteed levels come first and are split in order.
+            pick = 0 if leaves[0][0] < forced else int(rng.integers(len(leaves)))
+            lod, patch = leaves[pick]
+            if pick:
+                leaves[pick] = leaves[-1]
+                leaves.pop()
+            elif lod < forced:
+                leaves.pop(0)
+            else:
+                leaves[0] = leaves[-1]
+                leaves.pop()
+            internal += 1
+            row, col = divmod(patch, sides[lod])
+            side = sides[lod + 1]
+            for down in (0, 1):
+                for right in (0, 1):
+                    child = (2 * row + down) * side + 2 * col + right
+                    lods.append(lod + 1)
+                    patches.append(child)
+                    if lod + 1 < last:
+                        leaves.append((lod + 1, child))
+        return lods, patches
+
+    def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for tree_id in batch["tree_id"]:
+                lods, patches = grow(tree_id)
+                yield pd.DataFrame({"tree_id": tree_id, "lod": lods, "patch": patches})
+
+    return tree_ids.select("tree_id").mapInPandas(task, "tree_id bigint, lod bigint, patch bigint")
+
+
+def copy_to_depth(nodes: DataFrame, depth: int) -> DataFrame:
+    return nodes.filter(F.col("lod") <= depth)
+
+
+def nodes_at_level(nodes: DataFrame, level: int) -> DataFrame:
+    return nodes.filter(F.col("lod") == level)
+
+
+def ordered(nodes: DataFrame, sides: Sequence[int] = SIDES) -> DataFrame:
+    """Add ``idx`` (index in the full tree), ``pos`` (0-based place in breadth-first order of
+    the tree) and ``level_pos`` (place inside the level)."""
+    rows = nodes.withColumn("idx", geo.node_index("lod", "patch", sides))
+    in_tree = Window.partitionBy("tree_id").orderBy("idx")
+    in_level = Window.partitionBy("tree_id", "lod").orderBy("idx")
+    rows = rows.withColumn("pos", F.row_number().over(in_tree).cast("bigint") - 1)
+    return rows.withColumn("level_pos", F.row_number().over(in_level).cast("bigint") - 1)
+
+
+def _from_ancestors(
+    nodes: DataFrame, level: int, value: Callable[[Column], Column], sides: Sequence[int]
+) -> Column:
+    """Aggregate over the subtree below each node's ancestor on ``level``.
+
+    Rows are already partitioned by tree, and a window over (tree, ancestor) accepts that
+    partitioning, so going through all levels costs one shuffle in total.
+    """
+    rank = geo.interleaved("lod", "patch", sides)
+    window = Window.partitionBy("tree_id", geo.ancestor_rank("lod", rank, level))
+    return value(F.col("lod")).over(window)
+
+
+def reachable(nodes: DataFrame, sides: Sequence[int] = SIDES) -> DataFrame:
+    """Drop orphans: nodes with any missing ancestor."""
+    nodes = nodes.repartition("tree_id")
+    whole = F.lit(True)
+    for level in range(len(sides) - 1):
+        flag = f"_has{level}"
+        there = _from_ancestors(
+            nodes, level, lambda lod, k=level: F.max(F.when(lod == k, 1).otherwise(0)), sides
+        )
+        nodes = nodes.withColumn(flag, there)
+        whole = whole & ((F.col("lod") <= level) | (F.col(flag) == 1))
+    flags = [f"_has{level}" for level in range(len(sides) - 1)]
+    return nodes.filter(whole).drop(*flags)
+
+
+def with_parents(nodes: DataFrame, sides: Sequence[int] = SIDES) -> DataFrame:
+    """Reachable nodes with ``pos`` and ``parent_pos``, the place of the parent (-1 for roots)."""
+    rows = ordered(reachable(nodes, sides), sides).drop("level_pos")
+    parent = F.when(F.col("lod") == 0, F.lit(-1).cast("bigint"))
+    for level in range(len(sides) - 1):
+        name = f"_p{level}"
+        at = _from_ancestors(
+            rows, level, lambda lod, k=level: F.max(F.when(lod == k, F.col("pos"))), sides
+        )
+        rows = rows.withColumn(name, at)
+        parent = parent.when(F.col("lod") == level + 1, F.col(name))
+    names = [f"_p{level}" for level in range(len(sides) - 1)]
+    return rows.withColumn("parent_pos", parent).drop(*names)
+
+
+def marked_candidates(nodes: DataFrame, sides: Sequence[int] = SIDES) -> DataFrame:
+    """(tree_id, lod, patch, idx, status) of present nodes (1) and of absent nodes whose parent
+    is present (0). Every other node of the full tree has status -1 and is not stored."""
+    last = len(sides) - 1
+    down = _with_children(
+        nodes.select("tree_id", "lod", "patch").withColumn("_of", F.col("lod")),
+        F.col("lod") < last,
+        sides,
+    )
+    own = (F.col("lod") == F.col("_of")).cast("bigint")
+    rows = down.groupBy("tree_id", "lod", "patch").agg(F.max(own).alias("status"))
+    return rows.withColumn("idx", geo.node_index("lod", "patch", sides))
+
+
+def dense_status(
+    tree_ids: DataFrame, marked: DataFrame, candidates: bool = True, sides: Sequence[int] = SIDES
+) -> DataFrame:
+    """(tree_id, idx, status) for every node of the full tree, -1 where nothing is stored.
+
+    With ``candidates=False`` only present (1) and absent (-1) are told apart.
+    """
+    total = sum(s * s for s in sides)
+    base = tree_ids.select(
+        "tree_id", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(total - 1).cast("bigint"))).alias("idx")
+    ).withColumn("status", F.lit(-1).cast("bigint"))
+    known = marked if candidates else marked.filter(F.col("status") == 1)
+    rows = base.unionByName(known.select("tree_id", "idx", "status"))
+    return rows.groupBy("tree_id", "idx").agg(F.max("status").alias("status"))
+
+
+def split_labels(
+    marked: DataFrame, guaranteed_depth: int, sides: Sequence[int] = SIDES
+) -> DataFrame:
+    """(tree_id, pos, label) of nodes that may split, ``pos`` counting nodes with status >= 0."""
+    window = Window.partitionBy("tree_id").orderBy("idx")
+    rows = marked.filter(F.col("status") >= 0)
+    rows = rows.withColumn("pos", F.row_number().over(window).cast("bigint") - 1)
+    free = (F.col("lod") >= guaranteed_depth) & (F.col("lod") < len(sides) - 1)
+    return rows.filter(free).select("tree_id", "pos", F.col("status").alias("label"))
+
+
+def size_statistics(nodes: DataFrame, levels: int = len(SIDES)) -> DataFrame:
+    """(lod, trees, min, max, mean, median, share) of nodes per level; lod -1 is the whole tree.
+
+    The median is the upper one. It is read off the histogram of sizes, which has at most
+    one bin per possible node count.
+    """
+    parts = [F.sum((F.col("lod") == i).cast("bigint")).alias(f"_{i}") for i in range(levels)]
+    per_tree = nodes.groupBy("tree_id").agg(*parts, F.count(F.lit(1)).alias("_all"))
+    sizes = F.array(
+        *[
+            F.struct(F.lit(i).cast("bigint").alias("lod"), F.col(f"_{i}").alias("n"), F.col("_all").alias("whole"))
+            for i in range(levels)
+        ],
+        F.struct(F.lit(-1).cast("bigint").alias("lod"), F.col("_all").alias("n"), F.col("_all").alias("whole")),
+    )
+    rows = per_tree.select(F.explode(sizes).alias("s")).select("s.*")
+    bins = rows.groupBy("lod", "n").agg(F.count(F.lit(1)).alias("c"), F.sum("whole").alias("w"))
+    by_lod = Window.partitionBy("lod")
+    upto = by_lod.orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
+    bins = bins.withColumn("_cum", F.sum("c").over(upto)).withColumn("_trees", F.sum("c").over(by_lod))
+    beyond = F.col("_cum") > F.floor(F.col("_trees") / 2)
+    return bins.groupBy("lod").agg(
+        F.sum("c").alias("trees"),
+        F.min("n").alias("min"),
+        F.max("n").alias("max"),
+        (F.sum(F.col("n") * F.col("c")) / F.sum("c")).alias("mean"),
+        F.min(F.when(beyond, F.col("n"))).alias("median"),
+        (F.lit(100.0) * F.sum(F.col("n") * F.col("c")) / F.sum("w")).alias("share"),
+    )
+
+
+def heat_map(nodes: DataFrame, sides: Sequence[int] = SIDES) -> DataFrame:
+    """(tree_id, y, x, heat): how many nodes cover each cell of the finest level."""
+    finest = sides[-1]
+    side = geo.by_level("lod", sides)
+    scale = F.lit(finest) / side
+    y0, x0 = geo.cell_row("patch", side) * scale, geo.cell_col("patch", side) * scale
+
+    def span(start: Column) -> Column:
+        return F.sequence(start.cast("bigint"), (start + scale - 1).cast("bigint"))
+
+    rows = nodes.select("tree_id", F.explode(span(y0)).alias("y"), span(x0).alias("xs"))
+    rows = rows.select("tree_id", "y", F.explode("xs").alias("x"))
+    return rows.groupBy("tree_id", "y", "x").agg(F.count(F.lit(1)).alias("heat"))
+
+
+def choose_splits(
+    candidates: DataFrame, gain: str = "gain", scale: dict[int, float] | None = None
+) -> DataFrame:
+    """Add ``chosen``: per tree and level the best candidates, as many as lie above the mean.
+
+    The count is scaled per level by ``scale``. A single candidate is never chosen.
+    """
+    group = Window.partitionBy("tree_id", "lod")
+    rows = candidates.withColumn("_mean", F.avg(gain).over(group))
+    above = (F.col(gain) > F.col("_mean")).cast("bigint")
+    n = F.sum(above).over(group).cast("double")
+    for level, factor in (scale or {}).items():
+        n = F.when(F.col("lod") == level, F.floor(F.sum(above).over(group) * F.lit(factor)).cast("double")).otherwise(n)
+    n = F.when(F.count(F.lit(1)).over(group) > 1, n).otherwise(F.lit(0.0))
+    place = F.row_number().over(group.orderBy(F.desc(gain), "patch"))
+    rows = rows.withColumn("_n", n).withColumn("_place", place)
+    return rows.withColumn("chosen", F.col("_place") <= F.col("_n")).drop("_mean", "_n", "_place")
+
+
+def keep_top_half(candidates: DataFrame, score: str, share: float = 0.5) -> DataFrame:
+    """The best ``int(n * share)`` candidates of every tree and level."""
+    group = Window.partitionBy("tree_id", "lod")
+    place = F.row_number().over(group.orderBy(F.desc(score), "patch"))
+    rows = candidates.withColumn("_n", F.count(F.lit(1)).over(group)).withColumn("_place", place)
+    return rows.filter(F.col("_place") <= F.floor(F.col("_n") * F.lit(share))).drop("_n", "_place")
+
+
+def greedy_search(
+    tree_ids: DataFrame,
+    scored: Callable[[DataFrame], DataFrame],
+    guaranteed_depth: int,
+    scale: dict[int, float] | None = None,
+    sides: Sequence[int] = SIDES,
+) -> DataFrame:
+    """Grow all trees level by level, splitting the chosen candidates of each level.
+
+    ``scored`` adds a ``gain`` column to a node table. Rows are partitioned by tree once;
+    every level then works inside that partitioning.
+    """
+    nodes = complete_trees(tree_ids, guaranteed_depth, sides).repartition("tree_id")
+    for lod in range(guaranteed_depth, len(sides) - 1):
+        rows = choose_splits(scored(nodes), "gain", scale)
+        keep = [c for c in rows.columns if c not in ("gain", "chosen")]
+        grow = (F.col("lod") == lod) & F.col("chosen")
+        nodes = _with_children(rows.select(*keep, "chosen"), grow, sides).select(*keep)
+    return nodes
+
+
+# Largest score drop at which the children of a level are given up.
+PRUNE_TOLERANCE = {3: 0.3, 4: 0.2}
+
+
+def prune(
+    nodes: DataFrame,
+    drops: DataFrame,
+    tolerance: dict[int, float] | None = None,
+    sides: Sequence[int] = SIDES,
+) -> DataFrame:
+    """Remove everything below nodes whose score drop is within the level's tolerance.
+
+    ``drops`` is ``(tree_id, lod, patch, drop)``. Levels are handled finest first; each is
+    one anti-join on (tree, ancestor on that level), which also removes deeper descendants.
+    """
+    rows = nodes.withColumn("_rank", geo.interleaved("lod", "patch", sides))
+    for lod, limit in sorted((tolerance or PRUNE_TOLERANCE).items(), reverse=True):
+        gone = drops.filter((F.col("lod") == lod) & (F.col("drop") <= limit)).select(
+            F.col("tree_id").alias("_t"), geo.interleaved("lod", "patch", sides).alias("_r")
+        )
+        under = (F.col("tree_id") == F.col("_t")) & (
+            F.when(F.col("lod") > lod, geo.ancestor_rank("lod", "_rank", lod)) == F.col("_r")
+        )
+        rows = rows.join(gone, under, "left_anti")
+    return rows.drop("_rank")
+
+
+def removed_children(level: DataFrame, parents: DataFrame, sides: Sequence[int] = SIDES) -> DataFrame:
+    """Nodes of a level that are no child of ``parents`` (a set difference)."""
+    below = parents.select(
+        "tree_id", (F.col("lod") + 1).alias("lod"), F.explode(geo.child_patches("lod", "patch", sides)).alias("patch")
+    )
+    return level.select("tree_id", "lod", "patch").exceptAll(below.distinct())
+
+
+def roll_up(nodes: DataFrame, value: str, sides: Sequence[int] = SIDES) -> DataFrame:
+    """Give every coarser node the mean ``value`` of its present children, 0 if it has none.
+
+    Values of the finest level are taken from the input; levels are filled finest first.
+    """
+    last = len(sides) - 1
+    rows = nodes.repartition("tree_id")
+    for level in range(last - 1, -1, -1):
+        mean = _from_ancestors(
+            rows, level, lambda lod, k=level: F.avg(F.when(lod == k + 1, F.col(value))), sides
+        )
+        rows = rows.withColumn("_mean", mean)
+        own = F.when(F.col("lod") == level, F.coalesce("_mean", F.lit(0.0))).otherwise(F.col(value))
+        rows = rows.withColumn(value, own).drop("_mean")
+    return rows
+
+
+def to_json(marked: DataFrame) -> DataFrame:
+    """(tree_id, json): ``{"tree": {lod: [{patch_index, lod_level}]}, "status": [[idx, status]]}``.
+
+    One document per tree, bounded by the size of the full tree.
+    """
+    present = F.col("status") == 1
+    node = F.when(present, F.struct("idx", F.col("patch").alias("patch_index"), F.col("lod").alias("lod_level")))
+    per_lod = marked.groupBy("tree_id", "lod").agg(
+        F.array_sort(F.collect_list(node)).alias("nodes"),
+        F.collect_list(F.struct("idx", "status")).alias("stats"),
+    )
+    nodes = F.transform("nodes", lambda n: F.struct(n["patch_index"].alias("patch_index"), n["lod_level"].alias("lod_level")))
+    # A level that only holds candidates has no nodes to list.
+    listed = F.when(F.size("nodes") > 0, F.struct(F.col("lod").cast("string").alias("k"), nodes.alias("v")))
+    out = per_lod.groupBy("tree_id").agg(
+        F.map_from_entries(F.array_sort(F.collect_list(listed))).alias("tree"),
+        F.array_sort(F.flatten(F.collect_list("stats"))).alias("status"),
+    )
+    return out.select("tree_id", F.to_json(F.struct("tree", "status")).alias("json"))
+
+
+def from_json(docs: DataFrame) -> DataFrame:
+    """(tree_id, lod, patch, status) back from :func:`to_json`; present nodes only."""
+    schema = (
+        "tree map<string, array<struct<patch_index: bigint, lod_level: bigint>>>, "
+        "status array<struct<idx: bigint, status: bigint>>"
+    )
+    rows = docs.select("tree_id", F.from_json("json", schema).alias("d"))
+    rows = rows.select("tree_id", F.explode("d.tree").alias("k", "nodes"))
+    return rows.select("tree_id", F.explode("nodes").alias("n")).select(
+        "tree_id", F.col("n.lod_level").alias("lod"), F.col("n.patch_index").alias("patch")
+    )

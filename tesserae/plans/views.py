@@ -241,19 +241,13 @@ class Tables:
     @cached_property
     def trees(self) -> DataFrame:
         """(tree_id, lod, patch): one random tree per customer."""
-        return tree_ops.probabilistic_trees(
-            self.tree_ids, GUARANTEED_DEPTH, GROWTH, draw=_growth_draw
-        )
+        return tree_ops.probabilistic_trees(self.tree_ids, GUARANTEED_DEPTH, GROWTH)
 
     def gain(self) -> Column:
         """Score of splitting a node, in [-0.5, 0.5)."""
         return uniform(F.lit("gain"), "tree_id", "lod", "patch") - 0.5
 
 
-def _growth_draw() -> Column:
-    return uniform("tree_id", "lod", "patch")
-
-
 def log_text(events: DataFrame) -> DataFrame:
     """Format events as training log lines, all numbers from integers."""
     cents = F.floor(F.col("value") * 100 + 0.5)
