@@ -14,7 +14,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tesserae.functions.core import rounded, uniform
+from tesserae.functions.vectors import softmax
 from tesserae.operators import tree as tree_ops
+from tesserae.operators.neighbours import codebook_products
 from tesserae.operators.ordering import number_rows
 
 #: Size of the code book the token codes are drawn from (some codes stay unused).
@@ -140,15 +142,16 @@ class Tables:
         )
 
     @cached_property
-    def probs(self) -> DataFrame:
-        """(image_id, label, class, p): softmax over the scaled code book products."""
-        from tesserae.operators.neighbours import codebook_products
-        from tesserae.functions.vectors import softmax
-
+    def prob_rows(self) -> DataFrame:
+        """(image_id, label, probs[]): softmax over the scaled code book products."""
         scored = codebook_products(self.vectors, self.codebook, "v", "logits", scale=10.0)
-        return scored.select(
-            "image_id", "label", F.posexplode(softmax("logits")).alias("class", "p")
-        ).withColumn("class", F.col("class").cast("bigint"))
+        return scored.select("image_id", "label", softmax("logits").alias("probs"))
+
+    @cached_property
+    def probs(self) -> DataFrame:
+        """(image_id, label, class, p): the same in long form."""
+        rows = self.prob_rows.select("image_id", "label", F.posexplode("probs").alias("class", "p"))
+        return rows.withColumn("class", F.col("class").cast("bigint"))
 
     # archives, labels, logs ----------------------------------------------------------
     @cached_property
