@@ -24,8 +24,9 @@ from tesserae.functions.core import uniform
 MAX_CODEBOOK = 65_536
 #: Aimed-at rows per block; a task holds one block of each side.
 BLOCK_ROWS = 4096
-#: Most cells the points are divided into.
+#: Most cells the points are divided into, and the points a cell should have at least.
 MAX_PIVOTS = 64
+CELL_ROWS = 1024
 #: Added to squared distances in the realism score.
 REALISM_EPS = 1e-5
 
@@ -130,7 +131,7 @@ class _Cells:
     """Pivots and per-cell summaries; bounded by ``MAX_PIVOTS`` whatever the data size."""
 
     def __init__(self, points: DataFrame, total: int):
-        count = int(min(MAX_PIVOTS, max(1, total // 64)))
+        count = int(min(MAX_PIVOTS, max(1, total // CELL_ROWS)))
         # A fixed pseudo-random choice: the same pivots in every run and every retry.
         drawn = points.select("v", uniform(F.lit("pivot"), "id").alias("d"), "id")
         rows = drawn.orderBy("d", "id").limit(count).collect()

@@ -203,6 +203,8 @@ def with_views(body: str, *names: str) -> str:
         return body
     ctes = ",\n".join(f"{n} AS ({VIEWS[n][1]})" for n in ordered)
     text = body.lstrip()
+    if text.startswith("WITH RECURSIVE "):
+        return f"WITH RECURSIVE {ctes},\n{text[15:]}"
     if text[:5].upper() == "WITH ":
         return f"WITH {ctes},\n{text[5:]}"
     return f"WITH {ctes}\n{body}"

@@ -1 +1,118 @@
-"""Queries (to be filled in)."""
+"""Queries over detections."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tesserae.functions.core import rounded
+from tesserae.operators import detection as det
+from tesserae.plans.catalogue import query
+from tesserae.plans.oracle_views import r, view
+from tesserae.plans.views import Tables
+
+view(
+    "best_dets",
+    """SELECT * FROM (SELECT det_id, image_id, category_id, px AS x, y, w, h, score,
+         row_number() OVER (PARTITION BY image_id, category_id ORDER BY score DESC, det_id) - 1 AS det_rank FROM boxes)
+       WHERE det_rank < 100""",
+    "boxes",
+)
+view(
+    "ious",
+    """SELECT image_id, category_id, det_id, det_rank, gt_id, inter / (dw * dh + gw * gh - inter) AS iou FROM (
+         SELECT d.image_id, d.category_id, d.det_id, d.det_rank, g.det_id AS gt_id, d.w AS dw, d.h AS dh, g.w AS gw, g.h AS gh,
+           greatest(least(d.x + d.w, g.x + g.w) - greatest(d.x, g.x), 0)::DOUBLE
+             * greatest(least(d.y + d.h, g.y + g.h) - greatest(d.y, g.y), 0) AS inter
+         FROM best_dets d JOIN boxes g ON g.image_id = d.image_id AND g.category_id = d.category_id)
+       WHERE inter / (dw * dh + gw * gh - inter) >= 0.5""",
+    "best_dets",
+)
+
+
+@query(
+    "a18_annotations",
+    """SELECT det_id AS annotation_id, image_id, category_id, w * h AS area FROM boxes""",
+    "boxes",
+)
+def _(t: Tables):
+    out = det.annotations(t.boxes, ["category_id", "x", "y", "w", "h", "score", "price"])
+    return out.select("annotation_id", "image_id", "category_id", "area")
+
+
+@query("a18_categories", "SELECT DISTINCT category_id, category_id::VARCHAR AS name FROM boxes", "boxes")
+def _(t: Tables):
+    return det.categories(t.boxes)
+
+
+@query(
+    "j11_known_images",
+    """SELECT image_id, category_id, px, y, w, h, score FROM boxes
+       WHERE image_id IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R')""",
+    "boxes",
+)
+def _(t: Tables):
+    truth = t.table("lineitem").filter(F.col("l_returnflag") == "R").select(F.col("l_orderkey").alias("image_id"))
+    rows = det.in_truth(t.boxes, truth)
+    return rows.select("image_id", "category_id", "px", "y", "w", "h", "score")
+
+
+@query(
+    "j13_box_overlaps",
+    f"SELECT image_id, category_id, det_id, gt_id, {r('iou')} AS iou FROM ious",
+    "ious",
+)
+def _(t: Tables):
+    pairs = det.overlaps(det.best_detections(t.detections), t.truth_boxes)
+    return pairs.select("image_id", "category_id", "det_id", "gt_id", rounded("iou").alias("iou"))
+
+
+_GREEDY = """WITH RECURSIVE th AS (SELECT k / 20.0::DOUBLE AS t FROM (SELECT unnest(range(10, 20)) AS k)),
+   g AS (SELECT image_id, category_id, t, 0::BIGINT AS k, []::BIGINT[] AS used, -1::BIGINT AS det_id, false AS tp
+         FROM (SELECT DISTINCT image_id, category_id FROM best_dets), th
+     UNION ALL
+     SELECT image_id, category_id, t, k, CASE WHEN pick IS NULL THEN used ELSE list_append(used, pick) END, det_id,
+       pick IS NOT NULL FROM (
+         SELECT g.image_id, g.category_id, g.t, g.k + 1 AS k, d.det_id, any_value(g.used) AS used,
+           arg_max(i.gt_id, {'a': i.iou, 'b': i.gt_id}) AS pick
+         FROM g JOIN best_dets d ON d.image_id = g.image_id AND d.category_id = g.category_id AND d.det_rank = g.k
+         LEFT JOIN ious i ON i.det_id = d.det_id AND i.iou >= g.t AND NOT list_contains(g.used, i.gt_id)
+         GROUP BY g.image_id, g.category_id, g.t, g.k, d.det_id)),
+   npos AS (SELECT category_id, count(*) AS boxes FROM boxes GROUP BY category_id),
+   c AS (SELECT g.category_id, g.t, g.tp, sum(g.tp::INT) OVER o AS tps, row_number() OVER o AS rank
+         FROM g JOIN best_dets d USING (det_id) WHERE g.det_id >= 0
+         WINDOW o AS (PARTITION BY g.category_id, g.t ORDER BY d.score DESC, g.image_id, g.det_id)),
+   pr AS (SELECT category_id, t AS threshold, rank, tps::BIGINT AS tp, tps / boxes AS recall, tps / rank AS precision
+          FROM c JOIN npos USING (category_id) WHERE tp)
+"""
+
+
+@query(
+    "a17_precision_points",
+    _GREEDY + f"SELECT category_id, threshold, rank, tp, {r('recall')} AS recall, {r('precision')} AS precision FROM pr",
+    "ious",
+)
+def _(t: Tables):
+    best = det.best_detections(t.detections)
+    matched = det.matches(det.overlaps(best, t.truth_boxes))
+    out = det.precision_points(best, matched, t.truth_boxes)
+    return out.withColumn("recall", rounded("recall")).withColumn("precision", rounded("precision"))
+
+
+@query(
+    "a17_average_precision",
+    _GREEDY
+    + f"""SELECT category_id, threshold, {r("avg(p)")} AS ap, {r("max(top)")} AS max_recall FROM (
+          SELECT n.category_id, th.t AS threshold, l.level, coalesce(max(pr.precision), 0) AS p, coalesce(max(pr.recall), 0) AS top
+          FROM npos n, th, (SELECT unnest(range(101)) * 0.01::DOUBLE AS level) l LEFT JOIN pr
+            ON pr.category_id = n.category_id AND pr.threshold = th.t AND pr.recall >= l.level
+          GROUP BY n.category_id, th.t, l.level) GROUP BY category_id, threshold""",
+    "ious",
+)
+def _(t: Tables):
+    out = det.evaluate(t.detections, t.truth_boxes)
+    return out.withColumn("ap", rounded("ap")).withColumn("max_recall", rounded("max_recall"))
+
+
+@query("a17_summary")
+def _(t: Tables):
+    return det.summary(det.evaluate(t.detections, t.truth_boxes))

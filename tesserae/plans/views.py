@@ -220,19 +220,20 @@ class Tables:
             F.col("l_extendedprice").alias("price"),
         )
 
+    @cached_property
+    def numbered_boxes(self) -> DataFrame:
+        cols = ["image_id", "category_id", "x", "y", "w", "h", "score", "price"]
+        return number_rows(self.boxes, [], cols, "det_id")
+
     @cached_property
     def truth_boxes(self) -> DataFrame:
         """(det_id, image_id, category_id, x, y, w, h), numbered over all columns."""
-        cols = ["image_id", "category_id", "x", "y", "w", "h", "score", "price"]
-        rows = number_rows(self.boxes, [], cols, "det_id")
-        return rows.select("det_id", "image_id", "category_id", "x", "y", "w", "h")
+        return self.numbered_boxes.select("det_id", "image_id", "category_id", "x", "y", "w", "h")
 
     @cached_property
     def detections(self) -> DataFrame:
         """(det_id, image_id, category_id, x, y, w, h, score), same numbering."""
-        cols = ["image_id", "category_id", "x", "y", "w", "h", "score", "price"]
-        rows = number_rows(self.boxes, [], cols, "det_id")
-        return rows.select(
+        return self.numbered_boxes.select(
             "det_id", "image_id", "category_id", F.col("px").alias("x"), "y", "w", "h", "score"
         )
 
