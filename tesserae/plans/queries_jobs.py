@@ -1 +1,208 @@
-"""Queries (to be filled in)."""
+"""Queries that run whole jobs: archives, relabelling, resumable work, code extraction."""
+
+from __future__ import annotations
+
+import os
+import uuid
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import functions as F
+
+from tesserae.functions.core import rounded
+from tesserae.operators import sequences
+from tesserae.plans import jobs
+from tesserae.plans.catalogue import query
+from tesserae.plans.oracle_views import r, u, view
+from tesserae.plans.views import Tables
+from tesserae.session import shared_dir
+from tesserae.sources import archive, tokens as token_io
+
+
+def _scratch(t: Tables, name: str) -> str:
+    return os.path.join(shared_dir(t.spark), f"{name}-{uuid.uuid4().hex}")
+
+
+@query(
+    "s1_archive_round_trip",
+    """SELECT doc_id // 20 AS shard, lpad(doc_id::VARCHAR, 8, '0') AS key, 'txt' AS ext, strlen(text)::INT AS size, md5(text) AS digest FROM documents
+       UNION ALL SELECT doc_id // 20, lpad(doc_id::VARCHAR, 8, '0'), 'cls', strlen(lang)::INT, md5(lang) FROM documents""",
+)
+def _(t: Tables):
+    docs = t.table("documents").select(
+        F.floor(F.col("doc_id") / 20).alias("shard"),
+        F.lpad(F.col("doc_id").cast("string"), 8, "0").alias("key"),
+        archive.text_payload("text").alias("text"),
+        archive.text_payload("lang").alias("lang"),
+    )
+    path = _scratch(t, "archive")
+    archive.write_members(archive.wide_to_members(docs, {"txt": "text", "cls": "lang"}), path)
+    back = archive.read_samples(t.spark, path)
+    return back.select(
+        "shard", "key", "ext", F.octet_length("payload").alias("size"), F.md5("payload").alias("digest")
+    )
+
+
+_TOKEN_SAMPLES = """SELECT lpad(sample_key::VARCHAR, 8, '0') AS key, count(*)::INT AS len, sum(code)::BIGINT AS codes,
+    sum(pos * code)::BIGINT AS weighted, sum(lod)::BIGINT AS lods, sum(patch)::BIGINT AS patches,
+    any_value(o_custkey % 10) AS class_id, sample_key // 500 AS shard
+  FROM tokens JOIN orders ON o_orderkey = sample_key GROUP BY sample_key"""
+
+
+def _samples(t: Tables):
+    rows = token_io.to_samples(t.tokens).join(t.sample_classes, "sample_key")
+    return rows.select(
+        F.lpad(F.col("sample_key").cast("string"), 8, "0").alias("key"),
+        "codes",
+        "lods",
+        "patches",
+        "class_id",
+        F.floor(F.col("sample_key") / 500).alias("shard"),
+    )
+
+
+def _digest(samples):
+    def total(c):
+        return F.aggregate(c, F.lit(0).cast("bigint"), lambda a, x: a + x)
+
+    weighted = F.transform("codes", lambda x, i: x * i)
+    return samples.select(
+        "key",
+        F.size("codes").alias("len"),
+        total(F.col("codes")).alias("codes"),
+        total(weighted).alias("weighted"),
+        total(F.col("lods")).alias("lods"),
+        total(F.col("patches")).alias("patches"),
+        "class_id",
+        "shard",
+    )
+
+
+@query("s5_token_table", _TOKEN_SAMPLES, "tokens")
+def _(t: Tables):
+    path = _scratch(t, "tokens")
+    token_io.write_tokens(_samples(t), path)
+    return _digest(token_io.read_tokens(t.spark, path))
+
+
+@query("s5_token_archives", _TOKEN_SAMPLES, "tokens")
+def _(t: Tables):
+    path = _scratch(t, "token-archives")
+    token_io.write_token_archives(_samples(t), path)
+    return _digest(token_io.read_token_archives(t.spark, path))
+
+
+@query(
+    "d3_relabelled_archives",
+    """SELECT key // 20 AS shard, lpad(key::VARCHAR, 8, '0') AS key, n_nationkey::VARCHAR AS cls, s_name AS jpg
+       FROM raw_labels JOIN nation ON n_name = label_str JOIN supplier ON s_suppkey = key""",
+    "raw_labels",
+)
+def _(t: Tables):
+    named = t.table("supplier").select(F.col("s_suppkey").alias("key"), "s_name")
+    rows = t.raw_labels.join(named, "key").select(
+        F.floor(F.col("key") / 20).alias("shard"),
+        F.lpad(F.col("key").cast("string"), 8, "0").alias("key"),
+        archive.text_payload("s_name").alias("jpg"),
+        archive.text_payload("label_str").alias("cls"),
+    )
+    columns = {"jpg": "jpg", "cls": "cls"}
+    before, after = _scratch(t, "before"), _scratch(t, "after")
+    archive.write_members(archive.wide_to_members(rows, columns), before)
+    jobs.relabel(t.spark, before, after, t.dictionary)
+    back = archive.members_to_wide(archive.read_samples(t.spark, after), columns)
+    return back.select(
+        "shard", "key", archive.payload_text("cls").alias("cls"), archive.payload_text("jpg").alias("jpg")
+    )
+
+
+@query(
+    "d5_resumed_job",
+    """WITH have AS (SELECT DISTINCT doc_id // 20 AS shard FROM documents),
+         bad AS (SELECT DISTINCT doc_id // 20 AS shard FROM documents WHERE n_chars < 10),
+         first AS (SELECT DISTINCT vec_id // 20 AS shard FROM embeddings),
+         second AS (SELECT DISTINCT page_id // 4 AS shard FROM pages),
+         one AS (SELECT 'first' AS run, f.shard, CASE WHEN h.shard IS NULL THEN 'SKIPPED' WHEN b.shard IS NOT NULL THEN 'FAILED'
+             ELSE 'SUCCESS' END AS status FROM first f LEFT JOIN have h USING (shard) LEFT JOIN bad b USING (shard))
+       SELECT * FROM one UNION ALL
+       SELECT 'second', s.shard, CASE WHEN h.shard IS NULL OR o.status = 'SUCCESS' THEN 'SKIPPED' WHEN b.shard IS NOT NULL
+           THEN 'FAILED' ELSE 'SUCCESS' END
+       FROM second s LEFT JOIN have h USING (shard) LEFT JOIN bad b USING (shard) LEFT JOIN one o ON o.shard = s.shard""",
+)
+def _(t: Tables):
+    output, log = _scratch(t, "job"), _scratch(t, "job-log")
+    docs = t.documents_by_shard
+    first = t.table("embeddings").select(F.floor(F.col("vec_id") / 20).alias("shard"))
+    second = t.table("pages").select(F.floor(F.col("page_id") / 4).alias("shard"))
+
+    def step(rows):
+        short = F.when(F.col("n_chars") < 10, F.lit("too short"))
+        return rows.select("shard", "key", "n_chars", short.alias("error"))
+
+    one = jobs.run_resumable(first, docs, step, output, log, "first")
+    two = jobs.run_resumable(second, docs, step, output, log, "second")
+    return one.unionByName(two).select("run", "shard", "status")
+
+
+_SIDES = (1, 2, 4)
+view(
+    "view_nodes",
+    f"""WITH v AS (SELECT vec_id // 50 AS shard, lpad(vec_id::VARCHAR, 8, '0') || '_' || i::VARCHAR AS key, vec_id
+          FROM embeddings, (SELECT unnest(range(10)) AS i)),
+        n1 AS (SELECT v.*, unnest(range(4)) AS patch FROM v)
+        SELECT shard, key, vec_id, 0 AS lod, 0 AS patch, 0 AS idx FROM v
+        UNION ALL SELECT shard, key, vec_id, 1, patch, 1 + patch FROM n1
+        UNION ALL SELECT shard, key, vec_id, 2, (patch // 2) * 8 + (patch % 2) * 2 + c.o, 5 + 4 * patch + c.i
+          FROM n1, (VALUES (0, 0), (1, 1), (2, 4), (3, 5)) c(i, o) WHERE {u("key", "1", "patch")} < 0.5""",
+)
+view(
+    "view_tokens",
+    """WITH z AS (SELECT n.key, n.idx, v.p, v.v FROM view_nodes n JOIN vec v ON v.image_id = n.vec_id),
+       d AS (SELECT z.key, z.idx, c.code, sum((z.v - c.e) ** 2) AS d FROM z JOIN codebook c ON c.p = (z.p + z.idx) % 64
+             GROUP BY z.key, z.idx, c.code)
+       SELECT n.shard, n.key, row_number() OVER (PARTITION BY n.key ORDER BY n.idx) - 1 AS pos, b.code,
+         n.lod::BIGINT AS lod, n.patch::BIGINT AS patch
+       FROM view_nodes n JOIN (SELECT key, idx, min_by(code, d) AS code FROM d GROUP BY key, idx) b USING (key, idx)""",
+    "view_nodes",
+    "vec",
+    "codebook",
+)
+
+
+def _rolled(batch: pd.DataFrame) -> pd.DataFrame:
+    """Stand-in for a user's model: the latent of a node is the vector rotated by its index."""
+    z = [np.roll(v, int(i)) for v, i in zip(batch["v"], batch["idx"])]
+    return batch[["shard", "key", "pos", "lod", "patch"]].assign(z=z)
+
+
+def _extracted(t: Tables):
+    rows = t.vectors.select(
+        F.floor(F.col("image_id") / 50).alias("shard"),
+        F.lpad(F.col("image_id").cast("string"), 8, "0").alias("key"),
+        "v",
+    )
+    return jobs.extract_codes(rows, t.codebook, _rolled, 256, 1, [0.5], _SIDES)
+
+
+@query("d6_extracted_codes", "SELECT * FROM view_tokens", "view_tokens")
+def _(t: Tables):
+    return _extracted(t)
+
+
+@query(
+    "d6_average_tokens",
+    f"SELECT count(*) AS tokens, count(DISTINCT key) AS samples, {r('count(*) / count(DISTINCT key)')} AS avg_tokens FROM view_nodes",
+    "view_nodes",
+)
+def _(t: Tables):
+    sizes = sequences.lengths(_extracted(t), "key")
+    out = sizes.agg(F.sum("len").alias("tokens"), F.count(F.lit(1)).alias("samples"))
+    return out.withColumn("avg_tokens", rounded(F.col("tokens") / F.col("samples")))
+
+
+@query(
+    "u2_field_functions",
+    """SELECT o_orderkey AS sample_key, (o_custkey % 10)::VARCHAR AS class_id FROM orders""",
+)
+def _(t: Tables):
+    return jobs.map_fields(t.sample_classes, {"class_id": lambda c: c.cast("string"), "absent": F.upper})
