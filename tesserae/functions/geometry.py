@@ -92,5 +92,5 @@ def ancestor_rank(lod: str | Column, rank: str | Column, level: int) -> Column:
     without its last two bits per level climbed.
     """
     lod, rank = _as_col(lod), _as_col(rank)
-    steps = F.greatest(lod - level, F.lit(0)).cast("int")
-    return F.when(lod >= level, F.floor(rank / F.pow(F.lit(4.0), steps)))
+    bits = ((lod - level) * 2).cast("int")
+    return F.when(lod >= level, F.call_function("shiftright", rank, bits))

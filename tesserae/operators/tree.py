@@ -3,6 +3,11 @@
 All trees are processed together. A tree has at most as many nodes as the full tree
 (1365 on six levels), so a window or a group per ``tree_id`` is bounded whatever the
 number of trees; the only key that grows with the data is the tree itself.
+
+Tree ids are spread by hash *before* nodes are made of them: that moves one small row per
+tree, splits the thousandfold growth evenly over all tasks, and leaves every node table
+partitioned by tree, so the windows, groups and unions below need no further shuffle. Node
+tables that come from elsewhere should pass :func:`together` once.
 """
 
 from __future__ import annotations
@@ -33,9 +38,15 @@ def _with_children(nodes: DataFrame, grow: Column, sides: Sequence[int]) -> Data
     return nodes.select(*keep, F.explode(both).alias("n")).select(*keep, "n.lod", "n.patch")
 
 
+def together(rows: DataFrame) -> DataFrame:
+    """Partition by tree. The number is given so that small ids are not merged into few tasks."""
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(n, "tree_id")
+
+
 def _roots(tree_ids: DataFrame) -> DataFrame:
     zero = F.lit(0).cast("bigint")
-    return tree_ids.withColumn("lod", zero).withColumn("patch", zero)
+    return together(tree_ids).withColumn("lod", zero).withColumn("patch", zero)
 
 
 def complete_trees(
@@ -122,11 +133,20 @@ def random_size_trees(
 
     def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for tree_id in batch["tree_id"]:
-                lods, patches = grow(tree_id)
-                yield pd.DataFrame({"tree_id": tree_id, "lod": lods, "patch": patches})
-
-    return tree_ids.select("tree_id").mapInPandas(task, "tree_id bigint, lod bigint, patch bigint")
+            for start in range(0, len(batch), 500):
+                ids = batch["tree_id"].iloc[start : start + 500]
+                grown = [grow(i) for i in ids]
+                sizes = [len(lods) for lods, _ in grown]
+                yield pd.DataFrame(
+                    {
+                        "tree_id": np.repeat(ids.to_numpy(), sizes),
+                        "lod": np.concatenate([lods for lods, _ in grown]),
+                        "patch": np.concatenate([patches for _, patches in grown]),
+                    }
+                )
+
+    ids = together(tree_ids.select("tree_id"))
+    return ids.mapInPandas(task, "tree_id bigint, lod bigint, patch bigint")
 
 
 def copy_to_depth(nodes: DataFrame, depth: int) -> DataFrame:
@@ -147,47 +167,43 @@ def ordered(nodes: DataFrame, sides: Sequence[int] = SIDES) -> DataFrame:
     return rows.withColumn("level_pos", F.row_number().over(in_level).cast("bigint") - 1)
 
 
-def _from_ancestors(
-    nodes: DataFrame, level: int, value: Callable[[Column], Column], sides: Sequence[int]
-) -> Column:
-    """Aggregate over the subtree below each node's ancestor on ``level``.
+def _over_ancestor(value: Column, level: int) -> Column:
+    """Aggregate over the subtree below each node's ancestor on ``level``; needs ``_rank``.
 
-    Rows are already partitioned by tree, and a window over (tree, ancestor) accepts that
-    partitioning, so going through all levels costs one shuffle in total.
+    A window over (tree, ancestor) accepts a partitioning by tree, so going through all
+    levels sorts a few times but does not shuffle.
     """
-    rank = geo.interleaved("lod", "patch", sides)
-    window = Window.partitionBy("tree_id", geo.ancestor_rank("lod", rank, level))
-    return value(F.col("lod")).over(window)
+    ancestor = geo.ancestor_rank("lod", "_rank", level)
+    return value.over(Window.partitionBy("tree_id", ancestor))
+
+
+def _at(level: int, value: Column) -> Column:
+    return F.when(F.col("lod") == level, value)
 
 
 def reachable(nodes: DataFrame, sides: Sequence[int] = SIDES) -> DataFrame:
     """Drop orphans: nodes with any missing ancestor."""
-    nodes = nodes.repartition("tree_id")
+    rows = nodes.withColumn("_rank", geo.interleaved("lod", "patch", sides))
     whole = F.lit(True)
+    flags = []
     for level in range(len(sides) - 1):
-        flag = f"_has{level}"
-        there = _from_ancestors(
-            nodes, level, lambda lod, k=level: F.max(F.when(lod == k, 1).otherwise(0)), sides
-        )
-        nodes = nodes.withColumn(flag, there)
-        whole = whole & ((F.col("lod") <= level) | (F.col(flag) == 1))
-    flags = [f"_has{level}" for level in range(len(sides) - 1)]
-    return nodes.filter(whole).drop(*flags)
+        flags.append(f"_has{level}")
+        rows = rows.withColumn(flags[-1], _over_ancestor(F.max(_at(level, F.lit(1))), level))
+        whole = whole & ((F.col("lod") <= level) | F.col(flags[-1]).isNotNull())
+    return rows.filter(whole).drop("_rank", *flags)
 
 
 def with_parents(nodes: DataFrame, sides: Sequence[int] = SIDES) -> DataFrame:
     """Reachable nodes with ``pos`` and ``parent_pos``, the place of the parent (-1 for roots)."""
     rows = ordered(reachable(nodes, sides), sides).drop("level_pos")
+    rows = rows.withColumn("_rank", geo.interleaved("lod", "patch", sides))
     parent = F.when(F.col("lod") == 0, F.lit(-1).cast("bigint"))
+    names = []
     for level in range(len(sides) - 1):
-        name = f"_p{level}"
-        at = _from_ancestors(
-            rows, level, lambda lod, k=level: F.max(F.when(lod == k, F.col("pos"))), sides
-        )
-        rows = rows.withColumn(name, at)
-        parent = parent.when(F.col("lod") == level + 1, F.col(name))
-    names = [f"_p{level}" for level in range(len(sides) - 1)]
-    return rows.withColumn("parent_pos", parent).drop(*names)
+        names.append(f"_p{level}")
+        rows = rows.withColumn(names[-1], _over_ancestor(F.max(_at(level, F.col("pos"))), level))
+        parent = parent.when(F.col("lod") == level + 1, F.col(names[-1]))
+    return rows.withColumn("parent_pos", parent).drop("_rank", *names)
 
 
 def marked_candidates(nodes: DataFrame, sides: Sequence[int] = SIDES) -> DataFrame:
@@ -204,20 +220,27 @@ def marked_candidates(nodes: DataFrame, sides: Sequence[int] = SIDES) -> DataFra
     return rows.withColumn("idx", geo.node_index("lod", "patch", sides))
 
 
-def dense_status(
-    tree_ids: DataFrame, marked: DataFrame, candidates: bool = True, sides: Sequence[int] = SIDES
+def status_vectors(
+    marked: DataFrame, candidates: bool = True, sides: Sequence[int] = SIDES
 ) -> DataFrame:
-    """(tree_id, idx, status) for every node of the full tree, -1 where nothing is stored.
+    """(tree_id, status[]): one entry per node of the full tree, -1 where nothing is stored.
 
-    With ``candidates=False`` only present (1) and absent (-1) are told apart.
+    With ``candidates=False`` only present (1) and absent (-1) are told apart. The vector is
+    built from the stored nodes in index order, filling the gaps between them.
     """
     total = sum(s * s for s in sides)
-    base = tree_ids.select(
-        "tree_id", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(total - 1).cast("bigint"))).alias("idx")
-    ).withColumn("status", F.lit(-1).cast("bigint"))
     known = marked if candidates else marked.filter(F.col("status") == 1)
-    rows = base.unionByName(known.select("tree_id", "idx", "status"))
-    return rows.groupBy("tree_id", "idx").agg(F.max("status").alias("status"))
+    rows = known.groupBy("tree_id").agg(F.array_sort(F.collect_list(F.struct("idx", "status"))).alias("k"))
+
+    def absent(n: Column) -> Column:
+        return F.array_repeat(F.lit(-1).cast("bigint"), n.cast("int"))
+
+    def filled(s: Column, i: Column) -> Column:
+        before = F.when(i > 0, F.element_at("k", F.greatest(i, F.lit(1)))["idx"]).otherwise(F.lit(-1))
+        return F.concat(absent(s["idx"] - before - 1), F.array(s["status"]))
+
+    tail = absent(F.lit(total - 1) - F.element_at("k", -1)["idx"])
+    return rows.select("tree_id", F.concat(F.flatten(F.transform("k", filled)), tail).alias("status"))
 
 
 def split_labels(
@@ -313,10 +336,9 @@ def greedy_search(
 ) -> DataFrame:
     """Grow all trees level by level, splitting the chosen candidates of each level.
 
-    ``scored`` adds a ``gain`` column to a node table. Rows are partitioned by tree once;
-    every level then works inside that partitioning.
+    ``scored`` adds a ``gain`` column to a node table.
     """
-    nodes = complete_trees(tree_ids, guaranteed_depth, sides).repartition("tree_id")
+    nodes = complete_trees(tree_ids, guaranteed_depth, sides)
     for lod in range(guaranteed_depth, len(sides) - 1):
         rows = choose_splits(scored(nodes), "gain", scale)
         keep = [c for c in rows.columns if c not in ("gain", "chosen")]
@@ -337,19 +359,23 @@ def prune(
 ) -> DataFrame:
     """Remove everything below nodes whose score drop is within the level's tolerance.
 
-    ``drops`` is ``(tree_id, lod, patch, drop)``. Levels are handled finest first; each is
-    one anti-join on (tree, ancestor on that level), which also removes deeper descendants.
+    ``drops`` is ``(tree_id, lod, patch, drop)``. Levels are handled finest first. The marks
+    travel with the nodes, and a window over (tree, ancestor on that level) tells each node
+    whether it lies below a mark, which also removes deeper descendants.
     """
-    rows = nodes.withColumn("_rank", geo.interleaved("lod", "patch", sides))
-    for lod, limit in sorted((tolerance or PRUNE_TOLERANCE).items(), reverse=True):
-        gone = drops.filter((F.col("lod") == lod) & (F.col("drop") <= limit)).select(
-            F.col("tree_id").alias("_t"), geo.interleaved("lod", "patch", sides).alias("_r")
-        )
-        under = (F.col("tree_id") == F.col("_t")) & (
-            F.when(F.col("lod") > lod, geo.ancestor_rank("lod", "_rank", lod)) == F.col("_r")
-        )
-        rows = rows.join(gone, under, "left_anti")
-    return rows.drop("_rank")
+    columns = nodes.columns
+    limits = tolerance or PRUNE_TOLERANCE
+    small = F.lit(False)
+    for lod, limit in limits.items():
+        small = small | ((F.col("lod") == lod) & (F.col("drop") <= limit))
+    marks = drops.filter(small).select("tree_id", "lod", "patch", F.lit(True).alias("_gone"))
+    rows = nodes.withColumn("_gone", F.lit(False)).unionByName(marks, allowMissingColumns=True)
+    rows = rows.withColumn("_rank", geo.interleaved("lod", "patch", sides))
+    for lod in sorted(limits, reverse=True):
+        given_up = _over_ancestor(F.max(_at(lod, F.col("_gone"))), lod)
+        rows = rows.withColumn("_up", F.when(F.col("lod") > lod, given_up))
+        rows = rows.filter(F.col("_gone") | ~F.coalesce("_up", F.lit(False))).drop("_up")
+    return rows.filter(~F.col("_gone")).select(*columns)
 
 
 def removed_children(level: DataFrame, parents: DataFrame, sides: Sequence[int] = SIDES) -> DataFrame:
@@ -365,16 +391,12 @@ def roll_up(nodes: DataFrame, value: str, sides: Sequence[int] = SIDES) -> DataF
 
     Values of the finest level are taken from the input; levels are filled finest first.
     """
-    last = len(sides) - 1
-    rows = nodes.repartition("tree_id")
-    for level in range(last - 1, -1, -1):
-        mean = _from_ancestors(
-            rows, level, lambda lod, k=level: F.avg(F.when(lod == k + 1, F.col(value))), sides
-        )
-        rows = rows.withColumn("_mean", mean)
+    rows = nodes.withColumn("_rank", geo.interleaved("lod", "patch", sides))
+    for level in range(len(sides) - 2, -1, -1):
+        rows = rows.withColumn("_mean", _over_ancestor(F.avg(_at(level + 1, F.col(value))), level))
         own = F.when(F.col("lod") == level, F.coalesce("_mean", F.lit(0.0))).otherwise(F.col(value))
         rows = rows.withColumn(value, own).drop("_mean")
-    return rows
+    return rows.drop("_rank")
 
 
 def to_json(marked: DataFrame) -> DataFrame:

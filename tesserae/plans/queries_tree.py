@@ -102,19 +102,19 @@ def _(t: Tables):
     "node_status",
 )
 def _(t: Tables):
-    marked = tree.marked_candidates(t.trees)
-    rows = tree.dense_status(t.tree_ids, marked)
-
-    def share(cond):
-        return F.count(F.when(cond, 1))
-
-    s = F.col("status")
-    return rows.groupBy("tree_id").agg(
-        share(s == 1).alias("present"),
-        share(s == 0).alias("candidates"),
-        share(s == -1).alias("absent"),
-        share(s >= 0).alias("active"),
-        F.sum(F.col("idx") * (s + 2)).alias("checksum"),
+    vectors = tree.status_vectors(tree.marked_candidates(t.trees))
+
+    def how_many(keep):
+        return F.size(F.filter("status", keep)).cast("bigint")
+
+    weighted = F.transform("status", lambda s, i: (s + 2) * i)
+    return vectors.select(
+        "tree_id",
+        how_many(lambda s: s == 1).alias("present"),
+        how_many(lambda s: s == 0).alias("candidates"),
+        how_many(lambda s: s == -1).alias("absent"),
+        how_many(lambda s: s >= 0).alias("active"),
+        F.aggregate(weighted, F.lit(0).cast("bigint"), lambda acc, x: acc + x).alias("checksum"),
     )
 
 
