@@ -166,22 +166,17 @@ def with_year(
     smaller than the one before it in the same run.
     """
     rows = number_rows(lines, [run], [order], "_n")
-    sent = rows.select(
-        run,
-        F.explode(
-            F.array(
-                F.struct(F.col("_n").alias("n"), F.col(order).alias("o"), F.col(stamp).alias("s"), F.lit(None).cast("string").alias("p")),
-                F.struct((F.col("_n") + 1).alias("n"), F.lit(None).cast("bigint").alias("o"), F.lit(None).cast("string").alias("s"), F.col(stamp).alias("p")),
-            )
-        ).alias("r"),
-    ).select(run, "r.*")
-    joined = sent.groupBy(run, "n").agg(
-        F.max("o").alias(order), F.max("s").alias(stamp), F.max("p").alias("_before")
+    text, none = F.lit(None).cast("string"), F.lit(None).cast("bigint")
+    own = F.struct(F.col("_n").alias("_at"), F.col(order).alias("_o"), F.col(stamp).alias("_s"), text.alias("_p"))
+    following = F.struct((F.col("_n") + 1).alias("_at"), none.alias("_o"), text.alias("_s"), F.col(stamp).alias("_p"))
+    # Each stamp also goes to the next line, which is one shuffle and no self-join.
+    sent = rows.select(run, F.explode(F.array(own, following)).alias("_r")).select(run, "_r.*")
+    joined = sent.groupBy(run, "_at").agg(
+        F.max("_o").alias(order), F.max("_s").alias(stamp), F.max("_p").alias("_before")
     )
-    joined = joined.filter(F.col(stamp).isNotNull()).withColumn(
-        "_turn", F.coalesce((F.col(stamp) < F.col("_before")).cast("int"), F.lit(0))
-    )
-    out = running_totals(joined, [run], ["n"], {"_turns": "_turn"})
+    turn = F.coalesce((F.col(stamp) < F.col("_before")).cast("int"), F.lit(0))
+    joined = joined.filter(F.col(stamp).isNotNull()).withColumn("_turn", turn)
+    out = running_totals(joined, [run], ["_at"], {"_turns": "_turn"})
     year = (F.col("_turns") + start_year).cast("string")
     at = F.try_to_timestamp(F.concat_ws("/", year, F.col(stamp)), F.lit("yyyy/MM/dd HH:mm:ss"))
     return out.select(run, order, stamp, at.alias(name))

@@ -24,7 +24,9 @@ def archive_stream(spark: SparkSession, folder: str, pattern: str = "*.tar", fil
     """(shard, key, ext, payload) of archives as they arrive in a folder."""
     from tesserae.sources.archive import decode_archives
 
-    reader = spark.readStream.format("binaryFile").option("pathGlobFilter", pattern)
+    # Fixed value: the schema of Spark's binary file source.
+    files = "path string, modificationTime timestamp, length bigint, content binary"
+    reader = spark.readStream.format("binaryFile").schema(files).option("pathGlobFilter", pattern)
     return decode_archives(reader.option("maxFilesPerTrigger", files_per_trigger).load(folder))
 
 
