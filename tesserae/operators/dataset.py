@@ -193,9 +193,18 @@ def resampled_epoch(
     facts = sizes.agg(F.count(F.lit(1)), F.sum("size"), F.min("size")).first()
     shards, total, smallest = (int(x) for x in facts)
     wanted = epoch_size(total, global_batch, workers)
-    draws = spark.range(math.ceil(wanted / smallest)).withColumnRenamed("id", "draw")
-    draws = draws.withColumn("choice", F.floor(uniform(F.lit(seed), "draw") * shards) + 1)
-    drawn = draws.join(broadcast_if_small(sizes), "choice")
+    sizes = broadcast_if_small(sizes)
+
+    def draw(count: int) -> DataFrame:
+        draws = spark.range(count).withColumnRenamed("id", "draw")
+        choice = F.floor(uniform(F.lit(seed), "draw") * shards) + 1
+        return draws.withColumn("choice", choice).join(sizes, "choice")
+
+    # As many draws as shards of mean size would need, doubled until they fill the epoch.
+    count, most = math.ceil(wanted * shards / total), math.ceil(wanted / smallest)
+    while count < most and draw(count).agg(F.sum("size")).first()[0] < wanted:
+        count = min(2 * count, most)
+    drawn = draw(count)
     drawn = running_totals(drawn, [], ["draw"], {"end": "size"})
     drawn = drawn.withColumn("start", F.col("end") - F.col("size")).filter(F.col("start") < wanted)
     inside = number_rows(samples, ["shard"], order, "_n")

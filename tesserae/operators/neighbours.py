@@ -25,7 +25,7 @@ MAX_CODEBOOK = 65_536
 #: Aimed-at rows per block; a task holds one block of each side.
 BLOCK_ROWS = 4096
 #: Most cells the points are divided into, and the points a cell should have at least.
-MAX_PIVOTS = 64
+MAX_PIVOTS = 256
 CELL_ROWS = 1024
 #: Added to squared distances in the realism score.
 REALISM_EPS = 1e-5

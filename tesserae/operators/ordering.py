@@ -58,11 +58,11 @@ def split_hot(
 
 
 def _slices(df: DataFrame, group: Sequence[str], order: Sequence[str | Column]) -> DataFrame:
-    spark = df.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    keys = [F.col(g) for g in group] + _cols(order)
+    # The content hash comes last so that rows equal under ``order`` can still be divided.
+    keys = [F.col(g) for g in group] + _cols(order) + [F.xxhash64(*df.columns)]
+    # No partition number: adaptive execution merges neighbouring slices of small tables.
     sliced = (
-        df.repartitionByRange(n, *keys)
+        df.repartitionByRange(*keys)
         .sortWithinPartitions(*keys)
         .withColumn("_slice", F.spark_partition_id())
         .withColumn("_row", F.monotonically_increasing_id().bitwiseAND(F.lit(_LOCAL_ROW_MASK)))

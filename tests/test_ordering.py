@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-from tesserae.operators.ordering import number_rows, running_totals
+from tesserae.operators.ordering import _slices, number_rows, running_totals
 
 
 @pytest.fixture(scope="module")
@@ -11,7 +11,10 @@ def skewed(spark):
     rows = [("hot" if rng.random() < 0.5 else f"k{rng.randrange(40)}", i, rng.randrange(9)) for i in range(3000)]
     rows += [(None, 5000 + i, 1) for i in range(200)]
     rng.shuffle(rows)
-    return rows, spark.createDataFrame(rows, "g string, o bigint, v bigint").repartition(7)
+    # Keep all slices of this small table.
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    yield rows, spark.createDataFrame(rows, "g string, o bigint, v bigint").repartition(7)
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
 
 
 def expected(rows):
@@ -51,6 +54,12 @@ def test_whole_table_positions(skewed):
     assert [rn for _, rn in got] == list(range(1, len(rows) + 1))
 
 
+def test_a_hot_group_is_divided(skewed):
+    _, df = skewed
+    sliced = _slices(df.filter("g = 'hot'"), ["g"], [])
+    assert sliced.select("_slice").distinct().count() >= 6
+
+
 def test_whole_table_totals_of_nothing(spark):
     df = spark.createDataFrame([], "o bigint, v bigint")
     assert running_totals(df, [], ["o"], {"t": "v"}).count() == 0

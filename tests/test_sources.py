@@ -26,6 +26,7 @@ def folder(spark, tmp_path):
 
 
 def test_round_trip_and_pruned_members(spark, folder):
+    # Nothing but whole shards is left behind.
     assert sorted(f for f in os.listdir(folder)) == [f"train-{n:06d}.tar" for n in range(4)]
     rows = archive.read_samples(spark, folder)
     assert rows.count() == 19
