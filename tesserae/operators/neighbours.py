@@ -21,7 +21,7 @@ from tesserae.functions import vectors as vec
 from tesserae.functions.core import uniform
 
 #: Largest code book that is sent to every task.
-MAX_CODEBOOK = 65_536
+MAX_CODEBOOK = 16_384
 #: Aimed-at rows per block; a task holds one block of each side.
 BLOCK_ROWS = 4096
 #: Most cells the points are divided into, and the points a cell should have at least.
