@@ -6,12 +6,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tesserae.operators.ordering import number_rows, running_totals
+from tesserae.session import materialise
 
 # Overlap thresholds .50 to .95, recall levels 0 to 1, detections scored per
 # image and category.
 THRESHOLDS = tuple(k / 20 for k in range(10, 20))
 RECALL_LEVELS = 100
 MAX_DETECTIONS = 100
+# Box areas that count as small, medium and large.
+AREAS = {"all": (0.0, 1e10), "small": (0.0, 32.0**2), "medium": (32.0**2, 96.0**2), "large": (96.0**2, 1e10)}
 
 
 def annotations(boxes: DataFrame, order: list[str]) -> DataFrame:
@@ -53,7 +56,7 @@ def _corners(box_format: str, p: str) -> tuple[Column, Column, Column, Column]:
 def overlaps(
     best: DataFrame, truth: DataFrame, min_iou: float = 0.5, box_format: str = "corner"
 ) -> DataFrame:
-    """(image_id, category_id, det_id, det_rank, gt_id, iou) of overlapping boxes.
+    """(image_id, category_id, det_id, det_rank, gt_id, gt_area, iou) of overlapping boxes.
 
     One side has at most ``MAX_DETECTIONS`` rows per key, so the output grows with the
     truth, and a key that holds most truth rows is split by adaptive execution.
@@ -71,23 +74,35 @@ def overlaps(
     iou = inter / (F.col("d_w") * F.col("d_h") + F.col("g_w") * F.col("g_h") - inter)
     rows = d.join(g, ["image_id", "category_id"]).withColumn("iou", iou)
     return rows.filter(F.col("iou") >= min_iou).select(
-        "image_id", "category_id", "det_id", "det_rank", "gt_id", "iou"
+        "image_id", "category_id", "det_id", "det_rank", "gt_id", (F.col("g_w") * F.col("g_h")).alias("gt_area"), "iou"
     )
 
 
-def matches(pairs: DataFrame, thresholds: tuple[float, ...] = THRESHOLDS, limit: int = MAX_DETECTIONS) -> DataFrame:
-    """(det_id, hit[]): for each threshold, whether the detection gets a truth box.
+def _outside(size: Column, area: str) -> Column:
+    low, high = AREAS[area]
+    return (size < low) | (size > high)
+
+
+def matches(
+    pairs: DataFrame,
+    thresholds: tuple[float, ...] = THRESHOLDS,
+    limit: int = MAX_DETECTIONS,
+    area: str = "all",
+) -> DataFrame:
+    """(det_id, hit[]): for each threshold 1 when the detection gets a truth box, else 0.
 
     Detections choose in score order, each takes its best free box, the later one of equal
-    overlaps. At most ``limit`` detections choose, so a detection never needs more than its
+    overlaps. Boxes outside ``area`` are only taken when no other is left, and give -1. At most ``limit`` detections choose, so a detection never needs more than its
     ``limit`` best boxes: a group is at most ``limit`` squared pairs and is settled inside
     one row.
     """
-    own = Window.partitionBy("det_id").orderBy(F.desc("iou"), F.desc("gt_id"))
+    pairs = pairs.withColumn("soft", _outside(F.col("gt_area"), area))
+    own = Window.partitionBy("det_id").orderBy("soft", F.desc("iou"), F.desc("gt_id"))
     rows = pairs.withColumn("_c", F.row_number().over(own)).filter(F.col("_c") <= limit)
-    choice = F.struct("det_rank", (-F.col("iou")).alias("far"), (-F.col("gt_id")).alias("back"), "det_id", "gt_id", "iou")
+    choice = F.struct("det_rank", "soft", (-F.col("iou")).alias("far"), (-F.col("gt_id")).alias("back"), "det_id", "gt_id", "iou")
     groups = rows.groupBy("image_id", "category_id").agg(F.array_sort(F.collect_list(choice)).alias("c"))
-    none = F.struct(F.array().cast("array<bigint>").alias("dets"), F.array().cast("array<bigint>").alias("gts"))
+    empty = F.array().cast("array<bigint>")
+    none = F.struct(empty.alias("dets"), empty.alias("gts"), empty.alias("soft"))
 
     def settle(t: float) -> Column:
         def step(acc: Column, c: Column) -> Column:
@@ -95,51 +110,76 @@ def matches(pairs: DataFrame, thresholds: tuple[float, ...] = THRESHOLDS, limit:
             both = F.struct(
                 F.concat(acc["dets"], F.array(c["det_id"])).alias("dets"),
                 F.concat(acc["gts"], F.array(c["gt_id"])).alias("gts"),
+                F.when(c["soft"], F.concat(acc["soft"], F.array(c["det_id"]))).otherwise(acc["soft"]).alias("soft"),
             )
             return F.when(taken | (c["iou"] < t), acc).otherwise(both)
 
-        return F.aggregate("c", none, step, lambda acc: acc["dets"])
+        return F.aggregate("c", none, step)
 
     settled = groups.select(
         F.array_distinct(F.transform("c", lambda c: c["det_id"])).alias("ids"),
         *[settle(t).alias(f"m{i}") for i, t in enumerate(thresholds)],
     )
-    hit = [F.array_contains(F.col(f"m{i}"), F.col("det_id")).cast("int") for i in range(len(thresholds))]
+    hit = [
+        F.when(F.array_contains(F.col(f"m{i}.soft"), F.col("det_id")), -1)
+        .when(F.array_contains(F.col(f"m{i}.dets"), F.col("det_id")), 1)
+        .otherwise(0)
+        for i in range(len(thresholds))
+    ]
     return settled.withColumn("det_id", F.explode("ids")).select("det_id", F.array(*hit).alias("hit"))
 
 
+def in_area(boxes: DataFrame, area: str) -> DataFrame:
+    """Boxes whose area counts as ``area``."""
+    return boxes.filter(~_outside(F.col("w") * F.col("h"), area))
+
+
 def precision_points(
-    best: DataFrame, matched: DataFrame, truth: DataFrame, thresholds: tuple[float, ...] = THRESHOLDS
+    best: DataFrame,
+    matched: DataFrame,
+    truth: DataFrame,
+    thresholds: tuple[float, ...] = THRESHOLDS,
+    area: str = "all",
 ) -> DataFrame:
     """(category_id, threshold, rank, tp, recall, precision) at every true positive.
 
+    Detections matched to boxes outside ``area``, and unmatched ones that lie outside
+    themselves, are not counted.
+
     Ranks run over a whole category in score order, which is where one group may hold most
     rows; :func:`running_totals` slices such groups. Precision between true positives is
     never the best for any recall, so those rows are not needed.
     """
     n = len(thresholds)
-    rows = best.select("category_id", "image_id", "det_id", "score").join(matched, "det_id", "left")
-    flags = {f"h{i}": F.coalesce(F.col("hit")[i], F.lit(0)) for i in range(n)}
-    rows = rows.select("category_id", "image_id", "det_id", "score", F.lit(1).alias("one"), *[c.alias(k) for k, c in flags.items()])
-    rows = rows.withColumn("_order", -F.col("score"))
-    sums = {"rank": "one", **{f"t{i}": f"h{i}" for i in range(n)}}
+    size = (F.col("w") * F.col("h")).alias("size")
+    rows = best.select("category_id", "image_id", "det_id", (-F.col("score")).alias("_order"), size)
+    rows = rows.join(matched, "det_id", "left")
+    for i in range(n):
+        state = F.coalesce(F.col("hit")[i], F.lit(0))
+        counted = (state == 1) | ((state == 0) & ~_outside(F.col("size"), area))
+        rows = rows.withColumn(f"h{i}", (state == 1).cast("int")).withColumn(f"c{i}", counted.cast("int"))
+    rows = rows.drop("hit", "size")
+    sums = {f"t{i}": f"h{i}" for i in range(n)} | {f"r{i}": f"c{i}" for i in range(n)}
     rows = running_totals(rows, ["category_id"], ["_order", "image_id", "det_id"], sums)
     item = F.array(
         *[
-            F.when(F.col(f"h{i}") == 1, F.struct(F.lit(t).alias("threshold"), F.col(f"t{i}").alias("tp")))
+            F.when(
+                F.col(f"h{i}") == 1,
+                F.struct(F.lit(t).alias("threshold"), F.col(f"t{i}").alias("tp"), F.col(f"r{i}").alias("rank")),
+            )
             for i, t in enumerate(thresholds)
         ]
     )
-    points = rows.select("category_id", "rank", F.explode(F.filter(item, lambda x: x.isNotNull())).alias("p"))
-    wanted = truth.groupBy("category_id").agg(F.count(F.lit(1)).alias("boxes"))
+    points = rows.select("category_id", F.explode(F.filter(item, lambda x: x.isNotNull())).alias("p"))
+    wanted = in_area(truth, area).groupBy("category_id").agg(F.count(F.lit(1)).alias("boxes"))
     points = points.join(wanted, "category_id")
     return points.select(
         "category_id",
         "p.threshold",
-        "rank",
+        "p.rank",
         "p.tp",
         (F.col("p.tp") / F.col("boxes")).alias("recall"),
-        (F.col("p.tp") / F.col("rank")).alias("precision"),
+        (F.col("p.tp") / F.col("p.rank")).alias("precision"),
     )
 
 
@@ -188,11 +228,21 @@ def evaluate(
     thresholds: tuple[float, ...] = THRESHOLDS,
     limit: int = MAX_DETECTIONS,
     box_format: str = "corner",
+    area: str = "all",
 ) -> DataFrame:
-    """Per category and threshold: average precision and reached recall."""
+    """Per category and threshold: average precision and reached recall.
+
+    Categories without a truth box in ``area`` are left out.
+    """
     best = best_detections(in_truth(detections, truth), limit)
-    matched = matches(overlaps(best, truth, min(thresholds), box_format), thresholds, limit)
-    return average_precision(precision_points(best, matched, truth, thresholds), truth, thresholds)
+    pairs = overlaps(best, truth, min(thresholds), box_format)
+    return _evaluate(best, pairs, truth, thresholds, limit, area)
+
+
+def _evaluate(best: DataFrame, pairs: DataFrame, truth: DataFrame, thresholds, limit: int, area: str) -> DataFrame:
+    matched = matches(pairs, thresholds, limit, area)
+    points = precision_points(best, matched, truth, thresholds, area)
+    return average_precision(points, in_area(truth, area), thresholds)
 
 
 def summary(per_category: DataFrame) -> DataFrame:
@@ -204,3 +254,26 @@ def summary(per_category: DataFrame) -> DataFrame:
         F.avg(F.when(t == 0.75, F.col("ap"))).alias("ap75"),
         F.avg("max_recall").alias("ar"),
     )
+
+
+def full_summary(detections: DataFrame, truth: DataFrame, box_format: str = "corner") -> DataFrame:
+    """(name, value) of the twelve usual numbers: precision overall, at .50 and .75 and by
+    area; recall at 1, 10 and 100 detections and by area. -1 where no truth box counts.
+
+    Overlaps are computed and stored once; smaller limits only look at the first ranks.
+    """
+    best = materialise(best_detections(in_truth(detections, truth)))
+    pairs = materialise(overlaps(best, truth, min(THRESHOLDS), box_format))
+
+    def part(limit: int, area: str, names: dict[str, str]) -> DataFrame:
+        within = F.col("det_rank") < limit
+        row = summary(_evaluate(best.filter(within), pairs.filter(within), truth, THRESHOLDS, limit, area))
+        items = [F.struct(F.lit(n).alias("name"), F.coalesce(c, F.lit(-1.0)).alias("value")) for n, c in names.items()]
+        return row.select(F.explode(F.array(*items)).alias("i")).select("i.name", "i.value")
+
+    out = part(100, "all", {"ap": "ap", "ap50": "ap50", "ap75": "ap75", "ar100": "ar"})
+    for limit in (1, 10):
+        out = out.unionByName(part(limit, "all", {f"ar{limit}": "ar"}))
+    for area in ("small", "medium", "large"):
+        out = out.unionByName(part(100, area, {f"ap_{area}": "ap", f"ar_{area}": "ar"}))
+    return out

@@ -19,7 +19,7 @@ view(
 )
 view(
     "ious",
-    """SELECT image_id, category_id, det_id, det_rank, gt_id, inter / (dw * dh + gw * gh - inter) AS iou FROM (
+    """SELECT image_id, category_id, det_id, det_rank, gt_id, gw * gh AS gt_area, inter / (dw * dh + gw * gh - inter) AS iou FROM (
          SELECT d.image_id, d.category_id, d.det_id, d.det_rank, g.det_id AS gt_id, d.w AS dw, d.h AS dh, g.w AS gw, g.h AS gh,
            greatest(least(d.x + d.w, g.x + g.w) - greatest(d.x, g.x), 0)::DOUBLE
              * greatest(least(d.y + d.h, g.y + g.h) - greatest(d.y, g.y), 0) AS inter
@@ -66,26 +66,37 @@ def _(t: Tables):
     return pairs.select("image_id", "category_id", "det_id", "gt_id", rounded("iou").alias("iou"))
 
 
-_GREEDY = """WITH RECURSIVE th AS (SELECT k / 20.0::DOUBLE AS t FROM (SELECT unnest(range(10, 20)) AS k)),
-   g AS (SELECT image_id, category_id, t, 0::BIGINT AS k, []::BIGINT[] AS used, -1::BIGINT AS det_id, false AS tp
+def _greedy(low: int, high: int) -> str:
+    """Greedy matching, one detection rank per recursion step, for boxes of some areas."""
+    return f"""WITH RECURSIVE th AS (SELECT k / 20.0::DOUBLE AS t FROM (SELECT unnest(range(10, 20)) AS k)),
+   g AS (SELECT image_id, category_id, t, 0::BIGINT AS k, []::BIGINT[] AS used, -1::BIGINT AS det_id, 0 AS hit
          FROM (SELECT DISTINCT image_id, category_id FROM best_dets), th
      UNION ALL
-     SELECT image_id, category_id, t, k, CASE WHEN pick IS NULL THEN used ELSE list_append(used, pick) END, det_id,
-       pick IS NOT NULL FROM (
+     SELECT image_id, category_id, t, k, CASE WHEN pick IS NULL THEN used ELSE list_append(used, pick.b) END, det_id,
+       CASE WHEN pick IS NULL THEN 0 WHEN pick.inside THEN 1 ELSE -1 END FROM (
          SELECT g.image_id, g.category_id, g.t, g.k + 1 AS k, d.det_id, any_value(g.used) AS used,
-           arg_max(i.gt_id, {'a': i.iou, 'b': i.gt_id}) AS pick
+           max({{'inside': i.gt_area BETWEEN {low} AND {high}, 'a': i.iou, 'b': i.gt_id}}) FILTER (i.gt_id IS NOT NULL) AS pick
          FROM g JOIN best_dets d ON d.image_id = g.image_id AND d.category_id = g.category_id AND d.det_rank = g.k
          LEFT JOIN ious i ON i.det_id = d.det_id AND i.iou >= g.t AND NOT list_contains(g.used, i.gt_id)
          GROUP BY g.image_id, g.category_id, g.t, g.k, d.det_id)),
-   npos AS (SELECT category_id, count(*) AS boxes FROM boxes GROUP BY category_id),
-   c AS (SELECT g.category_id, g.t, g.tp, sum(g.tp::INT) OVER o AS tps, row_number() OVER o AS rank
-         FROM g JOIN best_dets d USING (det_id) WHERE g.det_id >= 0
+   npos AS (SELECT category_id, count(*) AS boxes FROM boxes WHERE w * h BETWEEN {low} AND {high} GROUP BY category_id),
+   c AS (SELECT g.category_id, g.t, g.hit = 1 AS tp, sum((g.hit = 1)::INT) OVER o AS tps, row_number() OVER o AS rank
+         FROM g JOIN best_dets d USING (det_id)
+         WHERE g.det_id >= 0 AND (g.hit = 1 OR (g.hit = 0 AND d.w * d.h BETWEEN {low} AND {high}))
          WINDOW o AS (PARTITION BY g.category_id, g.t ORDER BY d.score DESC, g.image_id, g.det_id)),
    pr AS (SELECT category_id, t AS threshold, rank, tps::BIGINT AS tp, tps / boxes AS recall, tps / rank AS precision
           FROM c JOIN npos USING (category_id) WHERE tp)
 """
 
 
+_AP = f"""SELECT category_id, threshold, {r("avg(p)")} AS ap, {r("max(top)")} AS max_recall FROM (
+    SELECT n.category_id, th.t AS threshold, l.level, coalesce(max(pr.precision), 0) AS p, coalesce(max(pr.recall), 0) AS top
+    FROM npos n, th, (SELECT unnest(range(101)) * 0.01::DOUBLE AS level) l LEFT JOIN pr
+      ON pr.category_id = n.category_id AND pr.threshold = th.t AND pr.recall >= l.level
+    GROUP BY n.category_id, th.t, l.level) GROUP BY category_id, threshold"""
+_GREEDY = _greedy(0, 10**10)
+
+
 @query(
     "a17_precision_points",
     _GREEDY + f"SELECT category_id, threshold, rank, tp, {r('recall')} AS recall, {r('precision')} AS precision FROM pr",
@@ -98,21 +109,26 @@ def _(t: Tables):
     return out.withColumn("recall", rounded("recall")).withColumn("precision", rounded("precision"))
 
 
-@query(
-    "a17_average_precision",
-    _GREEDY
-    + f"""SELECT category_id, threshold, {r("avg(p)")} AS ap, {r("max(top)")} AS max_recall FROM (
-          SELECT n.category_id, th.t AS threshold, l.level, coalesce(max(pr.precision), 0) AS p, coalesce(max(pr.recall), 0) AS top
-          FROM npos n, th, (SELECT unnest(range(101)) * 0.01::DOUBLE AS level) l LEFT JOIN pr
-            ON pr.category_id = n.category_id AND pr.threshold = th.t AND pr.recall >= l.level
-          GROUP BY n.category_id, th.t, l.level) GROUP BY category_id, threshold""",
-    "ious",
-)
-def _(t: Tables):
-    out = det.evaluate(t.detections, t.truth_boxes)
+def _scores(t: Tables, area: str):
+    out = det.evaluate(t.detections, t.truth_boxes, area=area)
     return out.withColumn("ap", rounded("ap")).withColumn("max_recall", rounded("max_recall"))
 
 
+@query("a17_average_precision", _GREEDY + _AP, "ious")
+def _(t: Tables):
+    return _scores(t, "all")
+
+
+@query("a17_small_boxes", _greedy(0, 1024) + _AP, "ious")
+def _(t: Tables):
+    return _scores(t, "small")
+
+
+@query("a17_medium_boxes", _greedy(1024, 9216) + _AP, "ious")
+def _(t: Tables):
+    return _scores(t, "medium")
+
+
 @query("a17_summary")
 def _(t: Tables):
-    return det.summary(det.evaluate(t.detections, t.truth_boxes))
+    return det.full_summary(t.detections, t.truth_boxes)

@@ -76,6 +76,14 @@ def test_perfect_detections_score_one(boxes):
     assert row["ap50"] == pytest.approx(1.0) and row["ar"] == pytest.approx(1.0)
 
 
+def test_twelve_numbers(boxes):
+    _, _, truth_df, found_df = boxes
+    got = {r["name"]: r["value"] for r in det.full_summary(found_df, truth_df).collect()}
+    assert len(got) == 12
+    assert got["ap_large"] == got["ar_large"] == -1.0
+    assert got["ar1"] <= got["ar10"] <= got["ar100"] and got["ap"] <= got["ap50"]
+
+
 def test_box_format(spark):
     cols = "det_id bigint, image_id bigint, category_id bigint, x bigint, y bigint, w bigint, h bigint, det_rank bigint"
     a = spark.createDataFrame([(1, 1, 0, 10, 10, 10, 10, 0)], cols)
