@@ -12,6 +12,7 @@ from tesserae.operators.neighbours import codebook_products
 from tesserae.plans.catalogue import query
 from tesserae.plans.oracle_views import r
 from tesserae.plans.views import CODEBOOK_SIZE, Tables
+from tesserae.session import broadcast_if_small
 from tesserae.streaming import metrics, run
 
 
@@ -50,7 +51,7 @@ def _(t: Tables):
 )
 def _(t: Tables):
     names = t.table("nation").select("n_nationkey", "n_name")
-    rows = _stream(t, "supplier").join(F.broadcast(names), F.col("s_nationkey") == F.col("n_nationkey"))
+    rows = _stream(t, "supplier").join(broadcast_if_small(names), F.col("s_nationkey") == F.col("n_nationkey"))
     unknown = F.col("s_suppkey") % 13 == 0
     rows = rows.select(
         F.col("s_suppkey").alias("key"),
