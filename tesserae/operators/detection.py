@@ -100,6 +100,9 @@ def matches(
     own = Window.partitionBy("det_id").orderBy("soft", F.desc("iou"), F.desc("gt_id"))
     rows = pairs.withColumn("_c", F.row_number().over(own)).filter(F.col("_c") <= limit)
     choice = F.struct("det_rank", "soft", (-F.col("iou")).alias("far"), (-F.col("gt_id")).alias("back"), "det_id", "gt_id", "iou")
+    # Few bytes but much work per group: a given number keeps it on all tasks.
+    n = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = rows.repartition(n, "image_id", "category_id")
     groups = rows.groupBy("image_id", "category_id").agg(F.array_sort(F.collect_list(choice)).alias("c"))
     empty = F.array().cast("array<bigint>")
     none = F.struct(empty.alias("dets"), empty.alias("gts"), empty.alias("soft"))
