@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesserae.llm import chat_format, mixing, quality_rules, sharding, texts
+from tesserae.llm import chat_format, language_id, mixing, quality_classifier, quality_rules, sharding, texts
 from tesserae.session import materialise
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -150,3 +150,25 @@ def op9_source_mix(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     rows = materialise(docs.select("doc_id", "source", texts.word_count(F.col("text")).alias("size")))
     return mixing.mix(rows).select("doc_id", "size", "source_size", "target", "taken")
+
+
+@query
+def op10_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    """Language of every document by error-correcting output codes."""
+    docs = table(spark, folder, "documents").select("doc_id", "text", "lang")
+    part = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4))
+    docs = docs.withColumn("held_out", F.coalesce(part == 2, F.lit(False)))
+    model = language_id.fit(docs.filter(F.coalesce(part != 2, F.lit(False))), keys=["doc_id"])
+    return language_id.predict(docs, model, ["doc_id", "held_out"])
+
+
+@query
+def op3_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    """Quality of every document by the vote of its nearest labelled documents."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    part = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5))
+    docs = docs.withColumn("held_out", F.coalesce(part == 0, F.lit(False)))
+    labels = table(spark, folder, "labels").select("doc_id", "quality")
+    labelled = docs.filter(F.coalesce(part != 0, F.lit(False))).join(labels, "doc_id")
+    model = quality_classifier.fit(labelled, ["doc_id"])
+    return quality_classifier.predict(docs, model, ["doc_id", "held_out"])
