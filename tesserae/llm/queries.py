@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesserae.llm import chat_format, language_id, mixing, quality_classifier, quality_rules, sharding, texts
+from tesserae.llm import chat_format, language_id, mixing, quality_classifier, quality_rules, sharding, texts, warc
 from tesserae.session import materialise
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -172,3 +172,28 @@ def op3_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
     labelled = docs.filter(F.coalesce(part != 0, F.lit(False))).join(labels, "doc_id")
     model = quality_classifier.fit(labelled, ["doc_id"])
     return quality_classifier.predict(docs, model, ["doc_id", "held_out"])
+
+
+SQL["op7_warc"] = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS digest FROM pages),
+g AS (SELECT *, strlen(html) AS size, max(page_id) OVER (PARTITION BY digest) AS last FROM p)
+SELECT page_id, size::BIGINT AS payload_bytes, digest AS payload_digest,
+       CASE WHEN size >= 1000 AND page_id <> last THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN size >= 1000 AND page_id <> last THEN last END AS refers_to
+FROM g
+"""
+
+
+@query
+def op7_warc(spark: SparkSession, folder: str) -> DataFrame:
+    """All pages written as WARC archives and read back by byte ranges."""
+    records = warc.plan_records(table(spark, folder, "pages"))
+    found = warc.read(warc.write(records, warc.new_folder(spark)))
+    stored = F.col("payload").isNotNull()
+    return found.select(
+        warc.page_number(F.col("record_id")).alias("page_id"),
+        F.when(stored, F.octet_length("payload")).otherwise(F.col("full_length")).cast("bigint").alias("payload_bytes"),
+        F.when(stored, F.sha1("payload")).otherwise(F.col("digest")).alias("payload_digest"),
+        "record_type",
+        warc.page_number(F.col("refers_to")).alias("refers_to"),
+    )
