@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesserae.llm import chat_format, language_id, mixing, quality_classifier, quality_rules, sharding, texts, warc
+from tesserae.llm import chat_format, decontamination, language_id, mixing, quality_classifier, quality_rules, sharding, texts, warc
 from tesserae.session import materialise
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -197,3 +197,11 @@ def op7_warc(spark: SparkSession, folder: str) -> DataFrame:
         "record_type",
         warc.page_number(F.col("refers_to")).alias("refers_to"),
     )
+
+
+@query
+def op8_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    """Every benchmark item found in a document, with its best window."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    found = decontamination.with_matches(docs, table(spark, folder, "benchmark"))
+    return found.select("doc_id", F.inline("matches"))
