@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesserae.llm import chat_format, decontamination, language_id, mixing, quality_classifier, quality_rules, sharding, texts, warc
+from tesserae.llm import chat_format, decontamination, language_id, mixing, near_dedup, quality_classifier, quality_rules, sharding, texts, warc
 from tesserae.session import materialise
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -205,3 +205,9 @@ def op8_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     found = decontamination.with_matches(docs, table(spark, folder, "benchmark"))
     return found.select("doc_id", F.inline("matches"))
+
+
+@query
+def op4_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Class of near-duplicates of every document."""
+    return near_dedup.classes(table(spark, folder, "documents").select("doc_id", "text")).drop("text")
