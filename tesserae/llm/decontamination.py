@@ -26,6 +26,8 @@ from dataclasses import dataclass
 from itertools import combinations
 
 import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -102,8 +104,6 @@ def _index_key(length: np.ndarray, block: int, value: np.ndarray) -> np.ndarray:
 
 
 def build(items: Sequence[tuple[int | None, str | None]]) -> Index:
-    import pyarrow as pa
-
     items = [(i, t) for i, t in items if t]
     rows, prints, lengths, ids = [], [], [], []
     for i, text in items:
@@ -253,9 +253,6 @@ def with_matches(docs: DataFrame, items: DataFrame, item_id: str = "item_id", te
 
 
 def _searched(docs: DataFrame, shared, text: str, column: str) -> DataFrame:
-    import pandas as pd
-    import pyarrow as pa
-
     @F.pandas_udf(MATCH)
     def find(column: pd.Series) -> pd.Series:
         made = []

@@ -25,6 +25,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tesserae.llm import texts
 from tesserae.llm.names import fresh
 
 #: Weights by rank of the source, repeating.
@@ -110,3 +111,15 @@ def repeat(mixed: DataFrame) -> DataFrame:
     one = fresh(mixed, "copy")
     rows = mixed.filter("times > 0").withColumn(one, F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))))
     return rows.drop(one)
+
+
+def mixed_rows(docs: DataFrame, text: str = "text") -> DataFrame:
+    """Rows of ``docs`` as often as the mix takes them, with their columns.
+
+    Sizes per source and bin are aggregated first; whole rows meet only one row per source.
+    """
+    size = fresh(docs, "size")
+    rows = docs.withColumn(size, texts.word_count(F.col(f"`{text}`").cast("string")))
+    held = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    packed = rows.select(held, F.col("doc_id"), F.col("source"), F.col(size).alias("size"))
+    return repeat(mix(packed)).select("row.*")

@@ -18,11 +18,16 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import re
+
 import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tesserae.llm import texts
+from tesserae.llm.names import fresh
 
 #: Characters counted as symbols (fixed value).
 SYMBOLS = b"#*$%&|<>"
@@ -124,8 +129,14 @@ PRIOR_WEIGHT = 0.5
 KEEP_FROM = 0.5
 
 
-def vote(rule: Rule) -> Column:
-    return F.expr(f"CASE WHEN {rule.bad} THEN -1 WHEN {rule.good} THEN 1 ELSE 0 END").cast("int")
+def _named(condition: str, prefix: str) -> str:
+    """A condition with every count read from the column ``prefix`` + count."""
+    return re.sub("|".join(rf"\b{n}\b" for n in NAMES), lambda m: f"`{prefix}{m.group()}`", condition)
+
+
+def vote(rule: Rule, prefix: str = "") -> Column:
+    bad, good = _named(rule.bad, prefix), _named(rule.good, prefix)
+    return F.expr(f"CASE WHEN {bad} THEN -1 WHEN {good} THEN 1 ELSE 0 END").cast("int")
 
 
 @dataclass
@@ -188,18 +199,15 @@ def with_votes(measured: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFram
     return measured.withColumns({f"vote_{r.name}": vote(r) for r in rules})
 
 
-def with_quality(votes: DataFrame, model: Model, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """Add ``quality``, the posterior probability of being good, as a sum of literals per vote."""
+def quality_expression(model: Model, prefix: str = "", rules: tuple[Rule, ...] = RULES) -> tuple[Column, Column]:
+    """The posterior probability of being good as a sum of literals per vote, and the base filter's failure."""
     start, bad, good = weigh(model)
     logit = F.lit(start)
     for rule, minus, plus in zip(rules, bad, good):
-        column = F.col(f"vote_{rule.name}")
+        column = vote(rule, prefix)
         logit = logit + F.when(column < 0, float(minus)).when(column > 0, float(plus)).otherwise(0.0)
-    return votes.withColumn("quality", 1 / (1 + F.exp(-logit)))
-
-
-def base_failed() -> Column:
-    return F.expr("n_words < 50 OR 100 * n_repeat_words > 50 * n_words")
+    failed = F.expr(_named("n_words < 50 OR 100 * n_repeat_words > 50 * n_words", prefix))
+    return 1 / (1 + F.exp(-logit)), failed
 
 
 def score(measured: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
@@ -208,7 +216,26 @@ def score(measured: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     ``measured`` is read twice, once to estimate: store it first if it is dear to compute.
     """
     votes = with_votes(measured, rules)
-    out = with_quality(votes, fit(votes, rules), rules)
-    return out.withColumn("base_failed", base_failed()).withColumn(
-        "kept", ~F.col("base_failed") & (F.col("quality") >= KEEP_FROM)
-    )
+    quality, failed = quality_expression(fit(votes, rules), "", rules)
+    out = votes.withColumns({"quality": quality, "base_failed": failed})
+    return out.withColumn("kept", ~F.col("base_failed") & (F.col("quality") >= KEEP_FROM))
+
+
+def kept_rows(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """Rows that the base filter and the posterior keep, with their columns.
+
+    Each row is judged by its own text, so ids may repeat or be null. The text is read twice:
+    once for the estimate, of which only vote patterns leave the tasks, and once to filter.
+    """
+    body = F.col(f"`{text}`").cast("string")
+    model = fit(with_votes(texts.map_texts(docs.select(body.alias("text")), "text", [], COUNTS, count), rules), rules)
+    held = fresh(docs, "counts")
+
+    @F.pandas_udf(", ".join(COUNTS.split(", ")))
+    def counts(column: pd.Series) -> pd.DataFrame:
+        parts = [pd.DataFrame(count(part)) for part in texts.chunks(pa.array(column, pa.string()))]
+        return pd.concat(parts, ignore_index=True)[NAMES] if parts else pd.DataFrame({n: pd.Series(dtype="int64") for n in NAMES})
+
+    judged = docs.withColumn(held, counts(body)).select("*", *[F.col(f"{held}.{n}").alias(f"{held}_{n}") for n in NAMES])
+    posterior_column, failed = quality_expression(model, f"{held}_", rules)
+    return judged.filter(~failed & (posterior_column >= KEEP_FROM)).select(*[f"`{c}`" for c in docs.columns])
