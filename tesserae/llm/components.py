@@ -38,9 +38,9 @@ def roots(links: DataFrame) -> DataFrame:
 
     Links with a null end are ignored, links to oneself make a component of one.
     """
-    links = links.filter("a IS NOT NULL AND b IS NOT NULL").select("a", "b")
+    links = materialise(links.filter("a IS NOT NULL AND b IS NOT NULL").select("a", "b"))
     alone = links.filter("a = b").select("a")
-    links = materialise(links.filter("a <> b").distinct())
+    links = links.filter("a <> b").distinct()
     mark = None
     while True:
         links = materialise(_small_star(_large_star(links)).distinct())

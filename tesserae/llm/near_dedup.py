@@ -144,8 +144,18 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             first = last
 
 
+def _ranges(begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(which range, position) of every position of many ranges."""
+    size = end - begin
+    which = np.repeat(np.arange(len(size)), size)
+    return which, np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(begin, size)
+
+
 def _components_within(group: pd.DataFrame) -> pd.DataFrame:
-    """Links between components of one block pair: rows marked ``probe`` against all rows."""
+    """Links between components of one block pair: rows marked ``probe`` against all rows.
+
+    A pair that met in an earlier band is left to that band.
+    """
     part = next(texts.chunks(pa.array(group["text"], pa.string()), 1 << 62))
     row, shingle, count = _weighted(part)
     order = np.argsort(row, kind="stable")
@@ -156,22 +166,28 @@ def _components_within(group: pd.DataFrame) -> pd.DataFrame:
     begin = np.searchsorted(row, np.arange(n + 1))
     labels, component = np.unique(group["root"].map(bytes).to_numpy(), return_inverse=True)
     parent = np.arange(len(labels))
+    earlier = np.stack(group["keys"].to_list())[:, : int(group["band"].iloc[0])]
     made = []
     ids = group["tid"].map(bytes).to_numpy()
+    weight = np.zeros(len(vocabulary))
     for i in np.flatnonzero(group["probe"].to_numpy()):
-        mine = parent[component[i]]
-        if (parent[component] == mine).all() or begin[i] == begin[i + 1]:
+        # Texts of very different sizes can't be that similar.
+        able = (parent[component] != parent[component[i]]) & (size >= SIMILARITY * size[i]) & (size[i] >= SIMILARITY * size)
+        near = np.flatnonzero(able)
+        near = near[~(earlier[near] == earlier[i]).any(1)]
+        if not len(near):
             continue
-        weight = np.zeros(len(vocabulary))
-        weight[code[begin[i] : begin[i + 1]]] = count[begin[i] : begin[i + 1]]
-        common = np.bincount(row, weights=np.minimum(count, weight[code]), minlength=n)
-        similar = common >= SIMILARITY * (size + size[i] - common) - 1e-9
-        for j in np.flatnonzero(similar & (parent[component] != mine)):
-            theirs = parent[component[j]]
-            if theirs == mine:
-                continue
-            made.append((ids[i], ids[j]))
-            parent[parent == theirs] = mine
+        own = slice(begin[i], begin[i + 1])
+        weight[code[own]] = count[own]
+        which, at = _ranges(begin[near], begin[near + 1])
+        common = np.bincount(which, weights=np.minimum(count[at], weight[code[at]]), minlength=len(near))
+        weight[code[own]] = 0
+        similar = common >= SIMILARITY * (size[near] + size[i] - common) - 1e-9
+        for j in near[similar]:
+            mine, theirs = parent[component[i]], parent[component[j]]
+            if theirs != mine:
+                made.append((ids[i], ids[j]))
+                parent[parent == theirs] = mine
     return pd.DataFrame(made, columns=["a", "b"])
 
 
@@ -190,7 +206,7 @@ def links(docs: DataFrame, tid: str, text: str) -> DataFrame:
     pairs = members.filter("tid <> leader").select(F.col("leader").alias("a"), F.col("tid").alias("b")).distinct()
     # One text of each node that is in a bucket.
     wanted = members.select("tid").distinct()
-    bodies = materialise(source.join(wanted, "tid", "left_semi").groupBy("tid").agg(F.first("text").alias("text")))
+    bodies = materialise(source.join(wanted, "tid", "left_semi").groupBy("tid").agg(F.first("text").alias("text")).join(keys, "tid"))
     one, other = (bodies.select(F.col("tid").alias(c), F.col("text").alias(f"text_{c}")) for c in ("a", "b"))
     compared = pairs.join(other, "b").join(one, "a").select("a", "b", "text_a", "text_b")
     verified = materialise(compared.mapInArrow(_verify, "a binary, b binary"))
