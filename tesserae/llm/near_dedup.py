@@ -11,11 +11,12 @@ one point.
 
 Candidates and links:
 
-1. Texts that share a band of the signature share a bucket. Equal texts are one node.
+1. Texts that share a band of the signature share a bucket, cut by the sizes of the sets.
+   Equal texts are one node.
 2. In each bucket all texts are compared with one leader, the one whose buckets hold the most
    texts in all: the original of a large group of copies. Components follow.
 3. In buckets whose other texts still belong to several components, the texts outside the
-   largest are compared with all others, in blocks of a bounded number of texts per task.
+   largest are compared with all others, in blocks of bounded size per task.
    A task returns one link per text and component it joins, never all pairs. So every pair
    of a bucket is either verified or already in one component.
 
@@ -43,10 +44,13 @@ from tesserae.llm.names import fresh
 from tesserae.session import materialise
 
 SIMILARITY = 0.8
-#: 1 - (1 - 0.8**4)**20: all but 3 in 100,000 pairs at the threshold share a band.
-BANDS, BAND_ROWS = 20, 4
-#: Texts of one bucket that one task compares at a time.
-BLOCK_TEXTS = 256
+#: 1 - (1 - 0.8**5)**24: all but 7 in 100,000 pairs at the threshold share a band.
+BANDS, BAND_ROWS = 24, 5
+#: Shingles of the texts of one block; a task compares two blocks at a time.
+BLOCK_SHINGLES = 400_000
+
+#: Columns that name a bucket: its band, the key of the band, and a class of sizes.
+BUCKET = ["band", "key", "level"]
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _SPLIT = np.uint64(0xC2B2AE3D27D4EB4F)
@@ -103,7 +107,8 @@ def _keys_of(part: texts.Texts) -> dict:
     row, shingle, count = _weighted(part)
     has = np.bincount(row, minlength=part.count) > 0
     keys = band_keys(signatures(row, shingle, count, part.count, BANDS * BAND_ROWS)).view(np.int64)
-    return {"keys": [k if h else k[:0] for k, h in zip(keys, has)]}
+    size = np.bincount(row, weights=count, minlength=part.count).astype(np.int64)
+    return {"keys": [k if h else k[:0] for k, h in zip(keys, has)], "size": size}
 
 
 def overlaps(left: texts.Texts, right: texts.Texts) -> np.ndarray:
@@ -154,7 +159,7 @@ def _ranges(begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 def _components_within(group: pd.DataFrame) -> pd.DataFrame:
     """Links between components of one block pair: rows marked ``probe`` against all rows.
 
-    A pair that met in an earlier band is left to that band.
+    A pair that met in an earlier band or size class is left to that.
     """
     part = next(texts.chunks(pa.array(group["text"], pa.string()), 1 << 62))
     row, shingle, count = _weighted(part)
@@ -167,12 +172,16 @@ def _components_within(group: pd.DataFrame) -> pd.DataFrame:
     labels, component = np.unique(group["root"].map(bytes).to_numpy(), return_inverse=True)
     parent = np.arange(len(labels))
     earlier = np.stack(group["keys"].to_list())[:, : int(group["band"].iloc[0])]
+    # Two texts that are both here from the class below have met there.
+    up = group["up"].to_numpy()
     made = []
     ids = group["tid"].map(bytes).to_numpy()
     weight = np.zeros(len(vocabulary))
     for i in np.flatnonzero(group["probe"].to_numpy()):
         # Texts of very different sizes can't be that similar.
         able = (parent[component] != parent[component[i]]) & (size >= SIMILARITY * size[i]) & (size[i] >= SIMILARITY * size)
+        if up[i]:
+            able &= ~up
         near = np.flatnonzero(able)
         near = near[~(earlier[near] == earlier[i]).any(1)]
         if not len(near):
@@ -194,15 +203,22 @@ def _components_within(group: pd.DataFrame) -> pd.DataFrame:
 def links(docs: DataFrame, tid: str, text: str) -> DataFrame:
     """(node, root) of all distinct texts that are linked to a different text."""
     source = docs.filter(F.col(tid).isNotNull()).select(F.col(tid).alias("tid"), F.col(text).alias("text"))
-    keys = texts.map_texts(source, "text", ["tid"], "keys array<bigint>", _keys_of)
+    keys = texts.map_texts(source, "text", ["tid"], "keys array<bigint>, size bigint", _keys_of)
     keys = materialise(keys.dropDuplicates(["tid"]))
-    rows = keys.select("tid", F.posexplode("keys").alias("band", "key"))
-    sizes = rows.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    members = materialise(rows.join(sizes, ["band", "key"]))
+    rows = keys.select("tid", "size", F.posexplode("keys").alias("band", "key"))
+    sizes = rows.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    # Sets that differ much in size can't be similar: a bucket is cut into size classes, and
+    # each text is in its own and the next, so that sizes within 1 / SIMILARITY always meet.
+    level = F.floor(F.log(F.col("size").cast("double")) / F.log(F.lit(1 / SIMILARITY)) + 1e-9).cast("int")
+    members = materialise(rows.join(sizes, ["band", "key"]).select("tid", "band", "key", level.alias("level")))
+    both = F.array(F.struct("level", F.lit(False).alias("up")), F.struct((F.col("level") + 1).alias("level"), F.lit(True).alias("up")))
+    members = members.select("tid", "band", "key", F.inline(both))
+    sizes = members.groupBy(*BUCKET).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    members = materialise(members.join(sizes, BUCKET))
     # Leaders: texts in the fullest buckets.
     central = members.groupBy("tid").agg(F.sum("n").alias("central"))
-    leaders = members.join(central, "tid").groupBy("band", "key").agg(F.max(F.struct("central", "tid"))["tid"].alias("leader"))
-    members = materialise(members.join(leaders, ["band", "key"]))
+    leaders = members.join(central, "tid").groupBy(*BUCKET).agg(F.max(F.struct("central", "tid"))["tid"].alias("leader"))
+    members = materialise(members.join(leaders, BUCKET))
     pairs = members.filter("tid <> leader").select(F.col("leader").alias("a"), F.col("tid").alias("b")).distinct()
     # One text of each node that is in a bucket.
     wanted = members.select("tid").distinct()
@@ -214,28 +230,31 @@ def links(docs: DataFrame, tid: str, text: str) -> DataFrame:
 
     # What is left: buckets whose texts other than the leader are in several components.
     placed = members.filter("tid <> leader").join(found, members["tid"] == found["node"], "left")
-    placed = placed.withColumn("root", F.coalesce("root", "tid")).select("band", "key", "tid", "root")
-    open_keys = placed.groupBy("band", "key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("n"))
-    open_keys = open_keys.filter("lo <> hi").select("band", "key", "n")
-    left = materialise(placed.join(open_keys, ["band", "key"]))
+    placed = placed.withColumn("root", F.coalesce("root", "tid")).select(*BUCKET, "tid", "up", "root")
+    placed = placed.join(bodies.select("tid", "size"), "tid")
+    open_keys = placed.groupBy(*BUCKET).agg(
+        F.min("root").alias("lo"), F.max("root").alias("hi"), F.min("up").alias("up"), F.sum("size").alias("n")
+    )
+    open_keys = open_keys.filter("lo <> hi AND NOT up").select(*BUCKET, "n")
+    left = materialise(placed.join(open_keys, BUCKET))
     if left.isEmpty():
         return found
-    main = left.groupBy("band", "key", "root").agg(F.count(F.lit(1)).alias("m"))
-    main = main.groupBy("band", "key").agg(F.max(F.struct("m", "root"))["root"].alias("main"), F.sum("m").alias("n"))
-    left = left.drop("n").join(main, ["band", "key"])
-    block = lambda n: F.greatest(F.lit(1), F.ceil(n / BLOCK_TEXTS)).cast("int")
-    mine = F.pmod(F.xxhash64("tid"), block(F.col("n"))).cast("int")
+    main = left.groupBy(*BUCKET, "root").agg(F.count(F.lit(1)).alias("m"))
+    main = main.groupBy(*BUCKET).agg(F.max(F.struct("m", "root"))["root"].alias("main"))
+    left = left.join(main, BUCKET)
+    blocks = F.ceil(F.col("n") / BLOCK_SHINGLES).cast("int")
+    mine = F.pmod(F.xxhash64("tid"), blocks).cast("int")
     # Rows of the largest component and all others meet each block of the others.
-    rows = left.withColumns({"block": mine, "probe": F.col("root") != F.col("main"), "blocks": block(F.col("n"))})
+    rows = left.withColumns({"block": mine, "probe": F.col("root") != F.col("main"), "blocks": blocks})
     as_all = rows.filter("blocks > 1").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("probe", F.lit(False))
     as_probe = rows.filter("probe AND blocks > 1").withColumnRenamed("block", "other")
     as_probe = as_probe.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     small = rows.filter("blocks = 1").withColumn("other", F.lit(0))
-    cells = small.unionByName(as_all).unionByName(as_probe).select("band", "key", "block", "other", "tid", "root", "probe")
+    cells = small.unionByName(as_all).unionByName(as_probe).select(*BUCKET, "block", "other", "tid", "up", "root", "probe")
     # A cell without a probe has nothing to compare.
-    busy = cells.groupBy("band", "key", "block", "other").agg(F.max("probe").alias("p")).filter("p").drop("p")
-    cells = cells.join(busy, ["band", "key", "block", "other"]).join(bodies, "tid")
-    more = cells.groupBy("band", "key", "block", "other").applyInPandas(_components_within, "a binary, b binary")
+    busy = cells.groupBy(*BUCKET, "block", "other").agg(F.max("probe").alias("p")).filter("p").drop("p")
+    cells = cells.join(busy, [*BUCKET, "block", "other"]).join(bodies, "tid")
+    more = cells.groupBy(*BUCKET, "block", "other").applyInPandas(_components_within, "a binary, b binary")
     edges = found.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more)
     return materialise(roots(edges))
 
