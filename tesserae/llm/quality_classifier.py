@@ -140,15 +140,19 @@ def vote(model: Model, x: np.ndarray) -> np.ndarray:
     return np.where(total > 0, score, model.share)
 
 
-def fit(labelled: DataFrame, keys: list[str], text: str = "text", label: str = "quality") -> Model | None:
-    """Fit on rows whose label is 0 or 1."""
-    usable = labelled.filter(F.col(label).isin(0, 1))
+def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality") -> Model | None:
+    """Fit on the documents that ``labels`` (``key``, ``label``) gives 0 or 1.
+
+    The sample is drawn from the labels, so only its few keys are sent to the documents.
+    """
+    usable = labels.filter(F.col(label).isin(0, 1) & F.col(key).isNotNull()).select(key, label)
     sizes = {row[label]: row["count"] for row in usable.groupBy(label).count().collect()}
-    rows = sample(usable, PER_CLASS, label, keys, 2)
+    drawn = sample(usable, PER_CLASS, label, [key], 2).dropDuplicates([key]).limit(4 * PER_CLASS)
+    rows = docs.select(key, text).join(F.broadcast(drawn), key)
     found = texts.map_texts(
         rows, text, [label], "vector binary", lambda part: {"vector": [v.tobytes() for v in terms(part).astype(np.float32)]}
     )
-    # The draw is bounded in expectation; rows that repeat a key are bounded here.
+    # Documents that repeat a key are bounded here.
     found = found.limit(4 * PER_CLASS).toPandas()
     if found.empty:
         return None

@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesserae.llm import chat_format, decontamination, language_id, mixing, near_dedup, quality_classifier, quality_rules, sharding, texts, warc
+from tesserae.llm import chat_format, decontamination, language_id, line_dedup, mixing, near_dedup, quality_classifier, quality_rules, sharding, texts, warc
 from tesserae.session import materialise
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -169,8 +169,7 @@ def op3_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
     part = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5))
     docs = docs.withColumn("held_out", F.coalesce(part == 0, F.lit(False)))
     labels = table(spark, folder, "labels").select("doc_id", "quality")
-    labelled = docs.filter(F.coalesce(part != 0, F.lit(False))).join(labels, "doc_id")
-    model = quality_classifier.fit(labelled, ["doc_id"])
+    model = quality_classifier.fit(docs, labels.filter(part != 0))
     return quality_classifier.predict(docs, model, ["doc_id", "held_out"])
 
 
@@ -211,3 +210,9 @@ def op8_decontamination(spark: SparkSession, folder: str) -> DataFrame:
 def op4_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """Class of near-duplicates of every document."""
     return near_dedup.classes(table(spark, folder, "documents").select("doc_id", "text")).drop("text")
+
+
+@query
+def op6_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Every different line of the corpus with its copies, its links and its class."""
+    return line_dedup.line_classes(table(spark, folder, "documents"))
