@@ -36,20 +36,18 @@ def _small_star(links: DataFrame) -> DataFrame:
 def roots(links: DataFrame) -> DataFrame:
     """(a, b) links to (node, root): every linked node and the least node of its component.
 
-    Links with a null end are ignored, links to oneself make a component of one.
+    Links with a null end and links to oneself are ignored.
     """
-    links = materialise(links.filter("a IS NOT NULL AND b IS NOT NULL").select("a", "b"))
-    alone = links.filter("a = b").select("a")
-    links = links.filter("a <> b").distinct()
+    links = links.filter("a IS NOT NULL AND b IS NOT NULL AND a <> b").select("a", "b")
     mark = None
     while True:
         links = materialise(_small_star(_large_star(links)).distinct())
         # A fixed point keeps its links: their number and hashed sum stay the same.
-        now = links.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.lit(0)).alias("s")).first()
-        if mark == tuple(now):
+        total = F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))
+        now = tuple(links.agg(F.count(F.lit(1)), total).first())
+        if now[0] == 0 or mark == now:
             break
-        mark = tuple(now)
-    found = links.select(F.col("a").alias("node"), F.col("b").alias("root"))
-    found = found.unionByName(links.select(F.col("b").alias("node"), F.col("b").alias("root"))).distinct()
-    alone = alone.distinct().join(found, alone["a"] == found["node"], "left_anti")
-    return found.unionByName(alone.select(F.col("a").alias("node"), F.col("a").alias("root")))
+        mark = now
+    # Every root is an end, every other node a beginning, of a link.
+    ends = links.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
+    return links.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(ends)

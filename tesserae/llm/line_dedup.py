@@ -35,7 +35,11 @@ from tesserae.session import materialise, shared_dir
 EDITS = 2
 MIN_CHARS = 30
 #: Index entries of one key from which on they are matched in blocks of this many.
-BLOCK_LINES = 64
+BLOCK_LINES = 16
+#: Letters that are counted to rule out pairs inside blocks.
+LETTERS = "abcdefghijklmnopqrstuvwxyz"
+#: Pieces of a line that are looked for in the other before a pair is verified.
+PIECES = 16
 
 
 def segment(length: Column, number: int, edits: int) -> tuple[Column, Column]:
@@ -75,8 +79,97 @@ def probe_keys(line: Column, length: Column, edits: int) -> Column:
     return F.array_distinct(F.array_compact(F.array(*out)))
 
 
+def letters(line: Column) -> Column:
+    """How often each of the letters a to z occurs."""
+    return F.array(*[F.length(line) - F.length(F.replace(line, F.lit(c), F.lit(""))) for c in LETTERS])
+
+
+def letters_near(a: Column, b: Column, edits: int) -> Column:
+    """A necessary condition on letter counts: an edit takes one letter and adds one at most."""
+    apart = F.zip_with(a, b, lambda x, y: F.abs(x - y))
+    return F.aggregate(apart, F.lit(0), lambda total, x: total + x) <= 2 * edits
+
+
+def may_be_within(a: Column, b: Column, edits: int) -> Column:
+    """A necessary condition: of disjoint pieces of ``a`` an edit harms one at most, and an unharmed
+    piece stands in ``b`` no further than ``edits`` from its place."""
+    size = F.floor(F.length(a) / PIECES).cast("int")
+    harmed = F.lit(0)
+    for number in range(PIECES):
+        start = size * number
+        before = F.least(start, F.lit(edits))
+        around = F.substring(b, start - before + 1, size + before + edits)
+        harmed = harmed + F.when(F.contains(around, F.substring(a, start + 1, size)), 0).otherwise(1)
+    return harmed <= edits
+
+
 def within(a: Column, b: Column, edits: int) -> Column:
-    return F.levenshtein(a, b, edits) >= 0
+    """Whether the edit distance is at most ``edits``, by a banded bit-parallel computation.
+
+    The band holds the rows within ``edits`` of the diagonal. Column by column, two numbers hold
+    where the distance grows (``vp``) and falls (``vn``) from row to row, one bit per row; sums
+    and shifts of these bits give the next column. ``score`` follows the lowest row of the band
+    and, once that has reached the end of ``a``, its last row. ``a`` must have ``edits``
+    characters at least.
+    """
+    width = 2 * edits + 1
+    full, top = (1 << width) - 1, 1 << (width - 1)
+    chars_a, chars_b = F.split(a, ""), F.split(b, "")
+    pair = F.struct(chars_a.alias("a"), chars_b.alias("b"), F.length(a).alias("m"), F.length(b).alias("n"))
+
+    def distance(p: Column) -> Column:
+        start = F.struct(
+            F.lit(full ^ ((1 << (width - edits - 1)) - 1)).cast("bigint").alias("vp"),
+            F.lit(0).cast("bigint").alias("vn"),
+            F.lit(edits).alias("score"),
+            F.lit(top >> 1).cast("bigint").alias("last"),
+        )
+
+        def step(state: Column, j: Column) -> Column:
+            match = F.lit(0).cast("bigint")
+            here = F.get(p["b"], j)
+            for k in range(width):
+                row = j + (edits - (width - 1 - k))
+                same = (row >= 0) & (F.get(p["a"], row) == here)
+                match = match + F.when(same, F.lit(1 << k).cast("bigint")).otherwise(F.lit(0).cast("bigint"))
+            return column(state, match, j)
+
+        def column(state: Column, match: Column, j: Column) -> Column:
+            # One value is bound to a name by a fold over a single element.
+            first = F.aggregate(
+                F.array(match),
+                F.struct(state["vp"].alias("vp"), state["vn"].alias("vn"), F.lit(0).cast("bigint").alias("d")),
+                lambda s, x: F.struct(
+                    s["vp"].alias("vp"),
+                    s["vn"].alias("vn"),
+                    (
+                        ((x.bitwiseAND(s["vp"]) + s["vp"]).bitwiseXOR(s["vp"])).bitwiseOR(x).bitwiseOR(s["vn"]).bitwiseAND(F.lit(full))
+                    ).alias("d"),
+                ),
+            )
+            return F.get(F.transform(F.array(first), lambda f: _next(state, f, p, j, edits, full, top)), F.lit(0))
+
+        return F.aggregate(F.sequence(F.lit(0), p["n"] - 1), start, step, lambda s: s["score"])
+
+    near = F.get(F.transform(F.array(pair), distance), F.lit(0)) <= edits
+    return (F.abs(F.length(a) - F.length(b)) <= edits) & near
+
+
+def _next(state: Column, f: Column, p: Column, j: Column, edits: int, full: int, top: int) -> Column:
+    """The state after a column with diagonal bits ``f.d``."""
+    up = f["vn"].bitwiseOR(F.bitwise_not(f["d"].bitwiseOR(f["vp"]))).bitwiseAND(F.lit(full))
+    down = f["d"].bitwiseAND(f["vp"])
+    slid = F.shiftright(f["d"], 1)
+    inside = j < p["m"] - edits
+    bit = lambda value, mask: F.when(value.bitwiseAND(mask) != 0, 1).otherwise(0)
+    along = state["score"] + 1 - bit(f["d"], F.lit(top).cast("bigint"))
+    across = state["score"] + bit(up, state["last"]) - bit(down, state["last"])
+    return F.struct(
+        down.bitwiseOR(F.bitwise_not(slid.bitwiseOR(up))).bitwiseAND(F.lit(full)).alias("vp"),
+        slid.bitwiseAND(up).alias("vn"),
+        F.when(inside, along).otherwise(across).cast("int").alias("score"),
+        F.when(inside, state["last"]).otherwise(F.shiftright(state["last"], 1)).alias("last"),
+    )
 
 
 def distinct_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -112,21 +205,26 @@ def links(lines: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS, bloc
     pairs = cold.select(F.col("i.id").alias("a"), F.col("p.id").alias("b")).distinct()
     one, other = (usable.select(F.col("id").alias(c), F.col("line").alias(f"line_{c}")) for c in ("a", "b"))
     pairs = pairs.join(one, "a").join(other, "b")
+    pairs = pairs.filter(may_be_within(F.col("line_a"), F.col("line_b"), edits))
     found = pairs.filter(within(F.col("line_a"), F.col("line_b"), edits)).select("a", "b")
     if hot.isEmpty():
         return materialise(found)
 
     blocks = F.ceil(F.col("n") / block_lines).cast("int")
     held = index.join(hot, "key").withColumn("block", F.pmod(F.xxhash64("id"), blocks).cast("int")).drop("length", "n")
-    held = held.join(usable, "id").groupBy("key", "block").agg(F.collect_list(F.struct("id", "line", "length")).alias("lines"))
+    held = held.join(usable, "id").groupBy("key", "block").agg(
+        F.collect_list(F.struct("id", "line", "length", letters(line).alias("letters"))).alias("lines")
+    )
     asked = probe.drop("length").join(hot, "key").withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1))).drop("n")
-    asked = asked.join(usable, "id")
+    asked = asked.join(usable, "id").withColumn("letters", letters(line))
     met = asked.join(held, ["key", "block"])
     near = F.filter(
         "lines",
         lambda x: (
             (F.abs(x["length"] - F.col("length")) <= edits)
             & ((x["length"] < F.col("length")) | (x["id"] < F.col("id")))
+            & letters_near(x["letters"], F.col("letters"), edits)
+            & may_be_within(x["line"], F.col("line"), edits)
             & within(x["line"], F.col("line"), edits)
         ),
     )

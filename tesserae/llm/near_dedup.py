@@ -226,7 +226,7 @@ def links(docs: DataFrame, tid: str, text: str) -> DataFrame:
     one, other = (bodies.select(F.col("tid").alias(c), F.col("text").alias(f"text_{c}")) for c in ("a", "b"))
     compared = pairs.join(other, "b").join(one, "a").select("a", "b", "text_a", "text_b")
     verified = materialise(compared.mapInArrow(_verify, "a binary, b binary"))
-    found = materialise(roots(verified))
+    found = roots(verified)
 
     # What is left: buckets whose texts other than the leader are in several components.
     placed = members.filter("tid <> leader").join(found, members["tid"] == found["node"], "left")
@@ -256,7 +256,7 @@ def links(docs: DataFrame, tid: str, text: str) -> DataFrame:
     cells = cells.join(busy, [*BUCKET, "block", "other"]).join(bodies, "tid")
     more = cells.groupBy(*BUCKET, "block", "other").applyInPandas(_components_within, "a binary, b binary")
     edges = found.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more)
-    return materialise(roots(edges))
+    return roots(materialise(edges))
 
 
 def text_id(text):
