@@ -288,18 +288,18 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", name: str
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row of each class: that with the least key, any one of those that repeat it. Null texts all stay."""
-    columns = docs.columns
-    tid, root, best = fresh(docs, "tid"), fresh(docs, "root"), fresh(docs, "best")
-    tagged = docs.withColumn(tid, text_id(F.col(f"`{text}`").cast("string")))
-    found = links(tagged, tid, text).select(F.col("node").alias(best), F.col("root").alias(root))
-    ids = tagged.filter(F.col(tid).isNotNull()).groupBy(F.col(tid), F.col(f"`{key}`").alias("k")).agg(F.count(F.lit(1)).alias("n"))
-    ids = ids.join(found, ids[tid] == found[best], "left").withColumn(root, F.coalesce(root, tid))
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    body = F.col(f"`{text}`").cast("string")
+    rows = docs.select(whole, F.col(f"`{key}`").alias("key"), body.alias("text"), text_id(body).alias("tid"))
+    found = links(rows, "tid", "text")
+    ids = rows.filter("tid IS NOT NULL").groupBy("tid", "key").agg(F.count(F.lit(1)).alias("n"))
+    ids = ids.join(found, ids["tid"] == found["node"], "left").withColumn("root", F.coalesce("root", "tid"))
     # Least key first, null keys last, then the least text.
-    first = F.min(F.struct(F.col("k").isNull().alias("none"), F.col("k"), F.col(tid).alias("t"), F.col("n")))
-    chosen = materialise(ids.groupBy(root).agg(first.alias("f")).select("f.t", "f.k", "f.n"))
-    same = (tagged[tid] == chosen["t"]) & tagged[key].eqNullSafe(chosen["k"])
-    kept = tagged.join(chosen, same).drop("t", "k")
-    once = kept.filter("n = 1").select(*[f"`{c}`" for c in columns])
+    first = F.min(F.struct(F.col("key").isNull().alias("none"), "key", "tid", "n"))
+    chosen = materialise(ids.groupBy("root").agg(first.alias("f")).select(F.col("f.tid").alias("t"), F.col("f.key").alias("k"), "f.n"))
+    same = (rows["tid"] == chosen["t"]) & rows["key"].eqNullSafe(chosen["k"])
+    kept = rows.select("row", "tid", "key").join(chosen, same)
+    once = kept.filter("n = 1").select("row")
     # Rows that repeat key and text: any one of them.
-    again = kept.filter("n > 1").dropDuplicates([tid]).select(*[f"`{c}`" for c in columns])
-    return tagged.filter(F.col(tid).isNull()).select(*[f"`{c}`" for c in columns]).unionByName(once).unionByName(again)
+    again = kept.filter("n > 1").select("tid", "row").dropDuplicates(["tid"]).select("row")
+    return rows.filter("tid IS NULL").select("row").unionByName(once).unionByName(again).select("row.*")
