@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 
 from tesserae.llm import texts
 from tesserae.llm.names import fresh
+from tesserae.session import materialise
 
 #: Weights by rank of the source, repeating.
 WEIGHTS = (5, 2, 1)
@@ -88,7 +89,9 @@ def mix(
         F.min(F.struct(F.col(part).alias("bin"), (F.col(start) - F.col(run)).alias("sum"))).alias(edge)
     )
     plan = plan.join(edges, plan["source"].eqNullSafe(edges[key]), "left").drop(key)
-    plan = plan.withColumnRenamed("source", key)
+    # Stored, its size is known: a table of one row per source is then sent to the tasks when it
+    # is below Spark's own limit for that, and no row of a hot source moves.
+    plan = materialise(plan.withColumnRenamed("source", key))
     rows = drawn.join(plan, drawn["source"].eqNullSafe(plan[key])).drop(key)
 
     inside = F.col(part) == F.col(f"{edge}.bin")
