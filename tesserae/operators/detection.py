@@ -92,12 +92,13 @@ def matches(
     """(det_id, hit[]): for each threshold 1 when the detection gets a truth box, else 0.
 
     Detections choose in score order, each takes its best free box, the later one of equal
-    overlaps. Boxes outside ``area`` are only taken when no other is left, and give -1. At most ``limit`` detections choose, so a detection never needs more than its
-    ``limit`` best boxes: a group is at most ``limit`` squared pairs and is settled inside
-    one row.
+    overlaps. Boxes outside ``area`` are only taken when no other is left, and give -1. At
+    most ``limit`` detections choose, so a detection never needs more than its ``limit`` best
+    boxes inside and as many outside, whatever the threshold: a group is at most twice
+    ``limit`` squared pairs and is settled inside one row.
     """
     pairs = pairs.withColumn("soft", _outside(F.col("gt_area"), area))
-    own = Window.partitionBy("det_id").orderBy("soft", F.desc("iou"), F.desc("gt_id"))
+    own = Window.partitionBy("det_id", "soft").orderBy(F.desc("iou"), F.desc("gt_id"))
     rows = pairs.withColumn("_c", F.row_number().over(own)).filter(F.col("_c") <= limit)
     choice = F.struct("det_rank", "soft", (-F.col("iou")).alias("far"), (-F.col("gt_id")).alias("back"), "det_id", "gt_id", "iou")
     # Few bytes but much work per group: a given number keeps it on all tasks.

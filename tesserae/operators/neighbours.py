@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 
 from tesserae.functions import vectors as vec
 from tesserae.functions.core import uniform
+from tesserae.operators.ordering import number_rows
+from tesserae.session import materialise
 
 #: Largest code book that is sent to every task.
 MAX_CODEBOOK = 16_384
@@ -47,10 +49,27 @@ def collect_codebook(codebook: DataFrame) -> tuple[np.ndarray, np.ndarray] | Non
     rows = codebook.select("code", "e").limit(MAX_CODEBOOK + 1).collect()
     if len(rows) > MAX_CODEBOOK:
         return None
+    return _book(rows)
+
+
+def _book(rows: list) -> tuple[np.ndarray, np.ndarray]:
     rows = sorted(rows, key=lambda x: x["code"])
     return np.array([x["code"] for x in rows]), np.array([x["e"] for x in rows], dtype=np.float64)
 
 
+def codebook_slices(codebook: DataFrame) -> Iterator[np.ndarray]:
+    """The entries in code order, at most ``MAX_CODEBOOK`` at a time."""
+    book = collect_codebook(codebook)
+    if book is not None:
+        yield book[1]
+        return
+    placed = number_rows(codebook.select("code", "e"), [], ["code"], "_place")
+    count = placed.count()
+    for first in range(0, count, MAX_CODEBOOK):
+        rows = placed.filter((F.col("_place") > first) & (F.col("_place") <= first + MAX_CODEBOOK))
+        yield _book(rows.collect())[1]
+
+
 def _add_column(df: DataFrame, name: str, kind: str, make: Callable[[pd.DataFrame], list]) -> DataFrame:
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
 
@@ -65,12 +84,17 @@ def _add_column(df: DataFrame, name: str, kind: str, make: Callable[[pd.DataFram
 def codebook_products(
     vectors: DataFrame, codebook: DataFrame, column: str, name: str, scale: float = 1.0
 ) -> DataFrame:
-    """Add the array of scaled dot products with all code book entries, in code order."""
-    book = collect_codebook(codebook)
-    if book is None:
-        raise ValueError(f"one product per entry needs a code book of at most {MAX_CODEBOOK} entries")
-    entries = book[1] * scale
-    return _add_column(vectors, name, "array<double>", lambda b: list(_matrix(b[column]) @ entries.T))
+    """Add the array of scaled dot products with all code book entries, in code order.
+
+    A code book above ``MAX_CODEBOOK`` entries is sent in slices, one after the other.
+    """
+    out = vectors.drop(name)
+    for i, entries in enumerate(codebook_slices(codebook)):
+        part = name if i == 0 else "_more"
+        out = _add_column(out, part, "array<double>", lambda b, m=entries.T * scale: list(_matrix(b[column]) @ m))
+        if i:
+            out = out.withColumn(name, F.concat(name, "_more")).drop("_more")
+    return out
 
 
 def nearest_code(
@@ -80,17 +104,18 @@ def nearest_code(
     lowest code. Vectors and entries are scaled to unit length first when asked."""
     book = collect_codebook(codebook)
     if book is None:
-        left, right = vectors, codebook
+        # Rows get a number of their own, as the key may repeat or be no number.
+        rows = materialise(vectors.withColumn("_row", F.monotonically_increasing_id()))
+        left, right = F.col(column), F.col("e")
         if normalise:
-            left = vectors.withColumn(column, vec.normalise(column))
-            right = codebook.withColumn("e", vec.normalise("e"))
+            left, right = vec.normalise(column), vec.normalise("e")
         found = nearest(
-            left.select(F.col(key).alias("id"), F.col(column).alias("v")),
-            right.select(F.col("code").alias("id"), F.col("e").alias("v")),
+            rows.select(F.col("_row").alias("id"), left.alias("v")),
+            codebook.select(F.col("code").alias("id"), right.alias("v")),
             1,
         )
-        found = found.select(F.col("id").alias(key), F.col("other").alias("code"), "distance")
-        return vectors.join(found, key)
+        found = found.select(F.col("id").alias("_row"), F.col("other").cast("bigint").alias("code"), "distance")
+        return rows.join(found, "_row").drop("_row")
     codes, entries = book
 
     def unit(m: np.ndarray) -> np.ndarray:
@@ -116,12 +141,20 @@ def entry_of_code(rows: DataFrame, codebook: DataFrame, code: str = "code", norm
 
 
 def soft_entry(rows: DataFrame, codebook: DataFrame, weights: str, name: str = "z") -> DataFrame:
-    """Add the weighted sum of code book entries; ``weights`` is in code order."""
-    book = collect_codebook(codebook)
-    if book is None:
-        raise ValueError(f"one weight per entry needs a code book of at most {MAX_CODEBOOK} entries")
-    entries = book[1]
-    return _add_column(rows, name, "array<double>", lambda b: list(_matrix(b[weights]) @ entries))
+    """Add the weighted sum of code book entries; ``weights`` is in code order.
+
+    A code book above ``MAX_CODEBOOK`` entries is sent in slices whose sums are added.
+    """
+    out, first = rows.drop(name), 0
+    for i, entries in enumerate(codebook_slices(codebook)):
+        part, last = name if i == 0 else "_more", first + len(entries)
+        out = _add_column(
+            out, part, "array<double>", lambda b, m=entries, f=first, t=last: list(_matrix(b[weights])[:, f:t] @ m)
+        )
+        if i:
+            out = out.withColumn(name, F.zip_with(name, "_more", lambda x, y: x + y)).drop("_more")
+        first = last
+    return out
 
 
 # blocked join -------------------------------------------------------------------------

@@ -145,7 +145,12 @@ def running_totals(
     sums: dict[str, str],
     hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
-    """Add inclusive running sums ``{new column: summed column}`` in order within each group."""
+    """Add inclusive running sums ``{new column: summed column}`` in order within each group.
+
+    With an empty ``group`` the sums run over the whole table, always by slices.
+    """
+    if not group:
+        return _totals_sliced(df, [], order, sums)
     cold, hot = split_hot(df, group, hot_rows)
     window = Window.partitionBy(*group).orderBy(*_cols(order))
     window = window.rowsBetween(Window.unboundedPreceding, 0)

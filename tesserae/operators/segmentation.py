@@ -69,6 +69,10 @@ def mean_iou(per_class: DataFrame) -> DataFrame:
     return per_class.agg(F.avg("iou").alias("miou"))
 
 
+#: Fixed value: number of size classes.
+SIZE_BUCKETS = 4
+
+
 def _size_bucket(share: Column) -> Column:
     return F.when(share <= 5, 0).when(share <= 25, 1).when(share <= 50, 2).otherwise(3).cast("bigint")
 
@@ -90,9 +94,11 @@ def size_parts(pairs: DataFrame) -> DataFrame:
 
 
 def iou_by_size(parts: DataFrame, classes: int) -> DataFrame:
-    """(bucket, miou): mean IoU in percent over classes that occur in the truth."""
+    """(bucket, miou): mean IoU in percent over classes that occur in the truth, 0 for a bucket without any."""
     areas = _areas(parts, classes, "bucket").filter(F.col("p") > 0)
-    return areas.groupBy("bucket").agg((F.avg(_iou()) * 100).alias("miou"))
+    found = areas.groupBy("bucket").agg((F.avg(_iou()) * 100).alias("miou"))
+    every = parts.sparkSession.range(SIZE_BUCKETS).select(F.col("id").alias("bucket"))
+    return every.join(found, "bucket", "left").select("bucket", F.coalesce("miou", F.lit(0.0)).alias("miou"))
 
 
 def f_measures(pairs: DataFrame, beta: float = 0.3, eps: float = 1e-20) -> DataFrame:

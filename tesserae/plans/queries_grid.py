@@ -214,10 +214,12 @@ _BUCKETS = """WITH area AS (SELECT image_id, gt, count(*) AS n, sum(count(*)) OV
 @query(
     "a13_iou_by_size",
     _BUCKETS.format(source="valid")
-    + f"""SELECT bucket::BIGINT AS bucket, {r("avg(tp / (t + p - tp + 1e-10)) * 100")} AS miou FROM (
+    + f"""SELECT every.bucket::BIGINT AS bucket, coalesce(miou, 0.0)::DOUBLE AS miou
+        FROM (SELECT unnest(range(4)) AS bucket) every LEFT JOIN (
+          SELECT bucket, {r("avg(tp / (t + p - tp + 1e-10)) * 100")} AS miou FROM (
           SELECT bucket, c.cls, count(*) FILTER (pred = c.cls) AS t, count(*) FILTER (gt = c.cls) AS p,
             count(*) FILTER (gt = c.cls AND pred = c.cls) AS tp FROM tagged, (SELECT unnest(range(6)) AS cls) c
-          GROUP BY bucket, c.cls) WHERE p > 0 GROUP BY bucket""",
+          GROUP BY bucket, c.cls) WHERE p > 0 GROUP BY bucket) f ON f.bucket = every.bucket""",
     "valid",
 )
 def _(t: Tables):

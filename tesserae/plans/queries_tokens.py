@@ -135,9 +135,9 @@ def _(t: Tables):
 @query(
     "p11_next_token",
     _PADDED
-    + """SELECT a.sample_key, a.pos, CASE WHEN b.code = -1 THEN 0 ELSE b.code END AS input,
-           a.code AS target, a.code <> -1 AS valid
-         FROM padded a LEFT JOIN padded b ON b.sample_key = a.sample_key AND b.pos = a.pos - 1""",
+    + """SELECT sample_key, pos, CASE WHEN before = -1 THEN 0 ELSE before END AS input,
+           code AS target, code <> -1 AS valid
+         FROM (SELECT *, lag(code) OVER (PARTITION BY sample_key ORDER BY pos) AS before FROM padded)""",
     "tokens",
 )
 def _(t: Tables):

@@ -20,7 +20,8 @@ def read_folder(spark: SparkSession, root: str, pattern: str = "*.{jpg,JPEG}") -
     """(path, key, cls, content) of a class-per-folder image tree, one task per file group."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     files = files.option("pathGlobFilter", pattern).load(root).select("path", "content")
-    return folder_labels(files).join(files, "path")
+    cls = text.parent_name("path").try_cast("int")
+    return files.select("path", text.stem("path").alias("key"), cls.alias("cls"), "content").filter(F.col("cls").isNotNull())
 
 
 def named_labels(members: DataFrame, name: str = "name") -> DataFrame:

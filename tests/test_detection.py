@@ -95,3 +95,11 @@ def test_box_format(spark):
     assert det.overlaps(a, shifted, 0.0).first()["iou"] == pytest.approx(25 / 175)
     with pytest.raises(ValueError):
         det.overlaps(a, b, 0.0, "other")
+
+
+@pytest.mark.parametrize("limit", [1, 2, 100])
+def test_boxes_outside_the_area_are_kept_for_strict_thresholds(spark, limit):
+    cols = "image_id bigint, category_id bigint, det_id bigint, det_rank bigint, gt_id bigint, gt_area double, iou double"
+    rows = [(1, 0, 7, 0, 1, 100.0, 0.60), (1, 0, 7, 0, 2, 100.0, 0.55), (1, 0, 7, 0, 3, 5000.0, 0.90)]
+    got = det.matches(spark.createDataFrame(rows, cols), (0.5, 0.75), limit, "small").collect()
+    assert [(r["det_id"], list(r["hit"])) for r in got] == [(7, [1, -1])]

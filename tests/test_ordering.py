@@ -63,3 +63,13 @@ def test_a_hot_group_is_divided(skewed):
 def test_whole_table_totals_of_nothing(spark):
     df = spark.createDataFrame([], "o bigint, v bigint")
     assert running_totals(df, [], ["o"], {"t": "v"}).count() == 0
+
+
+def test_whole_table_totals(skewed):
+    rows, df = skewed
+    got = sorted((r["o"], r["total"]) for r in running_totals(df, [], ["o"], {"total": "v"}, hot_rows=10).collect())
+    total, want = 0, []
+    for _, o, v in sorted(rows, key=lambda r: r[1]):
+        total += v
+        want.append((o, total))
+    assert got == want

@@ -119,3 +119,24 @@ def test_top_k_keeps_ties(spark):
     assert quality.top_k_top_p(df, 1, 1.0).count() == 2
     assert quality.top_k_top_p(df, 3, 1.0).count() == 4
     assert quality.top_k_top_p(df, 4, 0.5).agg(F.count("*")).first()[0] == 2
+
+
+def test_large_codebook_with_repeated_text_keys(spark, clouds, monkeypatch):
+    a, b = clouds
+    book = spark.createDataFrame([(i * 3, [float(x) for x in v]) for i, v in enumerate(b)], "code bigint, e array<double>")
+    rows = spark.createDataFrame([(f"k{i % 2}", [float(x) for x in v]) for i, v in enumerate(a)], "key string, v array<double>")
+    weights = rows.select("key", nb.F.transform(nb.F.sequence(nb.F.lit(1), nb.F.lit(len(b))), lambda i: i / 7 + nb.F.get("v", nb.F.lit(0))).alias("w"))
+
+    def results():
+        near = nb.nearest_code(rows, book, "v", normalise=True, key="key").collect()
+        products = nb.codebook_products(rows, book, "v", "p").collect()
+        soft = nb.soft_entry(weights, book, "w").collect()
+        return (
+            sorted((r["key"], tuple(r["v"]), r["code"], round(r["distance"], 6)) for r in near),
+            sorted((tuple(r["v"]), tuple(np.round(r["p"], 9))) for r in products),
+            sorted(tuple(np.round(r["z"], 6)) for r in soft),
+        )
+
+    small = results()
+    monkeypatch.setattr(nb, "MAX_CODEBOOK", 10)
+    assert results() == small
