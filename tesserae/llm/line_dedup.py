@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from tesserae.llm import texts
 from tesserae.llm.components import roots
-from tesserae.session import materialise, shared_dir
+from tesserae.session import BROADCAST_ROWS, materialise, shared_dir
 
 #: Largest edit distance between near-duplicate lines.
 EDITS = 2
@@ -72,11 +72,10 @@ def index_keys(line: Column, length: Column, edits: int) -> Column:
 def probe_keys(line: Column, length: Column, edits: int) -> Column:
     out = []
     for less, number, shift in shifts(edits):
+        # The bounds on the shift keep every substring inside the line.
         start, size = segment(length - less, number, edits)
-        fits = (start + shift >= 0) & (start + shift + size <= length)
-        key = F.xxhash64(length - less, F.lit(number), F.substring(line, start + shift + 1, size))
-        out.append(F.when(fits, key))
-    return F.array_distinct(F.array_compact(F.array(*out)))
+        out.append(F.xxhash64(length - less, F.lit(number), F.substring(line, start + shift + 1, size)))
+    return F.array(*out)
 
 
 def letters(line: Column) -> Column:
@@ -199,25 +198,33 @@ def links(lines: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS, bloc
     index = usable.select(F.explode(index_keys(line, length, edits)).alias("key"), "id", "length")
     probe = usable.select(F.explode(probe_keys(line, length, edits)).alias("key"), "id", "length")
     hot = materialise(index.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > block_lines))
-    once = (F.col("i.length") < F.col("p.length")) | (F.col("i.id") < F.col("p.id"))
 
-    cold = index.join(hot, "key", "left_anti").alias("i").join(probe.alias("p"), "key").filter(once)
-    pairs = cold.select(F.col("i.id").alias("a"), F.col("p.id").alias("b")).distinct()
-    one, other = (usable.select(F.col("id").alias(c), F.col("line").alias(f"line_{c}")) for c in ("a", "b"))
+    # One row in place of all the entries of a hot key marks the probes that must visit its blocks.
+    marks = hot.select("key", F.lit(None).cast("bigint").alias("id"), F.lit(None).cast("int").alias("length"), "n")
+    entries = index.join(hot, "key", "left_anti").withColumn("n", F.lit(None).cast("bigint")).unionByName(marks)
+    once = F.col("i.id").isNull() | (F.col("i.length") < F.col("p.length")) | (F.col("i.id") < F.col("p.id"))
+    met = entries.alias("i").join(probe.alias("p"), "key").filter(once)
+    met = materialise(met.select("key", "n", F.col("i.id").alias("a"), F.col("p.id").alias("b")))
+    pairs = met.filter("a IS NOT NULL").select("a", "b").distinct()
+    asked = met.filter("a IS NULL").select("key", "n", F.col("b").alias("id"))
+    held = materialise(index.join(hot, "key").select("key", "n", "id"))
+
+    # Only lines in some pair or block are fetched, once.
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).unionByName(asked.select("id")).unionByName(held.select("id"))
+    wanted = materialise(wanted.distinct())
+    bodies = materialise(usable.join(_sent(wanted), "id", "left_semi"))
+    one, other = (bodies.select(F.col("id").alias(c), F.col("line").alias(f"line_{c}")) for c in ("a", "b"))
     pairs = pairs.join(one, "a").join(other, "b")
     pairs = pairs.filter(may_be_within(F.col("line_a"), F.col("line_b"), edits))
     found = pairs.filter(within(F.col("line_a"), F.col("line_b"), edits)).select("a", "b")
-    if hot.isEmpty():
-        return materialise(found)
 
     blocks = F.ceil(F.col("n") / block_lines).cast("int")
-    held = index.join(hot, "key").withColumn("block", F.pmod(F.xxhash64("id"), blocks).cast("int")).drop("length", "n")
-    held = held.join(usable, "id").groupBy("key", "block").agg(
+    held = held.withColumn("block", F.pmod(F.xxhash64("id"), blocks).cast("int")).join(bodies, "id")
+    held = held.groupBy("key", "block").agg(
         F.collect_list(F.struct("id", "line", "length", letters(line).alias("letters"))).alias("lines")
     )
-    asked = probe.drop("length").join(hot, "key").withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1))).drop("n")
-    asked = asked.join(usable, "id").withColumn("letters", letters(line))
-    met = asked.join(held, ["key", "block"])
+    asked = asked.withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1))).drop("n")
+    asked = asked.join(bodies, "id").withColumn("letters", letters(line))
     near = F.filter(
         "lines",
         lambda x: (
@@ -228,8 +235,13 @@ def links(lines: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS, bloc
             & within(x["line"], F.col("line"), edits)
         ),
     )
-    more = met.select("id", F.explode(F.transform(near, lambda x: x["id"])).alias("a"))
-    return materialise(found.unionByName(more.select("a", F.col("id").alias("b"))).distinct())
+    more = asked.join(held, ["key", "block"]).select(F.explode(F.transform(near, lambda x: x["id"])).alias("a"), F.col("id").alias("b"))
+    return materialise(found.unionByName(more).distinct())
+
+
+def _sent(ids: DataFrame) -> DataFrame:
+    """A stored table of ids, marked to be sent to the tasks if its rows are few; else both sides are shuffled."""
+    return F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
 
 
 def line_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", edits: int = EDITS) -> DataFrame:
