@@ -13,6 +13,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, MapType, StructType
 
 from tesserae.session import materialise
 
@@ -58,8 +59,11 @@ def split_hot(
 
 
 def _slices(df: DataFrame, group: Sequence[str], order: Sequence[str | Column]) -> DataFrame:
-    # The content hash comes last so that rows equal under ``order`` can still be divided.
-    keys = [F.col(g) for g in group] + _cols(order) + [F.xxhash64(*df.columns)]
+    # A hash of the plain columns comes last so that rows equal under ``order`` can still be
+    # divided; payloads, maps and other nested columns are left out.
+    nested = (BinaryType, ArrayType, MapType, StructType)
+    plain = [f.name for f in df.schema.fields if not isinstance(f.dataType, nested)]
+    keys = [F.col(g) for g in group] + _cols(order) + ([F.xxhash64(*plain)] if plain else [])
     # No partition number: adaptive execution merges neighbouring slices of small tables.
     sliced = (
         df.repartitionByRange(*keys)

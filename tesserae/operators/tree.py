@@ -421,7 +421,7 @@ def to_json(marked: DataFrame) -> DataFrame:
 
 
 def from_json(docs: DataFrame) -> DataFrame:
-    """(tree_id, lod, patch, status) back from :func:`to_json`; present nodes only."""
+    """(tree_id, lod, patch) of the present nodes, back from :func:`to_json`."""
     schema = (
         "tree map<string, array<struct<patch_index: bigint, lod_level: bigint>>>, "
         "status array<struct<idx: bigint, status: bigint>>"

@@ -187,3 +187,20 @@ def _(t: Tables):
 def _(t: Tables):
     parsed = F.from_json("props", "map<string, bigint>")
     return t.table("events").select("event_id", F.explode(parsed).alias("name", "value"))
+
+
+@query(
+    "s7_check_logs",
+    """SELECT o_orderkey AS shard,
+         CASE o_orderstatus WHEN 'O' THEN 'ok' WHEN 'F' THEN 'error' ELSE 'unknown' END AS status,
+         CASE o_orderstatus WHEN 'O' THEN o_custkey ELSE 0 END AS samples,
+         CASE o_orderstatus WHEN 'F' THEN 'record ' || o_custkey::VARCHAR || ' is cut' END AS error
+       FROM orders""",
+)
+def _(t: Tables):
+    number, customer = F.col("o_orderkey").cast("string"), F.col("o_custkey").cast("string")
+    good = F.concat(F.lit("✅ 文件 "), number, F.lit(" 正常，共 "), customer, F.lit(" 个样本\n"))
+    bad = F.concat(F.lit("❌ 文件 "), number, F.lit(": 错误 - record "), customer, F.lit(" is cut\nend\n"))
+    body = F.when(F.col("o_orderstatus") == "O", good).when(F.col("o_orderstatus") == "F", bad).otherwise("")
+    files = t.table("orders").select(F.concat(F.lit("文件索引: "), number, F.lit("\n"), body).alias("content"))
+    return logs.parse_check_logs(files)

@@ -41,10 +41,41 @@ def parse_check_names(files: DataFrame, file: str = "file") -> DataFrame:
 
 
 def parse_progress_log(lines: DataFrame, line: str = "line") -> DataFrame:
-    """(status, shard) of ``[date] STATUS: ...`` lines."""
-    pattern = r"^\[[^\]]*\] (SUCCESS|FAILED|SKIPPED): .*?(\d+)"
+    """(status, shard) of ``[date] STATUS: ...`` lines.
+
+    The shard is the number after the word shard, or else the last number in the name of the
+    archive that the line gives the path of, or else the first number.
+    """
+    pattern = r"^\[[^\]]*\] (SUCCESS|FAILED|SKIPPED): (.*\d.*)$"
     rows = lines.filter(F.col(line).rlike(pattern))
-    return rows.select(
-        F.regexp_extract(line, pattern, 1).alias("status"),
-        F.regexp_extract(line, pattern, 2).cast("bigint").alias("shard"),
+    rest = F.regexp_extract(line, pattern, 2)
+    places = [r"(?i)\bshard (\d+)", r"(\d+)[^/\d]*\.tar\b", r"(\d+)"]
+    found = F.coalesce(*[F.nullif(F.regexp_extract(rest, place, 1), F.lit("")) for place in places])
+    return rows.select(F.regexp_extract(line, pattern, 1).alias("status"), found.cast("bigint").alias("shard"))
+
+
+# The phrases of a check log.
+CHECK_INDEX = r"文件索引: (\d+)"
+CHECK_OK = ("✅ 文件", "正常")
+CHECK_SAMPLES = r"共 (\d+) 个样本"
+CHECK_BAD = "❌ 文件"
+CHECK_ERROR = r"错误 - (.+)"
+
+
+def parse_check_logs(files: DataFrame, content: str = "content") -> DataFrame:
+    """Add (shard, status, samples, error) from the text of check logs.
+
+    ``status`` is ok, error or unknown; samples are 0 unless ok, the error is null unless
+    error. Files that name no shard are dropped.
+    """
+    shard = F.regexp_extract(content, CHECK_INDEX, 1)
+    good = F.contains(F.col(content), F.lit(CHECK_OK[0])) & F.contains(F.col(content), F.lit(CHECK_OK[1]))
+    bad = ~good & F.contains(F.col(content), F.lit(CHECK_BAD))
+    samples = F.nullif(F.regexp_extract(content, CHECK_SAMPLES, 1), F.lit("")).cast("bigint")
+    return files.filter(shard != "").select(
+        *[c for c in files.columns if c != content],
+        shard.cast("bigint").alias("shard"),
+        F.when(good, "ok").when(bad, "error").otherwise("unknown").alias("status"),
+        F.when(good, F.coalesce(samples, F.lit(0))).otherwise(0).cast("bigint").alias("samples"),
+        F.when(bad, F.trim(F.regexp_extract(content, CHECK_ERROR, 1))).alias("error"),
     )

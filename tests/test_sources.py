@@ -117,3 +117,23 @@ def test_resumed_job_repeats_failed_shards(spark, tmp_path):
 
 def test_extensions_lose_their_case():
     assert archive.split_member("a/b.JPEG") == ("a/b", "jpeg") and archive.split_member("c.Seg.PNG") == ("c", "seg.png")
+
+
+def test_progress_lines_with_paths(spark):
+    text = [
+        "[Mon] SKIPPED: /data/run7-shared/v2/train-000012.tar (not found)",
+        "[Mon] SKIPPED: /data/run7/out-3.tar.gz (already exists)",
+        "[Mon] SUCCESS: Shard 000004 completed on GPU 1",
+        "[Mon] FAILED: Shard 5 failed on GPU 0 with exit code 9",
+        "[Mon] SKIPPED: 6",
+        "[Mon] STARTED: Shard 1",
+    ]
+    rows = logs.parse_progress_log(spark.createDataFrame([(t,) for t in text], "line string")).collect()
+    assert [tuple(r) for r in rows] == [("SKIPPED", 12), ("SKIPPED", 3), ("SUCCESS", 4), ("FAILED", 5), ("SKIPPED", 6)]
+
+
+def test_check_logs(spark):
+    bodies = ["文件索引: 7\n✅ 文件 a 正常, 共 12 个样本", "文件索引: 8\n❌ 文件 b 错误 - short read \nmore", "文件索引: 9\n", "else"]
+    rows = logs.parse_check_logs(spark.createDataFrame([(str(i), b) for i, b in enumerate(bodies)], "file string, content string"))
+    want = [("0", 7, "ok", 12, None), ("1", 8, "error", 0, "short read"), ("2", 9, "unknown", 0, None)]
+    assert [tuple(r) for r in rows.collect()] == want
