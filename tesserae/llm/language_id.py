@@ -31,6 +31,8 @@ FEATURES = 4096
 ORDERS = (1, 2, 3)
 #: Rows of each language that are fitted on, about.
 PER_LANGUAGE = 500
+#: Rows that are fitted on in all, about; many languages get fewer each.
+MAX_ROWS = 6000
 #: Languages beyond the most frequent so many are not learned.
 MAX_LANGUAGES = 256
 #: Strength of the ridge penalty.
@@ -124,9 +126,10 @@ def has_letter(text: Column) -> Column:
     return F.coalesce(text.rlike(r"\p{L}"), F.lit(False))
 
 
-def sample(labelled: DataFrame, per_class: int, label: str, keys: list[str], most: int) -> DataFrame:
-    """About ``per_class`` rows of each label, by a hash of ``keys``."""
+def sample(labelled: DataFrame, per_class: int, total: int, label: str, keys: list[str], most: int) -> DataFrame:
+    """About ``per_class`` rows of each of the ``most`` commonest labels, ``total`` in all, by a hash of ``keys``."""
     sizes = labelled.groupBy(label).agg(F.count(F.lit(1)).alias("_n")).orderBy(F.desc("_n"), label).limit(most).collect()
+    per_class = min(per_class, total // max(1, len(sizes)))
     draw = F.pmod(F.xxhash64(*keys), F.lit(1 << 30)) / F.lit(float(1 << 30))
     share = F.lit(0.0)
     for s in sizes:
@@ -137,13 +140,13 @@ def sample(labelled: DataFrame, per_class: int, label: str, keys: list[str], mos
 def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", keys: list[str] | None = None) -> Model | None:
     """Fit on the rows of ``labelled`` with a language and a letter."""
     usable = labelled.filter(F.col(lang).isNotNull() & has_letter(F.col(text)))
-    rows = sample(usable, PER_LANGUAGE, lang, keys or [text], MAX_LANGUAGES)
+    rows = sample(usable, PER_LANGUAGE, MAX_ROWS, lang, keys or [text], MAX_LANGUAGES)
     # Only the n-gram vectors of the sample, in half precision, come to the driver.
     found = texts.map_texts(
         rows, text, [lang], "vector binary", lambda part: {"vector": [v.tobytes() for v in vectors(part).astype(np.float16)]}
     )
     # The draw is bounded in expectation; rows that repeat a key are bounded here.
-    found = found.limit(2 * PER_LANGUAGE * MAX_LANGUAGES).toPandas()
+    found = found.limit(MAX_ROWS + MAX_ROWS // 4).toPandas()
     if found.empty:
         return None
     found = found.sort_values([lang, "vector"])

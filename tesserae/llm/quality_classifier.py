@@ -147,7 +147,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     """
     usable = labels.filter(F.col(label).isin(0, 1) & F.col(key).isNotNull()).select(key, label)
     sizes = {row[label]: row["count"] for row in usable.groupBy(label).count().collect()}
-    drawn = sample(usable, PER_CLASS, label, [key], 2).dropDuplicates([key]).limit(4 * PER_CLASS)
+    drawn = sample(usable, PER_CLASS, 2 * PER_CLASS, label, [key], 2).dropDuplicates([key]).limit(4 * PER_CLASS)
     rows = docs.select(key, text).join(F.broadcast(drawn), key)
     found = texts.map_texts(
         rows, text, [label], "vector binary", lambda part: {"vector": [v.tobytes() for v in terms(part).astype(np.float32)]}
