@@ -135,13 +135,6 @@ def build(items: Sequence[tuple[int | None, str | None]]) -> Index:
     )
 
 
-def _expand(begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(which range, position) of every position of many ranges."""
-    size = end - begin
-    which = np.repeat(np.arange(len(size)), size)
-    return which, np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(begin, size)
-
-
 def _lookup(table: np.ndarray, value: np.ndarray) -> np.ndarray:
     """Position of each value in a sorted table, -1 where it is not."""
     if not len(table):
@@ -150,19 +143,19 @@ def _lookup(table: np.ndarray, value: np.ndarray) -> np.ndarray:
     return np.where(table[at] == value, at, -1)
 
 
-def _windows(index: Index, place: np.ndarray, row: np.ndarray, shingle: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+def _windows(index: Index, row: np.ndarray, shingle: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     """(position among the shingles, item length) of all windows that hold a shingle of an item of that length."""
     rare = np.zeros(1 << 16, dtype=bool)
     rare[(index.shingle & np.uint64(0xFFFF)).astype(np.int64)] = True
     maybe = np.flatnonzero(rare[(shingle & np.uint64(0xFFFF)).astype(np.int64)])
     found = _lookup(index.shingle, shingle[maybe])
     maybe, found = maybe[found >= 0], found[found >= 0]
-    which, at = _expand(index.shingle_from[found], index.shingle_from[found + 1])
+    which, at = texts.expand(index.shingle_from[found], index.shingle_from[found + 1])
     length = index.length[index.shingle_items[at]]
     fits = np.minimum(length, texts.SHINGLE_WORDS) == size
     anchors = np.unique(np.stack([maybe[which][fits], length[fits]]), axis=1)
     count = anchors[1] - size + 1
-    which, start = _expand(np.maximum(anchors[0] - count + 1, 0), anchors[0] + 1)
+    which, start = texts.expand(np.maximum(anchors[0] - count + 1, 0), anchors[0] + 1)
     length = anchors[1][which]
     last = start + length - size
     inside = last < len(shingle)
@@ -182,7 +175,7 @@ def search(part: texts.Texts, index: Index) -> list[list[dict]]:
     for size in sorted({min(int(n), texts.SHINGLE_WORDS) for n in index.length}):
         place, shingle = texts.windows(row, value, size)
         owner = row[place]
-        start, length = _windows(index, place, owner, shingle, size)
+        start, length = _windows(index, owner, shingle, size)
         for n in np.unique(length):
             _match(out, index, start[length == n], int(n), size, place, owner, shingle, first_word)
     for found in out:
@@ -193,13 +186,13 @@ def search(part: texts.Texts, index: Index) -> list[list[dict]]:
 def _match(out, index, start, n, size, place, owner, shingle, first_word) -> None:
     count = n - size + 1
     # Only the stretches with windows are summed up.
-    which, at = _expand(start, start + count)
+    which, at = texts.expand(start, start + count)
     needed = np.unique(at)
     mark = fingerprints(shingle[needed], np.searchsorted(needed, start), count)
     hits = []
     for b in range(BLOCKS):
         key = _index_key(np.full(len(mark), n), b, _block(mark, b))
-        window, entry = _expand(np.searchsorted(index.key, key, "left"), np.searchsorted(index.key, key, "right"))
+        window, entry = texts.expand(np.searchsorted(index.key, key, "left"), np.searchsorted(index.key, key, "right"))
         hits.append(window * len(index.length) + index.key_item[entry])
     window, item = np.divmod(np.unique(np.concatenate(hits)), len(index.length))
     distance = np.bitwise_count(mark[window] ^ index.print[item]).astype(np.int64)
@@ -208,7 +201,7 @@ def _match(out, index, start, n, size, place, owner, shingle, first_word) -> Non
     if not len(window):
         return
     # Weighted overlap: the smaller of both counts of every distinct shingle of a window.
-    pair, at = _expand(start[window], start[window] + count)
+    pair, at = texts.expand(start[window], start[window] + count)
     pair, distinct, often, _ = texts.tally(pair, shingle[at])
     known = _lookup(index.pair, _pair_key(item[pair], distinct))
     common = np.where(known >= 0, np.minimum(often, index.pair_count[known]), 0)

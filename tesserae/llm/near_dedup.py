@@ -149,13 +149,6 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             first = last
 
 
-def _ranges(begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(which range, position) of every position of many ranges."""
-    size = end - begin
-    which = np.repeat(np.arange(len(size)), size)
-    return which, np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(begin, size)
-
-
 def _components_within(group: pd.DataFrame) -> pd.DataFrame:
     """Links between components of one block pair: rows marked ``probe`` against all rows.
 
@@ -188,7 +181,7 @@ def _components_within(group: pd.DataFrame) -> pd.DataFrame:
             continue
         own = slice(begin[i], begin[i + 1])
         weight[code[own]] = count[own]
-        which, at = _ranges(begin[near], begin[near + 1])
+        which, at = texts.expand(begin[near], begin[near + 1])
         common = np.bincount(which, weights=np.minimum(count[at], weight[code[at]]), minlength=len(near))
         weight[code[own]] = 0
         similar = common >= SIMILARITY * (size[near] + size[i] - common) - 1e-9

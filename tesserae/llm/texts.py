@@ -185,6 +185,13 @@ def tally(row: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     return row[order[at]], value[order[at]], np.diff(np.append(at, len(key))), group
 
 
+def expand(begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(which range, position) of every position of many ranges."""
+    size = end - begin
+    which = np.repeat(np.arange(len(size)), size)
+    return which, np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(begin, size)
+
+
 def map_texts(df: DataFrame, text: str, keep: list[str], schema: str, work: Callable[[Texts], dict]) -> DataFrame:
     """Apply ``work`` to all texts; its arrays become columns beside the ``keep`` columns.
 
