@@ -6,16 +6,18 @@ lines are indexed by (length, number, content). Every line probes the index for
 within reach with those of its substrings that can align with a segment; which shifts can is
 bounded from the left and from the right end of the line. Pairs that meet are verified by a
 banded bit-parallel edit distance: the states of a diagonal band are bits of one number, moved
-on one character at a time.
+on one character at a time. Lines of at most ``edits`` characters have no such segments; they
+are indexed by all that is left of them after deletions, which lines of at most twice that
+length probe with up to ``edits`` deletions of their own, so lines of every length are joined.
 
 Equal lines are one node, so a line in a third of all documents costs no more than another.
 A segment that very many different lines share is taken out of the join: its lines are cut
 into blocks, and a probe meets a block as one array, which is filtered in place. So the join
 makes at most ``BLOCK_LINES`` rows per probe, and a hot segment is spread over tasks.
 
-Defined cases: null texts have no lines; lines without a word are ignored; lines shorter than
-``MIN_CHARS`` match equal lines only, as two edits make them another line; repeated rows and
-null ids count as further copies, the first place of a line being that of the least id (null
+Defined cases: null texts have no lines; lines without a word are ignored; the bound of
+``edits`` is the same for lines of any length, so different lines of at most ``edits``
+characters are all near each other; repeated rows and null ids count as further copies, the first place of a line being that of the least id (null
 last) and least line number; an empty table gives an empty table; other columns are ignored.
 """
 
@@ -33,7 +35,6 @@ from tesserae.session import BROADCAST_ROWS, materialise, shared_dir
 
 #: Largest edit distance between near-duplicate lines.
 EDITS = 2
-MIN_CHARS = 30
 #: Index entries of one key from which on they are matched in blocks of this many.
 BLOCK_LINES = 16
 #: Letters that are counted to rule out pairs inside blocks.
@@ -61,12 +62,34 @@ def shifts(edits: int) -> list[tuple[int, int, int]]:
     return out
 
 
+def deletions(line: Column, edits: int) -> Column:
+    """All strings that are left of a line after at most ``edits`` deletions."""
+    out = F.array(line)
+    for _ in range(edits):
+        out = F.array_distinct(F.flatten(F.transform(out, lambda v: F.concat(F.array(v), _one_deletion(v)))))
+    return out
+
+
+def _one_deletion(v: Column) -> Column:
+    fewer = F.transform(
+        F.sequence(F.lit(1), F.length(v)),
+        lambda i: F.concat(F.substring(v, F.lit(1), i - 1), F.substring(v, i + 1, F.length(v))),
+    )
+    return F.when(F.length(v) > 0, fewer).otherwise(F.array().cast("array<string>"))
+
+
+def deletion_keys(line: Column, length: Column, edits: int, longest: int) -> Column:
+    """Keys of lines of at most ``longest`` characters; others have none."""
+    keys = F.transform(deletions(line, edits), lambda v: F.xxhash64(F.lit(0), F.lit(-1), v))
+    return F.when(length <= longest, keys).otherwise(F.array().cast("array<bigint>"))
+
+
 def index_keys(line: Column, length: Column, edits: int) -> Column:
     out = []
     for number in range(edits + 1):
         start, size = segment(length, number, edits)
         out.append(F.xxhash64(length, F.lit(number), F.substring(line, start + 1, size)))
-    return F.array(*out)
+    return F.when(length > edits, F.array(*out)).otherwise(deletion_keys(line, length, edits, edits))
 
 
 def probe_keys(line: Column, length: Column, edits: int) -> Column:
@@ -75,7 +98,8 @@ def probe_keys(line: Column, length: Column, edits: int) -> Column:
         # The bounds on the shift keep every substring inside the line.
         start, size = segment(length - less, number, edits)
         out.append(F.xxhash64(length - less, F.lit(number), F.substring(line, start + shift + 1, size)))
-    return F.array(*out)
+    segments = F.when(length > edits, F.array(*out)).otherwise(F.array().cast("array<bigint>"))
+    return F.when(length > 2 * edits, segments).otherwise(F.concat(segments, deletion_keys(line, length, edits, 2 * edits)))
 
 
 def letters(line: Column) -> Column:
@@ -154,6 +178,11 @@ def within(a: Column, b: Column, edits: int) -> Column:
     return (F.abs(F.length(a) - F.length(b)) <= edits) & near
 
 
+def near(a: Column, b: Column, edits: int) -> Column:
+    """``within`` for an ``a`` of any length that is no longer than ``b``."""
+    return F.when(F.length(a) <= edits, F.levenshtein(a, b) <= edits).otherwise(within(a, b, edits))
+
+
 def _next(state: Column, f: Column, p: Column, j: Column, edits: int, full: int, top: int) -> Column:
     """The state after a column with diagonal bits ``f.d``."""
     up = f["vn"].bitwiseOR(F.bitwise_not(f["d"].bitwiseOR(f["vp"]))).bitwiseAND(F.lit(full))
@@ -191,9 +220,12 @@ def distinct_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     return spark.read.schema(found.schema).parquet(path)
 
 
-def links(lines: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS, block_lines: int = BLOCK_LINES) -> DataFrame:
-    """(a, b) ids of lines within ``edits`` edits of each other, each pair once."""
-    usable = lines.filter(F.col("length") >= max(min_chars, edits + 1)).select("id", "line", "length")
+def links(lines: DataFrame, edits: int = EDITS, min_chars: int = 1, block_lines: int = BLOCK_LINES) -> DataFrame:
+    """(a, b) ids of lines within ``edits`` edits of each other, each pair once.
+
+    Lines below ``min_chars`` are left out; by default none are.
+    """
+    usable = lines.filter(F.col("length") >= min_chars).select("id", "line", "length")
     line, length = F.col("line"), F.col("length")
     index = usable.select(F.explode(index_keys(line, length, edits)).alias("key"), "id", "length")
     probe = usable.select(F.explode(probe_keys(line, length, edits)).alias("key"), "id", "length")
@@ -202,7 +234,8 @@ def links(lines: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS, bloc
     # One row in place of all the entries of a hot key marks the probes that must visit its blocks.
     marks = hot.select("key", F.lit(None).cast("bigint").alias("id"), F.lit(None).cast("int").alias("length"), "n")
     entries = index.join(hot, "key", "left_anti").withColumn("n", F.lit(None).cast("bigint")).unionByName(marks)
-    once = F.col("i.id").isNull() | (F.col("i.length") < F.col("p.length")) | (F.col("i.id") < F.col("p.id"))
+    same = F.col("i.length") == F.col("p.length")
+    once = F.col("i.id").isNull() | (F.col("i.length") < F.col("p.length")) | (same & (F.col("i.id") < F.col("p.id")))
     met = entries.alias("i").join(probe.alias("p"), "key").filter(once)
     met = materialise(met.select("key", "n", F.col("i.id").alias("a"), F.col("p.id").alias("b")))
     pairs = met.filter("a IS NOT NULL").select("a", "b").distinct()
@@ -216,7 +249,7 @@ def links(lines: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS, bloc
     one, other = (bodies.select(F.col("id").alias(c), F.col("line").alias(f"line_{c}")) for c in ("a", "b"))
     pairs = pairs.join(one, "a").join(other, "b")
     pairs = pairs.filter(may_be_within(F.col("line_a"), F.col("line_b"), edits))
-    found = pairs.filter(within(F.col("line_a"), F.col("line_b"), edits)).select("a", "b")
+    found = pairs.filter(near(F.col("line_a"), F.col("line_b"), edits)).select("a", "b")
 
     blocks = F.ceil(F.col("n") / block_lines).cast("int")
     held = held.withColumn("block", F.pmod(F.xxhash64("id"), blocks).cast("int")).join(bodies, "id")
@@ -225,17 +258,17 @@ def links(lines: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS, bloc
     )
     asked = asked.withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1))).drop("n")
     asked = asked.join(bodies, "id").withColumn("letters", letters(line))
-    near = F.filter(
+    close = F.filter(
         "lines",
         lambda x: (
             (F.abs(x["length"] - F.col("length")) <= edits)
-            & ((x["length"] < F.col("length")) | (x["id"] < F.col("id")))
+            & ((x["length"] < F.col("length")) | ((x["length"] == F.col("length")) & (x["id"] < F.col("id"))))
             & letters_near(x["letters"], F.col("letters"), edits)
             & may_be_within(x["line"], F.col("line"), edits)
-            & within(x["line"], F.col("line"), edits)
+            & near(x["line"], F.col("line"), edits)
         ),
     )
-    more = asked.join(held, ["key", "block"]).select(F.explode(F.transform(near, lambda x: x["id"])).alias("a"), F.col("id").alias("b"))
+    more = asked.join(held, ["key", "block"]).select(F.explode(F.transform(close, lambda x: x["id"])).alias("a"), F.col("id").alias("b"))
     return materialise(found.unionByName(more).distinct())
 
 

@@ -426,6 +426,22 @@ def test_line_links_equal_all_pairs(spark, block_lines):
     assert got == want
 
 
+@pytest.mark.parametrize("block_lines", [1, 1000])
+def test_links_of_short_lines_equal_all_pairs(spark, block_lines):
+    r = random.Random(7)
+    bases = ["".join(r.choice("abcé ") for _ in range(n)) for n in (3, 4, 6, 9, 15, 17, 28)]
+    made = {mutate(r, b, r.randint(0, 4)) for b in bases for _ in range(12)} | set(bases)
+    made |= {"a", "b", "é", "ab", "ba", "cé", "\U00020000b", "abc", "abcd", "xyab", "wxyz", "Page 12 of 300", "Page 13 of 300"}
+    made |= {b * 3 for b in bases[-2:]}
+    rows = [(i, t, None, None, None) for i, t in enumerate(sorted(made))]
+    lines = line_dedup.distinct_lines(documents(spark, rows))
+    ids = {x.id: x.line for x in lines.collect()}
+    got = [frozenset((ids[x.a], ids[x.b])) for x in line_dedup.links(lines, 2, block_lines=block_lines).collect()]
+    all_lines = [t for t in sorted(made) if words(t)]
+    want = {frozenset((a, b)) for i, a in enumerate(all_lines) for b in all_lines[:i] if levenshtein(a, b) <= 2}
+    assert set(got) == want and len(got) == len(want)
+
+
 def test_line_classes_on_awkward_rows(spark):
     base = "the quick brown fox jumps over the lazy dog again"
     rows = awkward_rows() + [(50, f"{base}\nshort\n{base}s\n\n", None, None, None), (51, f"short\n{base[:-2]}", None, None, None), (None, base, None, None, None)]
