@@ -15,6 +15,10 @@ A segment that very many different lines share is taken out of the join: its lin
 into blocks, and a probe meets a block as one array, which is filtered in place. So the join
 makes at most ``BLOCK_LINES`` rows per probe, and a hot segment is spread over tasks.
 
+Classes are given per different line (``line_classes``), per place of a line (``line_places``),
+and applied to the texts (``without_repeats``). Places find their line by 128 bits of hash, so no
+text is shuffled for them and no list of places is gathered.
+
 Defined cases: null texts have no lines; lines without a word are ignored; the bound of
 ``edits`` is the same for lines of any length, so different lines of at most ``edits``
 characters are all near each other; repeated rows and null ids count as further copies, the first place of a line being that of the least id (null
@@ -31,6 +35,7 @@ from pyspark.sql import functions as F
 
 from tesserae.llm import texts
 from tesserae.llm.components import roots
+from tesserae.llm.names import fresh
 from tesserae.session import BROADCAST_ROWS, materialise, shared_dir
 
 #: Largest edit distance between near-duplicate lines.
@@ -200,10 +205,20 @@ def _next(state: Column, f: Column, p: Column, j: Column, edits: int, full: int,
     )
 
 
+def _lines(docs: DataFrame, text: str, *carried: Column) -> DataFrame:
+    """(carried columns, no, line): every line with a word."""
+    rows = docs.select(*carried, F.posexplode(F.split(F.col(f"`{text}`"), "\n", -1)).alias("no", "line"))
+    return rows.filter(F.col("line").rlike(texts.WORD))
+
+
+def _hashes() -> list[Column]:
+    """128 bits that stand for a line."""
+    return [F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2")]
+
+
 def distinct_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, line, length, copies, doc_id, line_no), stored: every different line, where it stands first, how often."""
-    rows = docs.select(F.col(f"`{key}`").alias("k"), F.posexplode(F.split(F.col(f"`{text}`"), "\n", -1)).alias("no", "line"))
-    rows = rows.filter(F.col("line").rlike(texts.WORD))
+    rows = _lines(docs, text, F.col(f"`{key}`").alias("k"))
     first = F.min(F.struct(F.col("k").isNull().alias("none"), "k", "no"))
     found = rows.groupBy("line").agg(F.count(F.lit(1)).alias("copies"), first.alias("first"))
     found = found.select(
@@ -277,25 +292,65 @@ def _sent(ids: DataFrame) -> DataFrame:
     return F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
 
 
-def line_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", edits: int = EDITS) -> DataFrame:
-    """One row per different line: where it stands first, ``copies``, ``links`` to other lines, and the
-    first place of its class of near-duplicates (``class_doc_id``, ``class_line_no``)."""
-    lines = distinct_lines(docs, key, text)
+def _classed(lines: DataFrame, edits: int) -> DataFrame:
+    """``lines`` with ``links`` to other lines, ``class``, and the first place of the class (``first``)."""
     pairs = links(lines, edits)
     degree = pairs.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("links"))
     found = roots(pairs)
     # Only lines with links need a look at their class.
     near = lines.join(found, lines["id"] == found["node"]).select("root", "doc_id", "line_no")
     firsts = near.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "line_no")).alias("first"))
-    table = found.join(firsts, "root").join(degree, found["node"] == degree["id"]).select("node", "links", "first")
-    out = lines.drop("line").join(table, lines["id"] == table["node"], "left")
+    table = found.join(firsts, "root").join(degree, found["node"] == degree["id"]).select("node", "root", "links", "first")
+    out = lines.join(table, lines["id"] == table["node"], "left")
     linked = F.col("node").isNotNull()
     return out.select(
-        "doc_id",
-        "line_no",
-        "length",
-        "copies",
+        *lines.columns,
         F.coalesce("links", F.lit(0)).cast("bigint").alias("links"),
+        F.coalesce("root", "id").alias("class"),
         F.when(linked, F.col("first.doc_id")).otherwise(F.col("doc_id")).alias("class_doc_id"),
         F.when(linked, F.col("first.line_no")).otherwise(F.col("line_no")).alias("class_line_no"),
     )
+
+
+def line_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", edits: int = EDITS) -> DataFrame:
+    """One row per different line: where it stands first, ``copies``, ``links`` to other lines, and the
+    first place of its class of near-duplicates (``class_doc_id``, ``class_line_no``)."""
+    out = _classed(distinct_lines(docs, key, text), edits)
+    return out.select("doc_id", "line_no", "length", "copies", "links", "class_doc_id", "class_line_no")
+
+
+def line_places(docs: DataFrame, key: str = "doc_id", text: str = "text", edits: int = EDITS) -> DataFrame:
+    """One row per line of every document: its place, ``copies`` and ``links`` of the line, where the line
+    stands first (``first_doc_id``, ``first_line_no``), and the first place of its class of near-duplicates
+    (``class_doc_id``, ``class_line_no``)."""
+    lines = _classed(distinct_lines(docs, key, text), edits)
+    lines = lines.withColumnsRenamed({"doc_id": "first_doc_id", "line_no": "first_line_no"})
+    named = ["copies", "links", "first_doc_id", "first_line_no", "class_doc_id", "class_line_no"]
+    lines = lines.select(*_hashes(), "length", *named)
+    places = _lines(docs, text, F.col(f"`{key}`").alias("doc_id")).select("doc_id", F.col("no").alias("line_no"), *_hashes())
+    return places.join(lines, ["h1", "h2"]).select("doc_id", "line_no", "length", *named)
+
+
+def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", edits: int = EDITS) -> DataFrame:
+    """``docs`` with one line of each class left in their texts, the one at the first place of the class.
+
+    Lines without a word stay, and so do all rows; of rows that repeat a key one keeps the line.
+    """
+    row, keep = fresh(docs, "row"), fresh(docs, "keep")
+    docs = materialise(docs.withColumn(row, F.monotonically_increasing_id()))
+    lines = _classed(distinct_lines(docs, key, text), edits).select(*_hashes(), "class")
+    places = _lines(docs, text, F.col(f"`{key}`").alias("k"), F.col(f"`{row}`").alias("row")).select("k", "row", "no", *_hashes())
+    first = F.min(F.struct(F.col("k").isNull().alias("none"), "k", "no", "row")).alias("first")
+    kept = places.join(lines, ["h1", "h2"]).groupBy("class").agg(first).select("first.row", "first.no")
+    kept = kept.groupBy(F.col("row").alias(row)).agg(F.collect_list("no").alias(keep))
+
+    def rebuilt(parts: Column) -> Column:
+        numbers = F.sequence(F.lit(0), F.size(parts) - 1)
+        plain = F.filter(numbers, lambda i: ~F.get(parts, i).rlike(texts.WORD))
+        held = F.array_sort(F.array_union(plain, F.coalesce(F.col(keep), F.array().cast("array<int>"))))
+        return F.array_join(F.transform(held, lambda i: F.get(parts, i)), "\n")
+
+    body = F.col(f"`{text}`")
+    # The lines are bound to a name, so that the text is split once.
+    new = F.get(F.transform(F.array(F.split(body, "\n", -1)), rebuilt), F.lit(0))
+    return docs.join(kept, row, "left").withColumn(text, F.when(body.isNotNull(), new)).drop(row, keep)

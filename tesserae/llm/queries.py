@@ -214,5 +214,5 @@ def op4_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def op6_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
-    """Every different line of the corpus with its copies, its links and its class."""
-    return line_dedup.line_classes(table(spark, folder, "documents"))
+    """Every line of every document with its copies, its links and its class."""
+    return line_dedup.line_places(table(spark, folder, "documents"))

@@ -454,6 +454,32 @@ def test_line_classes_on_awkward_rows(spark):
     assert line_dedup.line_classes(documents(spark, [])).count() == 0
 
 
+def test_every_place_of_a_line_has_its_class(spark):
+    base = "the quick brown fox jumps over the lazy dog again"
+    texts_ = {1: f"{base}\nalone here in one text", 2: f"\n{base}s\n{base}", 3: base, None: f"x\n{base}"}
+    docs = documents(spark, [(k, t, None, None, None) for k, t in texts_.items()] + awkward_rows()[:1])
+    got = {(r.doc_id, r.line_no): r for r in line_dedup.line_places(docs).collect()}
+    want = {(k, n): x for k, t in texts_.items() for n, x in enumerate(t.split("\n")) if words(x)}
+    assert got.keys() == want.keys()
+    for place, line in want.items():
+        near = line.startswith(base)
+        assert got[place].length == len(line) and got[place].copies == list(want.values()).count(line)
+        assert (got[place].class_doc_id, got[place].class_line_no) == ((1, 0) if near else place)
+        assert (got[place].first_doc_id, got[place].first_line_no) == ((1, 0) if line == base else place)
+
+
+def test_texts_without_repeated_lines(spark):
+    base = "the quick brown fox jumps over the lazy dog again"
+    rows = [(1, f"{base}\n\nfirst only"), (2, f"\n{base}s\nsecond text\n{base}"), (2, f"\n{base}s\nsecond text\n{base}"), (3, base), (4, None), (5, "")]
+    rows += [(None, f"null id text\n{base}")]
+    docs = documents(spark, [(*r, "en", None, 1) for r in rows])
+    out = line_dedup.without_repeats(docs)
+    assert out.columns == docs.columns
+    got = sorted(((r.doc_id, r.text) for r in out.collect()), key=str)
+    want = [(1, f"{base}\n\nfirst only"), (2, "\nsecond text"), (2, ""), (3, ""), (4, None), (5, ""), (None, "null id text")]
+    assert got == sorted(want, key=str)
+
+
 # WARC ------------------------------------------------------------------------------------------------
 
 
