@@ -83,10 +83,8 @@ def _one_deletion(v: Column) -> Column:
     return F.when(F.length(v) > 0, fewer).otherwise(F.array().cast("array<string>"))
 
 
-def deletion_keys(line: Column, length: Column, edits: int, longest: int) -> Column:
-    """Keys of lines of at most ``longest`` characters; others have none."""
-    keys = F.transform(deletions(line, edits), lambda v: F.xxhash64(F.lit(0), F.lit(-1), v))
-    return F.when(length <= longest, keys).otherwise(F.array().cast("array<bigint>"))
+def deletion_keys(line: Column, edits: int) -> Column:
+    return F.transform(deletions(line, edits), lambda v: F.xxhash64(F.lit(0), F.lit(-1), v))
 
 
 def index_keys(line: Column, length: Column, edits: int) -> Column:
@@ -94,7 +92,7 @@ def index_keys(line: Column, length: Column, edits: int) -> Column:
     for number in range(edits + 1):
         start, size = segment(length, number, edits)
         out.append(F.xxhash64(length, F.lit(number), F.substring(line, start + 1, size)))
-    return F.when(length > edits, F.array(*out)).otherwise(deletion_keys(line, length, edits, edits))
+    return F.array(*out)
 
 
 def probe_keys(line: Column, length: Column, edits: int) -> Column:
@@ -103,8 +101,7 @@ def probe_keys(line: Column, length: Column, edits: int) -> Column:
         # The bounds on the shift keep every substring inside the line.
         start, size = segment(length - less, number, edits)
         out.append(F.xxhash64(length - less, F.lit(number), F.substring(line, start + shift + 1, size)))
-    segments = F.when(length > edits, F.array(*out)).otherwise(F.array().cast("array<bigint>"))
-    return F.when(length > 2 * edits, segments).otherwise(F.concat(segments, deletion_keys(line, length, edits, 2 * edits)))
+    return F.array(*out)
 
 
 def letters(line: Column) -> Column:
@@ -242,8 +239,13 @@ def links(lines: DataFrame, edits: int = EDITS, min_chars: int = 1, block_lines:
     """
     usable = lines.filter(F.col("length") >= min_chars).select("id", "line", "length")
     line, length = F.col("line"), F.col("length")
-    index = usable.select(F.explode(index_keys(line, length, edits)).alias("key"), "id", "length")
-    probe = usable.select(F.explode(probe_keys(line, length, edits)).alias("key"), "id", "length")
+    cut = usable.filter(length > edits)
+    index = cut.select(F.explode(index_keys(line, length, edits)).alias("key"), "id", "length")
+    probe = cut.select(F.explode(probe_keys(line, length, edits)).alias("key"), "id", "length")
+    # Deletions are taken apart from the segments, whose keys are made by compiled code alone.
+    short = usable.filter(length <= 2 * edits).select(F.explode(deletion_keys(line, edits)).alias("key"), "id", "length")
+    short = materialise(short)
+    index, probe = index.unionByName(short.filter(length <= edits)), probe.unionByName(short)
     hot = materialise(index.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > block_lines))
 
     # One row in place of all the entries of a hot key marks the probes that must visit its blocks.
