@@ -7,7 +7,7 @@ largest page id is a response, the others revisit it.
 
 Reading: files are cut into byte ranges without being read first. A task scans its range for
 gzip magic, decodes a few bytes at each candidate and takes it for a member only if they
-begin with a WARC version line and a whole header block follows; it owns every record that
+begin with a WARC version line and a whole header block, of any length, follows; it owns every record that
 begins inside its range and reads on past the end for the last one. Magic bytes inside
 compressed data fail that test, so a range needs no index and no neighbour.
 
@@ -45,8 +45,8 @@ SPLIT_BYTES = 8 << 20
 ARCHIVE_BYTES = 64 << 20
 #: Bytes fetched at a time.
 READ_BYTES = 1 << 20
-#: Longest header block of a record.
-HEADER_BYTES = 64 << 10
+#: Bytes of archive that are decoded first to see whether a member begins there.
+OPENING_BYTES = 4096
 
 #: Fixed values of the formats.
 GZIP_MAGIC = b"\x1f\x8b\x08"
@@ -182,12 +182,28 @@ class Record:
     block: bytes
 
 
-def _inflate_head(data: bytes) -> bytes:
-    """The first bytes of the member that may begin at the front of ``data``."""
-    try:
-        return zlib.decompressobj(31).decompress(data, HEADER_BYTES)
-    except zlib.error:
-        return b""
+def _begins_record(window: _Window, position: int) -> bool:
+    """Whether a member begins at ``position`` and its data begin with a whole header block."""
+    unpack, opening, taken = zlib.decompressobj(31), b"", position
+    tail, step = b"", OPENING_BYTES
+    while not unpack.eof:
+        chunk = window.at(taken, step)
+        if not chunk:
+            return False
+        try:
+            piece = unpack.decompress(chunk)
+        except zlib.error:
+            return False
+        taken += len(chunk)
+        if len(opening) < len(VERSION):
+            opening += piece[: len(VERSION) - len(opening)]
+            if not VERSION.startswith(opening):
+                return False
+        # The blank line may lie across two pieces.
+        if b"\r\n\r\n" in tail + piece:
+            return opening == VERSION
+        tail, step = (tail + piece)[-3:], min(4 * step, READ_BYTES)
+    return False
 
 
 def _headers(block: bytes) -> tuple[dict[str, str], bytes] | None:
@@ -242,17 +258,7 @@ def records_in(stream, size: int, start: int, end: int) -> Iterator[Record]:
             continue
         position = window.base + found
         window.forget(position)
-        step = 4096
-        head = _headers(_inflate_head(window.at(position, step)))
-        while head is None and step < HEADER_BYTES:
-            step *= 4
-            opening = _inflate_head(window.at(position, step))
-            if opening and not (VERSION.startswith(opening[: len(VERSION)]) or opening.startswith(VERSION)):
-                break
-            if not opening and step > 4096 * 4:
-                break
-            head = _headers(opening)
-        if head is None:
+        if not _begins_record(window, position):
             position += 1
             continue
         # A member: inflate it whole, fetching as needed; its end is where the search goes on.

@@ -507,6 +507,18 @@ def test_warc_round_trip_at_every_split(spark, tmp_path):
     assert sorted(x.bytes for x in listed.collect()) == sorted(x.bytes for x in archives.collect() if x.bytes)
 
 
+def test_warc_keeps_pages_with_long_urls(spark, tmp_path):
+    r = random.Random(2)
+    long = "data:," + "".join(r.choice("abcdefghijklmnopqrstuvwxyz0123456789") for _ in range(200_000))
+    text = prose(3, 400)
+    rows = [(1, "http://x/1", text), (2, long, "small"), (3, long + "3", text), (4, "data:," + "a" * 3_000_000, "flat"), (5, "http://x/5", text)]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    archives = warc.write(warc.plan_records(pages).repartition(1), f"file://{tmp_path}/w")
+    for split in (1000, 1 << 20):
+        got = {x.id: (x.target_uri, x.kind) for x in warc.read(archives, split).select(warc.page_number(F.col("record_id")).alias("id"), "target_uri", F.col("record_type").alias("kind")).collect()}
+        assert got == {i: (u, "revisit" if i in (1, 3) else "response") for i, u, _ in rows}
+
+
 def test_warc_of_nothing(spark, tmp_path):
     pages = spark.createDataFrame([], "page_id bigint, url string, html string")
     assert warc.read(warc.write(warc.plan_records(pages), f"file://{tmp_path}/e")).count() == 0
