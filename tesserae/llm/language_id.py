@@ -5,10 +5,11 @@ n-grams of a text and predicts that bit; the language whose codeword loses least
 predictions, each bit weighted by how often it was right in training, is the answer. When the
 second best loses nearly as little, the answer is flagged as ambiguous.
 
-The classifiers are fitted on a bounded sample of labelled rows: about ``PER_LANGUAGE`` rows of
-each language, chosen by a hash of the row, so the sample does not depend on partitioning.
-Per language one row of sums per task and the sample itself reach the driver; the fitted
-matrix (features x bits) is sent to the tasks, and its size is fixed.
+The classifiers are fitted on a sample of labelled rows: about ``PER_LANGUAGE`` different rows
+and at least one of every language, however many there are, chosen by a hash of the row, so the
+sample does not depend on partitioning. At most ``SUM_TASKS`` tasks sum it up to normal equations
+(features x features and features x bits), and only these reach the driver, with a count for each
+language; the fitted matrix (features x bits) is sent to the tasks.
 
 Defined cases: null texts and texts without a letter are ``und`` with score 0 and not
 ambiguous; texts are used whole; equal texts get equal answers; languages that are null are
@@ -18,23 +19,24 @@ table; ``doc_id`` may be null or repeat; other columns are ignored.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tesserae.llm import texts
+from tesserae.session import broadcast_if_small, materialise
 
 #: Size of the hashed n-gram space, and the orders of n-grams in bytes.
 FEATURES = 4096
 ORDERS = (1, 2, 3)
 #: Rows of each language that are fitted on, about.
 PER_LANGUAGE = 500
-#: Rows that are fitted on in all, about; many languages get fewer each.
-MAX_ROWS = 6000
-#: Languages beyond the most frequent so many are not learned.
-MAX_LANGUAGES = 256
+#: Tasks that sum up the sample, rows of it for each, rows of the sums in a piece, and rows taken at a time.
+SUM_TASKS, SUM_ROWS, SUM_PIECE, SUM_STEP = 32, 2000, 128, 1000
 #: Strength of the ridge penalty.
 RIDGE = 1e-3
 #: An answer with a lower score is flagged as ambiguous.
@@ -81,13 +83,20 @@ def codewords(n: int) -> np.ndarray:
     best, far = None, -1
     for _ in range(50):
         code = np.where(random.random((n, bits)) < 0.5, -1, 1)
-        gram = code @ code.T - 2 * bits * np.eye(n)
-        near = int((bits - gram.max()) // 2)
+        near = int((bits - max(_overlap(code, first, bits) for first in range(0, n, 512))) // 2)
         if near > far:
             best, far = code, near
     return best
 
 
+def _overlap(code: np.ndarray, first: int, bits: int) -> int:
+    """The largest product of one of 512 codewords with another codeword."""
+    block = code[first : first + 512].astype(np.float32)
+    gram = block @ code.T.astype(np.float32)
+    gram[np.arange(len(block)), first + np.arange(len(block))] -= 2 * bits
+    return int(gram.max())
+
+
 @dataclass
 class Model:
     languages: list[str]
@@ -96,21 +105,6 @@ class Model:
     trust: np.ndarray  # per bit
 
 
-def fit_matrix(x: np.ndarray, y: np.ndarray, languages: list[str]) -> Model:
-    """One ridge-regression classifier per bit; classes weigh the same whatever their size."""
-    codes = codewords(len(languages)).astype(np.float32)
-    x = np.hstack([x, np.ones((len(x), 1), dtype=np.float32)])
-    size = np.bincount(y, minlength=len(languages))
-    balance = np.sqrt(len(y) / (len(languages) * np.maximum(size, 1)))[y][:, None].astype(np.float32)
-    xb, tb = x * balance, codes[y] * balance
-    # The dual form needs a matrix of rows x rows, which the sample bounds.
-    gram = xb @ xb.T
-    gram[np.diag_indices_from(gram)] += RIDGE * len(y)
-    weights = xb.T @ np.linalg.solve(gram, tb)
-    right = ((x @ weights > 0) == (codes[y] > 0)).mean(0)
-    return Model(languages, codes, weights.astype(np.float32), np.clip(right - 0.5, 0.01, None))
-
-
 def decode(model: Model, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(language number, score, ambiguous) by the least weighted hinge loss against the codewords."""
     margin = x @ model.weights[:-1] + model.weights[-1]
@@ -137,22 +131,94 @@ def sample(labelled: DataFrame, per_class: int, total: int, label: str, keys: li
     return labelled.filter(draw < share)
 
 
+def _blocks(batches: Iterator[pa.RecordBatch], numbers: dict[str, int]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(features and a one, language numbers) of some rows of the sample at a time."""
+    for batch in batches:
+        for first in range(0, batch.num_rows, SUM_STEP):
+            part = batch.slice(first, SUM_STEP)
+            x = np.stack([np.frombuffer(v, dtype=np.float16) for v in part.column("vector").to_pylist()]).astype(np.float32)
+            y = np.array([numbers[v] for v in part.column("lang").to_pylist()])
+            yield np.hstack([x, np.ones((len(x), 1), dtype=np.float32)]), y
+
+
+def solve(a: np.ndarray, b: np.ndarray, steps: int = 1000, apart: float = 1e-5) -> np.ndarray:
+    """Columns of ``b`` solved by conjugate gradients; the ridge bounds the condition of ``a``."""
+    x, r = np.zeros_like(b), b.copy()
+    p, size = r.copy(), (r * r).sum(0)
+    enough = apart**2 * np.maximum(size, 1e-30)
+    for _ in range(steps):
+        if (size <= enough).all():
+            break
+        ap = a @ p
+        step = size / np.maximum((p * ap).sum(0), 1e-30)
+        x, r = x + step * p, r - step * ap
+        last, size = size, (r * r).sum(0)
+        p = r + size / np.maximum(last, 1e-30) * p
+    return x
+
+
+def fit_sums(sample: DataFrame, sizes: dict[str, int]) -> Model:
+    """One ridge-regression classifier per bit on (lang, vector); classes weigh the same whatever their size."""
+    languages = sorted(sizes)
+    numbers = {v: i for i, v in enumerate(languages)}
+    codes = codewords(len(languages)).astype(np.float32)
+    total = sum(sizes.values())
+    balance = np.sqrt(total / (len(languages) * np.array([sizes[v] for v in languages]))).astype(np.float32)
+    wide = FEATURES + 1 + codes.shape[1]
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = None
+        for x, y in _blocks(batches, numbers):
+            xb, tb = x * balance[y][:, None], codes[y] * balance[y][:, None]
+            found = xb.T @ np.hstack([xb, tb])
+            sums = found if sums is None else np.add(sums, found, out=sums)
+        for piece in range(0, 0 if sums is None else len(sums), SUM_PIECE):
+            part = [pa.array([piece], pa.int32()), pa.array([sums[piece : piece + SUM_PIECE].tobytes()], pa.binary())]
+            yield pa.RecordBatch.from_arrays(part, names=["piece", "sums"])
+
+    def merge(rows):
+        parts = sum(np.frombuffer(v, dtype=np.float32).astype(np.float64) for v in rows["sums"])
+        return rows.iloc[:1].assign(sums=[parts.astype(np.float32).tobytes()])
+
+    spread = sample.repartition(max(1, min(SUM_TASKS, -(-total // SUM_ROWS))))
+    schema = "piece int, sums binary"
+    pieces = sorted(spread.mapInArrow(add, schema).groupBy("piece").applyInPandas(merge, schema).collect())
+    sums = np.concatenate([np.frombuffer(p["sums"], dtype=np.float32).reshape(-1, wide) for p in pieces])
+    gram = sums[:, : FEATURES + 1].copy()
+    gram[np.diag_indices_from(gram)] += RIDGE * total
+    weights = solve(gram, sums[:, FEATURES + 1 :]).astype(np.float32)
+    shared = sample.sparkSession.sparkContext.broadcast(weights)
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        right = np.zeros(codes.shape[1], dtype=np.int64)
+        for x, y in _blocks(batches, numbers):
+            right += ((x @ shared.value > 0) == (codes[y] > 0)).sum(0)
+        yield pa.RecordBatch.from_arrays([pa.array([right.tolist()], pa.list_(pa.int64()))], names=["right"])
+
+    counted = sample.mapInArrow(score, "right array<bigint>").select(F.posexplode("right").alias("bit", "n"))
+    right = {r["bit"]: r["n"] for r in counted.groupBy("bit").agg(F.sum("n").alias("n")).collect()}
+    right = np.array([right[b] for b in range(codes.shape[1])]) / total
+    return Model(languages, codes, weights, np.clip(right - 0.5, 0.01, None))
+
+
 def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", keys: list[str] | None = None) -> Model | None:
     """Fit on the rows of ``labelled`` with a language and a letter."""
     usable = labelled.filter(F.col(lang).isNotNull() & has_letter(F.col(text)))
-    rows = sample(usable, PER_LANGUAGE, MAX_ROWS, lang, keys or [text], MAX_LANGUAGES)
-    # Only the n-gram vectors of the sample, in half precision, come to the driver.
+    # The text is hashed with the keys, so that a key that repeats is drawn from as well.
+    row_hash = F.xxhash64(*(keys or []), text)
+    marked = usable.select(F.col(lang).alias("lang"), F.col(text).alias("text"), row_hash.alias("row"))
+    draw = F.pmod("row", F.lit(1 << 30))
+    sizes = marked.groupBy("lang").agg(F.approx_count_distinct("row").alias("n"), F.min(draw).alias("least"))
+    rows = marked.join(broadcast_if_small(materialise(sizes)), "lang")
+    rows = rows.filter((draw * F.col("n") < float(PER_LANGUAGE << 30)) | (draw == F.col("least")))
+    # Equal rows count once.
+    rows = rows.groupBy("lang", "row").agg(F.min("text").alias("text"))
     found = texts.map_texts(
-        rows, text, [lang], "vector binary", lambda part: {"vector": [v.tobytes() for v in vectors(part).astype(np.float16)]}
+        rows, "text", ["lang"], "vector binary", lambda part: {"vector": [v.tobytes() for v in vectors(part).astype(np.float16)]}
     )
-    # The draw is bounded in expectation; rows that repeat a key are bounded here.
-    found = found.limit(MAX_ROWS + MAX_ROWS // 4).toPandas()
-    if found.empty:
-        return None
-    found = found.sort_values([lang, "vector"])
-    languages = sorted(found[lang].unique())
-    x = np.stack([np.frombuffer(v, dtype=np.float16) for v in found["vector"]]).astype(np.float32)
-    return fit_matrix(x, np.searchsorted(languages, found[lang]), languages)
+    found = materialise(found)
+    counts = {r["lang"]: r["count"] for r in found.groupBy("lang").count().collect()}
+    return fit_sums(found, counts) if counts else None
 
 
 def predict(docs: DataFrame, model: Model | None, keep: list[str], text: str = "text") -> DataFrame:

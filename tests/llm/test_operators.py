@@ -668,3 +668,15 @@ def test_language_on_awkward_tables(spark):
     assert language_id.fit(docs.limit(0)) is None
     assert {x.lang_pred for x in language_id.predict(docs, None, ["doc_id"]).collect()} == {"und"}
     assert language_id.predict(docs.limit(0), model, ["doc_id"]).count() == 0
+
+
+def test_every_language_is_learned(spark):
+    r = random.Random(4)
+    kinds = {f"l{i:03d}": ["".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(5)] for i in range(300)}
+    rows = [(i * 8 + n, " ".join(r.choice(v) for _ in range(30)), k, "s", 1) for i, (k, v) in enumerate(kinds.items()) for n in range(8)]
+    docs = documents(spark, rows)
+    hot = spark.range(8000).selectExpr("7L AS doc_id", "concat('zz zzz ', id) AS text", "'zz' AS lang", "'s' AS source", "1L AS n_chars")
+    model = language_id.fit(docs.filter("doc_id % 8 < 6").unionByName(hot), keys=["doc_id"])
+    assert model.languages == [*sorted(kinds), "zz"]
+    got = language_id.predict(docs.filter("doc_id % 8 >= 6"), model, ["lang"]).collect()
+    assert sum(x.lang == x.lang_pred for x in got) / len(got) > 0.95
