@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesserae.llm import chat_format, decontamination, language_id, line_dedup, mixing, near_dedup, quality_classifier, quality_rules, sharding, texts, warc
+from tesserae.llm import chat_format, decontamination, language_id, line_dedup, mixing, near_dedup, quality_classifier, quality_rules, sharding, simhash_dedup, texts, warc
 from tesserae.session import materialise
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -216,3 +216,12 @@ def op4_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
 def op6_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """Every line of every document with its copies, its links and its class."""
     return line_dedup.line_places(table(spark, folder, "documents"))
+
+
+@query
+def op13_simhash_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """SimHash fingerprint of every document and the component of documents it links to."""
+    docs = simhash_dedup.with_fingerprint(table(spark, folder, "documents").select("doc_id", "text"))
+    prints = materialise(docs.select("doc_id", "fingerprint"))
+    out = simhash_dedup.classes(prints, "fingerprint")
+    return out.select("doc_id", simhash_dedup.shown(F.col("fingerprint")).alias("fingerprint"), "component_id")

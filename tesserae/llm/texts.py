@@ -16,6 +16,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tesserae.llm.names import fresh
+
 #: Bytes of text worked on at a time; one longer text makes a chunk of its own.
 CHUNK_BYTES = 1 << 20
 #: Words of a shingle wherever near-duplicates are concerned.
@@ -197,14 +199,15 @@ def map_texts(df: DataFrame, text: str, keep: list[str], schema: str, work: Call
 
     ``schema`` names the new columns; ``work`` returns one array of that length per name.
     """
-    kept = [f.simpleString().split(":", 1) for f in df.select(*keep).schema.fields]
+    kept = [f.simpleString().split(":", 1) for f in df.select(*[F.col(f"`{k}`") for k in keep]).schema.fields]
     out_schema = ", ".join([f"`{n}` {t}" for n, t in kept] + [schema])
     names = [part.split()[0] for part in _top_level(schema)]
-    source = df.select(*keep, F.col(text).alias("_text"))
+    body = fresh(df, "text")
+    source = df.select(*[F.col(f"`{k}`") for k in keep], F.col(f"`{text}`").cast("string").alias(body))
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            column = batch.column(batch.schema.get_field_index("_text"))
+            column = batch.column(batch.schema.get_field_index(body))
             for part in chunks(column):
                 made = work(part)
                 rows = batch.slice(part.first, part.count)
