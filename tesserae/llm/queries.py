@@ -10,7 +10,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesserae.llm import chat_format, decontamination, language_id, line_dedup, mixing, near_dedup, quality_classifier, quality_rules, sharding, simhash_dedup, texts, warc
+from tesserae.llm import (
+    chat_format,
+    conversation_repair,
+    decontamination,
+    language_id,
+    line_dedup,
+    mixing,
+    near_dedup,
+    quality_classifier,
+    quality_rules,
+    sharding,
+    simhash_dedup,
+    texts,
+    warc,
+)
 from tesserae.session import materialise
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -225,3 +239,105 @@ def op13_simhash_dedup(spark: SparkSession, folder: str) -> DataFrame:
     prints = materialise(docs.select("doc_id", "fingerprint"))
     out = simhash_dedup.classes(prints, "fingerprint")
     return out.select("doc_id", simhash_dedup.shown(F.col("fingerprint")).alias("fingerprint"), "component_id")
+
+
+SQL["op12_conversation_repair"] = rf"""
+WITH RECURSIVE step AS (
+    SELECT range AS byte, 0 AS k, range::BIGINT AS crc FROM range(256)
+    UNION ALL
+    SELECT byte, k + 1, CASE WHEN crc & 1 = 1 THEN xor(crc >> 1, 3988292384) ELSE crc >> 1 END FROM step WHERE k < 8
+),
+crcs AS (SELECT list(crc ORDER BY byte) AS t FROM step WHERE k = 8),
+keyed AS (
+    SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+           coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS key
+    FROM conversations
+),
+hit AS (
+    SELECT keyed.*, xor(list_reduce(list_prepend(4294967295, list_transform(string_split(key, ''), lambda c: ascii(c)::BIGINT)),
+               lambda x, y: xor(x >> 8, t[(xor(x, y) & 255) + 1])), 4294967295) % 20 AS kind
+    FROM keyed, crcs
+),
+hurt AS (
+    SELECT conv_id, turn, CASE kind WHEN 4 THEN 'user' ELSE role END AS role,
+           CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+    FROM hit, range(CASE kind WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)
+),
+named AS (SELECT conv_id, row_number() OVER () AS c FROM (SELECT DISTINCT conv_id FROM conversations)),
+placed AS (
+    SELECT c, turn, role, text, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, role, text) AS pos
+    FROM hurt JOIN named ON hurt.conv_id IS NOT DISTINCT FROM named.conv_id
+),
+faulty AS (
+    SELECT *, lag(role) OVER (PARTITION BY c ORDER BY pos) AS before,
+           CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'blank'
+                WHEN row_number() OVER (PARTITION BY c, role, text ORDER BY pos) > 1 THEN 'duplicate'
+                WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*\z') THEN 'truncated' END AS fault
+    FROM placed
+),
+counts AS (
+    SELECT c, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0)::BIGINT AS gaps,
+           count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+           count(*) FILTER (fault = 'truncated') AS truncated,
+           count(*) FILTER (pos > 1 AND left(before, 1) || left(role, 1) NOT IN ('su', 'ua', 'au')) AS illegal
+    FROM faulty GROUP BY c
+),
+moves(initial, i, j) AS (VALUES ('s', 0, 1), ('u', 0, 2), ('u', 1, 2), ('u', 3, 2), ('a', 2, 3)),
+fills(i, j, cost, audit) AS (
+    VALUES (0, 0, 0, ''), (1, 1, 0, ''), (2, 2, 0, ''), (3, 3, 0, ''), (0, 2, 3, 'I'), (0, 3, 6, 'II'),
+           (1, 2, 3, 'I'), (1, 3, 6, 'II'), (2, 3, 3, 'I'), (3, 2, 3, 'I')
+),
+options AS (
+    SELECT c, pos, m.i, m.j, CASE WHEN fault = 'truncated' THEN 3 ELSE 0 END AS cost, 'K' AS audit
+    FROM faulty JOIN moves m ON m.initial = left(role, 1) WHERE fault IS NULL OR fault = 'truncated'
+    UNION ALL
+    SELECT c, pos, m.i, m.j, CASE WHEN fault = 'truncated' THEN 6 ELSE 3 END, 'R'
+    FROM faulty JOIN moves m ON m.initial IN ('u', 'a') WHERE fault IS NULL OR fault = 'truncated'
+    UNION ALL
+    SELECT c, pos, state, state, 4, 'D' FROM faulty, range(4) s(state)
+),
+filled AS (
+    SELECT c, pos, o.i, f.j, min({{'cost': o.cost + f.cost, 'audit': o.audit || f.audit}}) AS best
+    FROM options o JOIN fills f ON f.i = o.j GROUP BY ALL
+),
+dp AS (
+    SELECT n.c, 0::BIGINT AS pos, f.j, {{'cost': f.cost, 'audit': f.audit}} AS best FROM named n, fills f WHERE f.i = 0
+    UNION ALL
+    SELECT d.c, d.pos + 1, o.j, min({{'cost': d.best.cost + o.best.cost, 'audit': d.best.audit || o.best.audit}})
+    FROM dp d JOIN filled o ON o.c = d.c AND o.pos = d.pos + 1 AND o.i = d.j GROUP BY d.c, d.pos, o.j
+),
+lasts AS (SELECT c, max(pos) AS n FROM faulty GROUP BY c),
+won AS (
+    SELECT n.c, min(best).cost::BIGINT AS cost, min(best).audit AS audit
+    FROM named n LEFT JOIN lasts l USING (c) JOIN dp ON dp.c = n.c AND dp.pos = coalesce(l.n, 0) AND dp.j IN (0, 3) GROUP BY n.c
+),
+ops AS (SELECT c, audit, unnest(string_split(audit, '')) AS op, unnest(range(1, length(audit) + 1)) AS nth FROM won WHERE audit <> ''),
+used AS (
+    SELECT *, count(*) FILTER (op <> 'I') OVER w AS pos, count(*) FILTER (op <> 'D') OVER w AS number,
+           length(replace(audit, 'D', '')) AS total
+    FROM ops WINDOW w AS (PARTITION BY c ORDER BY nth)
+),
+told AS (
+    SELECT u.c, u.number, CASE WHEN op = 'K' THEN role WHEN (number - total % 2) % 2 = 1 THEN 'user' ELSE 'assistant' END
+               || ':' || CASE WHEN op = 'I' THEN '' ELSE text END AS line
+    FROM used u LEFT JOIN faulty f ON f.c = u.c AND f.pos = u.pos WHERE op <> 'D'
+),
+texts AS (SELECT c, string_agg(line, chr(10) ORDER BY number) AS body FROM told GROUP BY c)
+SELECT conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+       coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, cost, audit,
+       sha256(coalesce(body, '')) AS repaired_sha256
+FROM named LEFT JOIN counts USING (c) JOIN won USING (c) LEFT JOIN texts USING (c)
+"""
+
+
+@query
+def op12_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
+    """Faults of every damaged conversation and its cheapest repair."""
+    whole = table(spark, folder, "conversations")
+    rows = materialise(conversation_repair.ordered(conversation_repair.damage(whole)))
+    found = conversation_repair.summary(rows, materialise(conversation_repair.edits(rows))).withColumnRenamed("conv_id", "c")
+    every = whole.select("conv_id").distinct()
+    out = every.join(found, every["conv_id"].eqNullSafe(found["c"]), "left")
+    zero = [F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    text = F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256")
+    return out.select("conv_id", *zero, F.coalesce("audit", F.lit("")).alias("audit"), text)
