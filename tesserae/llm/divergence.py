@@ -46,7 +46,6 @@ SLICE = 1 << 20
 _POSTING = pa.schema(
     [("lang", pa.string()), ("term", pa.string()), ("source", pa.string()), ("docs", pa.int64()), ("n", pa.int64())]
 )
-_GROUP = pa.struct([("gid", pa.int64()), ("size", pa.int64()), ("n", pa.int64())])
 
 _LETTER = np.zeros(256, dtype=bool)
 _LETTER[[*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
@@ -78,19 +77,17 @@ def _terms(data: np.ndarray, offsets: np.ndarray) -> tuple[pa.Array, np.ndarray]
     return terms, owner
 
 
-def _counted(group: np.ndarray, doc: np.ndarray, terms: pa.Array) -> pa.Table:
-    """(group, term, docs, n) of terms with the group and the document of each."""
+def _counted(group: np.ndarray, owner: np.ndarray, terms: pa.Array) -> pa.Table:
+    """(group, term, docs, n) of terms; ``owner`` is the text of each, ``group`` the group of each text."""
     coded = terms.dictionary_encode()
     code = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-    words = len(coded.dictionary)
+    words = max(len(coded.dictionary), 1)
     # Once per document and term, then once per group and term.
-    pair, often = np.unique(doc * words + code, return_counts=True)
-    which = group[np.searchsorted(doc, pair // words)]
-    both = which * words + pair % words
-    key, inverse = np.unique(both, return_inverse=True)
-    docs = np.bincount(inverse, minlength=len(key)).astype(np.int64)
+    pair, often = np.unique(owner * words + code, return_counts=True)
+    key, inverse = np.unique(group[pair // words] * words + pair % words, return_inverse=True)
     n = np.zeros(len(key), dtype=np.int64)
     np.add.at(n, inverse, often.astype(np.int64))
+    docs = np.bincount(inverse, minlength=len(key)).astype(np.int64)
     return pa.table({"group": key // words, "term": coded.dictionary.take(pa.array(key % words)), "docs": docs, "n": n})
 
 
@@ -110,14 +107,15 @@ def _pieces(data: np.ndarray) -> Iterator[np.ndarray]:
 
 
 def _long(data: np.ndarray, group: int) -> pa.Table:
-    """Postings of one long text."""
-    parts = []
+    """Postings of one long text, which is one document for all its terms."""
+    parts: list[pa.Table] = []
     for piece in _pieces(data):
         terms, owner = _terms(piece, np.array([0, len(piece)]))
         parts.append(_counted(np.array([group]), owner, terms))
         if len(parts) > 16:
             parts = [_summed(pa.concat_tables(parts))]
-    return _summed(pa.concat_tables(parts)).set_column(2, "docs", pa.array(np.ones(1, np.int64)).take(pa.array(np.zeros(_summed(pa.concat_tables(parts)).num_rows, np.int64))))
+    out = _summed(pa.concat_tables(parts))
+    return out.set_column(out.column_names.index("docs"), "docs", pa.array(np.ones(out.num_rows, dtype=np.int64)))
 
 
 def _summed(table: pa.Table) -> pa.Table:
@@ -146,8 +144,7 @@ def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 made = _long(part.data, int(mine[0]))
             else:
                 terms, owner = _terms(part.data, part.offsets)
-                rows = np.unique(owner)
-                made = _counted(mine[rows], np.searchsorted(rows, owner), terms)
+                made = _counted(mine, owner, terms)
             named = groups.take(made["group"])
             made = pa.table([named["lang"], made["term"].cast(pa.string()), named["source"], made["docs"], made["n"]], schema=_POSTING)
             held.append(made)
@@ -229,15 +226,16 @@ def _pair_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Terms with the groups they occur in to summed corrections (a, b, value) of pairs that share terms."""
     for batch in batches:
         lists = batch.column(0)
-        flat = lists.flatten()
-        gid, total, n = (flat.field(i).to_numpy(zero_copy_only=False) for i in range(3))
+        gid, total, n = (a.to_numpy(zero_copy_only=False) for a in lists.flatten().flatten())
         begin = lists.offsets.to_numpy(zero_copy_only=False).astype(np.int64)
         begin = begin - begin[0]
         count = np.diff(begin)
         p, none = share(n, total), share(np.zeros_like(n), total)
+        ids, code = np.unique(gid, return_inverse=True)
+        few = len(ids) ** 2 <= 4 * SLICE
+        dense = np.zeros(len(ids) ** 2 if few else 0, dtype=np.int64)
         # Every posting meets all postings of its term, in slices of bounded size.
-        size = np.repeat(count, count)
-        from_row = np.repeat(begin[:-1], count)
+        size, from_row = np.repeat(count, count), np.repeat(begin[:-1], count)
         ends = np.cumsum(size)
         low = 0
         while low < len(size):
@@ -247,24 +245,30 @@ def _pair_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             left = which + low
             apart = left != right
             left, right = left[apart], right[apart]
-            value = gap(p[left], p[right]) - gap(p[left], none[right]) - gap(none[left], p[right]) + gap(none[left], none[right])
-            a, b, summed = _summed_pairs(gid[left], gid[right], value)
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(summed)], names=["a", "b", "value"])
+            p_a, p_b, none_a, none_b = p[left], p[right], none[left], none[right]
+            value = gap(p_a, p_b) - gap(p_a, none_b) - gap(none_a, p_b) + gap(none_a, none_b)
+            key = code[left] * len(ids) + code[right]
+            if few:
+                np.add.at(dense, key, value)
+            else:
+                pair, inverse = np.unique(key, return_inverse=True)
+                part = np.zeros(len(pair), dtype=np.int64)
+                np.add.at(part, inverse, value)
+                yield _made(ids, pair, part)
             low = high
+        if few:
+            pair = np.flatnonzero(dense)
+            yield _made(ids, pair, dense[pair])
 
 
-def _summed_pairs(a: np.ndarray, b: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    ids, code = np.unique(np.concatenate([a, b]), return_inverse=True)
-    key = code[: len(a)].astype(np.int64) * len(ids) + code[len(a) :]
-    pairs, inverse = np.unique(key, return_inverse=True)
-    total = np.zeros(len(pairs), dtype=np.int64)
-    np.add.at(total, inverse, value)
-    return ids[pairs // len(ids)], ids[pairs % len(ids)], total
+def _made(ids: np.ndarray, pair: np.ndarray, value: np.ndarray) -> pa.RecordBatch:
+    arrays = [pa.array(ids[pair // max(len(ids), 1)]), pa.array(ids[pair % max(len(ids), 1)]), pa.array(value)]
+    return pa.RecordBatch.from_arrays(arrays, names=["a", "b", "value"])
 
 
 def _share(n: Column, total: Column) -> Column:
     scaled = (n.cast("decimal(20,0)") + 1) * F.lit(SCALE).cast("decimal(11,0)")
-    return F.lit(1) + F.expr("CAST(NULL AS bigint)") if False else F.call_function("div", scaled, total.cast("decimal(20,0)")).cast("bigint") + 1
+    return F.call_function("div", scaled, total.cast("decimal(20,0)")) + 1
 
 
 def _gap(p: Column, q: Column) -> Column:
@@ -287,7 +291,6 @@ def audit(docs: DataFrame, lang: str = "lang", source: str = "source", text: str
     sizes = kept.groupBy("lang", "source").agg(F.sum("n").alias("size"))
     langs = totals.groupBy("lang").agg(F.count(F.lit(1)).alias("v"), F.sum("all").alias("lang_size"))
     groups = names.distinct().join(sizes, ["lang", "source"], "left").join(langs, "lang", "left")
-    number = F.xxhash64("lang", "source")
     zero = F.lit(0).cast("bigint")
     groups = groups.select(
         "lang",

@@ -14,6 +14,7 @@ from tesserae.llm import (
     chat_format,
     conversation_repair,
     decontamination,
+    divergence,
     language_id,
     line_dedup,
     mixing,
@@ -341,3 +342,52 @@ def op12_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
     zero = [F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
     text = F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256")
     return out.select("conv_id", *zero, F.coalesce("audit", F.lit("")).alias("audit"), text)
+
+
+SQL["op11_source_divergence"] = r"""
+WITH d AS (
+    SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source, row_number() OVER () AS id,
+           translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text
+    FROM documents
+),
+t AS (SELECT lang, source, id, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+kept AS (SELECT lang, term, count(*) AS n FROM t GROUP BY lang, term HAVING count(DISTINCT id) >= 3),
+langs AS (SELECT lang, sum(n) + count(*) AS total FROM kept GROUP BY lang),
+counts AS (SELECT lang, source, term, count(*) AS n FROM t SEMI JOIN kept USING (lang, term) GROUP BY ALL),
+groups AS (SELECT DISTINCT lang, source FROM d),
+full_counts AS (
+    SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n, k.n AS lang_n
+    FROM groups g JOIN kept k USING (lang) LEFT JOIN counts c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term
+),
+shares AS (
+    SELECT *, (1 + 1000000000::HUGEINT * (n + 1) // (sum(n) OVER w + count(*) OVER w))::HUGEINT AS p
+    FROM full_counts WINDOW w AS (PARTITION BY lang, source)
+),
+own AS (
+    SELECT s.lang, source, term, n, p, (1 + 1000000000::HUGEINT * (lang_n + 1) // total)::HUGEINT AS q
+    FROM shares s JOIN langs USING (lang)
+),
+terms AS (
+    SELECT lang, source, 'term' AS part, term AS item, ((p - q) * (p - q) // q)::BIGINT AS value,
+           row_number() OVER (PARTITION BY lang, source ORDER BY (p - q) * (p - q) // q DESC, term) AS rank
+    FROM own WHERE n > 0 AND p > q QUALIFY rank <= 200
+),
+sums AS (
+    SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value
+    FROM shares a JOIN shares b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL
+),
+pairs AS (
+    SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(s.value, 0)::BIGINT AS value
+    FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+    LEFT JOIN sums s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source
+)
+SELECT lang, source, part, item, value, rank::INTEGER AS rank FROM terms
+UNION ALL
+SELECT lang, source, part, item, value, (row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item))::INTEGER FROM pairs
+"""
+
+
+@query
+def op11_source_divergence(spark: SparkSession, folder: str) -> DataFrame:
+    """Divergence of all pairs of sources of a language, and the terms that set a source apart."""
+    return divergence.audit(table(spark, folder, "documents"))
