@@ -309,12 +309,12 @@ _ROLL = "WITH l5 AS (SELECT n.*, " + u("'value'", "tree_id", "patch") + " AS val
 @query(
     "q8_roll_up",
     _ROLL
-    + " UNION ALL ".join(f" SELECT tree_id, lod, patch, {r('val')} AS val FROM l{k} WHERE lod <= 3" for k in range(6)),
+    + " UNION ALL ".join(f" SELECT tree_id, lod, patch, {r('val')} AS val FROM l{k}" for k in range(6)),
     "nodes",
 )
 def _(t: Tables):
     nodes = t.trees.withColumn("val", uniform(F.lit("value"), "tree_id", "patch"))
-    out = tree.roll_up(nodes, "val").filter(F.col("lod") <= 3)
+    out = tree.roll_up(nodes, "val")
     return out.select("tree_id", "lod", "patch", rounded("val").alias("val"))
 
 
