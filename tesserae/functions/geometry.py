@@ -85,6 +85,26 @@ def node_index(lod: str | Column, patch: str | Column, sides: Sequence[int] = SI
     return level_start(lod, sides) + interleaved(lod, patch, sides)
 
 
+def level_of(idx: str | Column, sides: Sequence[int] = SIDES) -> Column:
+    """Level of a node by its index in the full tree, NULL outside."""
+    idx, out, end = _as_col(idx), F.when(F.lit(False), F.lit(0).cast("bigint")), 0
+    for lod, side in enumerate(sides):
+        end += side * side
+        out = out.when((idx >= 0) & (idx < end), F.lit(lod).cast("bigint"))
+    return out
+
+
+def patch_of(idx: str | Column, sides: Sequence[int] = SIDES) -> Column:
+    """Patch of a node by its index in the full tree: the inverse of :func:`node_index`."""
+    lod = level_of(idx, sides)
+    rank = _as_col(idx) - level_start(lod, sides)
+    row, col = F.lit(0).cast("bigint"), F.lit(0).cast("bigint")
+    for bit in range(max(sides).bit_length() - 1):
+        col = col + F.shiftleft(F.shiftright(rank, 2 * bit).bitwiseAND(F.lit(1)), bit)
+        row = row + F.shiftleft(F.shiftright(rank, 2 * bit + 1).bitwiseAND(F.lit(1)), bit)
+    return row * by_level(lod, sides) + col
+
+
 def ancestor_rank(lod: str | Column, rank: str | Column, level: int) -> Column:
     """Rank on ``level`` of the ancestor of a node, NULL for nodes above that level.
 

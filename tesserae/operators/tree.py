@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from tesserae.functions import geometry as geo
 from tesserae.functions.core import uniform
+from tesserae.operators import level_arrays
 
 SIDES = geo.SIDES
 
@@ -183,75 +184,39 @@ def _at(level: int, value: Column) -> Column:
 
 def reachable(nodes: DataFrame, sides: Sequence[int] = SIDES) -> DataFrame:
     """Drop orphans: nodes with any missing ancestor."""
-    rows = nodes.withColumn("_rank", geo.interleaved("lod", "patch", sides))
-    whole = F.lit(True)
-    flags = []
-    for level in range(len(sides) - 1):
-        flags.append(f"_has{level}")
-        rows = rows.withColumn(flags[-1], _over_ancestor(F.max(_at(level, F.lit(1))), level))
-        whole = whole & ((F.col("lod") <= level) | F.col(flags[-1]).isNotNull())
-    return rows.filter(whole).drop("_rank", *flags)
+    return level_arrays.linked(nodes, sides).select(*nodes.columns)
 
 
 def with_parents(nodes: DataFrame, sides: Sequence[int] = SIDES) -> DataFrame:
-    """Reachable nodes with ``pos`` and ``parent_pos``, the place of the parent (-1 for roots)."""
-    rows = ordered(reachable(nodes, sides), sides).drop("level_pos")
-    rows = rows.withColumn("_rank", geo.interleaved("lod", "patch", sides))
-    parent = F.when(F.col("lod") == 0, F.lit(-1).cast("bigint"))
-    names = []
-    for level in range(len(sides) - 1):
-        names.append(f"_p{level}")
-        rows = rows.withColumn(names[-1], _over_ancestor(F.max(_at(level, F.col("pos"))), level))
-        parent = parent.when(F.col("lod") == level + 1, F.col(names[-1]))
-    return rows.withColumn("parent_pos", parent).drop("_rank", *names)
+    """Reachable nodes with ``idx``, ``pos`` and ``parent_pos``, the place of the parent (-1 for roots)."""
+    return level_arrays.linked(nodes, sides)
 
 
 def marked_candidates(nodes: DataFrame, sides: Sequence[int] = SIDES) -> DataFrame:
     """(tree_id, lod, patch, idx, status) of present nodes (1) and of absent nodes whose parent
     is present (0). Every other node of the full tree has status -1 and is not stored."""
-    last = len(sides) - 1
-    down = _with_children(
-        nodes.select("tree_id", "lod", "patch").withColumn("_of", F.col("lod")),
-        F.col("lod") < last,
-        sides,
-    )
-    own = (F.col("lod") == F.col("_of")).cast("bigint")
-    rows = down.groupBy("tree_id", "lod", "patch").agg(F.max(own).alias("status"))
-    return rows.withColumn("idx", geo.node_index("lod", "patch", sides))
+    return level_arrays.marked(nodes, sides).drop("place")
 
 
-def status_vectors(
-    marked: DataFrame, candidates: bool = True, sides: Sequence[int] = SIDES
-) -> DataFrame:
-    """(tree_id, status[]): one entry per node of the full tree, -1 where nothing is stored.
+def _present(nodes: DataFrame) -> DataFrame:
+    """The present nodes of a node table or of marked rows."""
+    return nodes.filter(F.col("status") == 1) if "status" in nodes.columns else nodes
 
-    With ``candidates=False`` only present (1) and absent (-1) are told apart. The vector is
-    built from the stored nodes in index order, filling the gaps between them.
-    """
-    total = sum(s * s for s in sides)
-    known = marked if candidates else marked.filter(F.col("status") == 1)
-    rows = known.groupBy("tree_id").agg(F.array_sort(F.collect_list(F.struct("idx", "status"))).alias("k"))
-
-    def absent(n: Column) -> Column:
-        return F.array_repeat(F.lit(-1).cast("bigint"), n.cast("int"))
 
-    def filled(s: Column, i: Column) -> Column:
-        before = F.when(i > 0, F.element_at("k", F.greatest(i, F.lit(1)))["idx"]).otherwise(F.lit(-1))
-        return F.concat(absent(s["idx"] - before - 1), F.array(s["status"]))
+def status_vectors(nodes: DataFrame, candidates: bool = True, sides: Sequence[int] = SIDES) -> DataFrame:
+    """(tree_id, status[]): one entry per node of the full tree, -1 where a node is neither present
+    nor a candidate. With ``candidates=False`` only present (1) and absent (-1) are told apart.
+    ``nodes`` may be marked rows too."""
+    return level_arrays.packed(_present(nodes), sides, candidates).select("tree_id", "status")
 
-    tail = absent(F.lit(total - 1) - F.element_at("k", -1)["idx"])
-    return rows.select("tree_id", F.concat(F.flatten(F.transform("k", filled)), tail).alias("status"))
 
+def split_labels(nodes: DataFrame, guaranteed_depth: int, sides: Sequence[int] = SIDES) -> DataFrame:
+    """(tree_id, pos, label) of nodes that may split, ``pos`` counting nodes with status >= 0.
 
-def split_labels(
-    marked: DataFrame, guaranteed_depth: int, sides: Sequence[int] = SIDES
-) -> DataFrame:
-    """(tree_id, pos, label) of nodes that may split, ``pos`` counting nodes with status >= 0."""
-    window = Window.partitionBy("tree_id").orderBy("idx")
-    rows = marked.filter(F.col("status") >= 0)
-    rows = rows.withColumn("pos", F.row_number().over(window).cast("bigint") - 1)
+    ``nodes`` may be marked rows too."""
     free = (F.col("lod") >= guaranteed_depth) & (F.col("lod") < len(sides) - 1)
-    return rows.filter(free).select("tree_id", "pos", F.col("status").alias("label"))
+    rows = level_arrays.marked(_present(nodes), sides).filter(free)
+    return rows.select("tree_id", F.col("place").alias("pos"), F.col("status").alias("label"))
 
 
 def size_statistics(nodes: DataFrame, levels: int = len(SIDES)) -> DataFrame:
@@ -397,37 +362,3 @@ def roll_up(nodes: DataFrame, value: str, sides: Sequence[int] = SIDES) -> DataF
         own = F.when(F.col("lod") == level, F.coalesce("_mean", F.lit(0.0))).otherwise(F.col(value))
         rows = rows.withColumn(value, own).drop("_mean")
     return rows.drop("_rank")
-
-
-def to_json(marked: DataFrame) -> DataFrame:
-    """(tree_id, json): ``{"tree": {lod: [{patch_index, lod_level}]}, "status": [[idx, status]]}``.
-
-    One document per tree, bounded by the size of the full tree.
-    """
-    present = F.col("status") == 1
-    node = F.when(present, F.struct("idx", F.col("patch").alias("patch_index"), F.col("lod").alias("lod_level")))
-    per_lod = marked.groupBy("tree_id", "lod").agg(
-        F.array_sort(F.collect_list(node)).alias("nodes"),
-        F.collect_list(F.struct("idx", "status")).alias("stats"),
-    )
-    nodes = F.transform("nodes", lambda n: F.struct(n["patch_index"].alias("patch_index"), n["lod_level"].alias("lod_level")))
-    # A level that only holds candidates has no nodes to list.
-    listed = F.when(F.size("nodes") > 0, F.struct(F.col("lod").cast("string").alias("k"), nodes.alias("v")))
-    out = per_lod.groupBy("tree_id").agg(
-        F.map_from_entries(F.array_sort(F.collect_list(listed))).alias("tree"),
-        F.array_sort(F.flatten(F.collect_list("stats"))).alias("status"),
-    )
-    return out.select("tree_id", F.to_json(F.struct("tree", "status")).alias("json"))
-
-
-def from_json(docs: DataFrame) -> DataFrame:
-    """(tree_id, lod, patch) of the present nodes, back from :func:`to_json`."""
-    schema = (
-        "tree map<string, array<struct<patch_index: bigint, lod_level: bigint>>>, "
-        "status array<struct<idx: bigint, status: bigint>>"
-    )
-    rows = docs.select("tree_id", F.from_json("json", schema).alias("d"))
-    rows = rows.select("tree_id", F.explode("d.tree").alias("k", "nodes"))
-    return rows.select("tree_id", F.explode("nodes").alias("n")).select(
-        "tree_id", F.col("n.lod_level").alias("lod"), F.col("n.patch_index").alias("patch")
-    )

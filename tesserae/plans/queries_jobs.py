@@ -2,25 +2,23 @@
 
 from __future__ import annotations
 
-import os
-import uuid
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
 from tesserae.functions.core import rounded
+from tesserae.functions.vectors import joined
 from tesserae.operators import sequences
 from tesserae.plans import jobs
 from tesserae.plans.catalogue import query
 from tesserae.plans.oracle_views import r, u, view
 from tesserae.plans.views import Tables
-from tesserae.session import shared_dir
+from tesserae.session import scratch
 from tesserae.sources import archive, tokens as token_io
 
 
 def _scratch(t: Tables, name: str) -> str:
-    return os.path.join(shared_dir(t.spark), f"{name}-{uuid.uuid4().hex}")
+    return scratch(t.spark, name)
 
 
 @query(
@@ -43,8 +41,29 @@ def _(t: Tables):
     )
 
 
-_TOKEN_SAMPLES = """SELECT lpad(sample_key::VARCHAR, 8, '0') AS key, count(*)::INT AS len, sum(code)::BIGINT AS codes,
-    sum(pos * code)::BIGINT AS weighted, sum(lod)::BIGINT AS lods, sum(patch)::BIGINT AS patches,
+@query(
+    "s1_sample_rows",
+    """SELECT doc_id // 20 AS shard, lpad(doc_id::VARCHAR, 8, '0') AS key, md5(text) AS digest, lang AS label
+       FROM documents WHERE doc_id // 20 >= 3 AND doc_id // 20 < 30""",
+)
+def _(t: Tables):
+    """One row per sample of some shards; the condition on shards reaches the reader."""
+    docs = t.table("documents").select(
+        F.floor(F.col("doc_id") / 20).alias("shard"),
+        F.lpad(F.col("doc_id").cast("string"), 8, "0").alias("key"),
+        archive.text_payload("text").alias("text"),
+        archive.text_payload("lang").alias("lang"),
+    )
+    columns = {"txt": "text", "cls": "lang"}
+    path = _scratch(t, "sample-rows")
+    archive.write_sample_rows(docs.select("shard", "key", archive.members_of(columns).alias("members")), path)
+    rows = archive.read_sample_rows(t.spark, path).filter((F.col("shard") >= 3) & (F.col("shard") < 30))
+    wide = archive.sample_columns(rows, columns)
+    return wide.select("shard", "key", F.md5("text").alias("digest"), archive.payload_text("lang").alias("label"))
+
+
+_TOKEN_SAMPLES = """SELECT lpad(sample_key::VARCHAR, 8, '0') AS key, string_agg(code::VARCHAR, ',' ORDER BY pos) AS codes,
+    string_agg(lod::VARCHAR, ',' ORDER BY pos) AS lods, string_agg(patch::VARCHAR, ',' ORDER BY pos) AS patches,
     any_value(o_custkey % 10) AS class_id, sample_key // 500 AS shard
   FROM tokens JOIN orders ON o_orderkey = sample_key GROUP BY sample_key"""
 
@@ -61,35 +80,22 @@ def _samples(t: Tables):
     )
 
 
-def _digest(samples):
-    def total(c):
-        return F.aggregate(c, F.lit(0).cast("bigint"), lambda a, x: a + x)
-
-    weighted = F.transform("codes", lambda x, i: x * i)
-    return samples.select(
-        "key",
-        F.size("codes").alias("len"),
-        total(F.col("codes")).alias("codes"),
-        total(weighted).alias("weighted"),
-        total(F.col("lods")).alias("lods"),
-        total(F.col("patches")).alias("patches"),
-        "class_id",
-        "shard",
-    )
+def _texts(samples):
+    return samples.select("key", *[joined(c).alias(c) for c in ("codes", "lods", "patches")], "class_id", "shard")
 
 
 @query("s5_token_table", _TOKEN_SAMPLES, "tokens")
 def _(t: Tables):
     path = _scratch(t, "tokens")
     token_io.write_tokens(_samples(t), path)
-    return _digest(token_io.read_tokens(t.spark, path))
+    return _texts(token_io.read_tokens(t.spark, path))
 
 
 @query("s5_token_archives", _TOKEN_SAMPLES, "tokens")
 def _(t: Tables):
     path = _scratch(t, "token-archives")
     token_io.write_token_archives(_samples(t), path)
-    return _digest(token_io.read_token_archives(t.spark, path))
+    return _texts(token_io.read_token_archives(t.spark, path))
 
 
 @query(
@@ -110,7 +116,7 @@ def _(t: Tables):
     before, after = _scratch(t, "before"), _scratch(t, "after")
     archive.write_members(archive.wide_to_members(rows, columns), before)
     jobs.relabel(t.spark, before, after, t.dictionary)
-    back = archive.members_to_wide(archive.read_samples(t.spark, after), columns)
+    back = archive.sample_columns(archive.read_sample_rows(t.spark, after), columns)
     return back.select(
         "shard", "key", archive.payload_text("cls").alias("cls"), archive.payload_text("jpg").alias("jpg")
     )

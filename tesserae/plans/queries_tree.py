@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 from tesserae.functions import geometry as geo
 from tesserae.functions.core import rounded, uniform
 from tesserae.functions.vectors import joined
-from tesserae.operators import sequences, tree
+from tesserae.operators import level_arrays, sequences, tree
 from tesserae.plans.catalogue import query
 from tesserae.plans.oracle_views import parent, r, u, view, zorder
 from tesserae.plans.views import GUARANTEED_DEPTH, Tables
+from tesserae.session import scratch
+from tesserae.sources import tokens as token_io
 
 _IDX = f"((1 << (2 * lod)::INTEGER) - 1) // 3 + {zorder('lod', 'patch')}"
 view("nodes", f"SELECT tree_id, lod, patch, {_IDX} AS idx FROM trees", "trees")
@@ -22,15 +24,22 @@ view(
 )
 
 
+#: All patches of a group as one text, so that node sets of many trees compare row by row.
+PATCHES = "string_agg(patch::VARCHAR, ',' ORDER BY patch) AS patches"
+
+
+def _patches(nodes, *group: str):
+    return nodes.groupBy(*group).agg(F.count(F.lit(1)).alias("n"), joined(F.array_sort(F.collect_list("patch"))).alias("patches"))
+
+
 @query(
     "q1_complete_tree",
-    """SELECT c_custkey AS tree_id, lod, count(*) AS n, sum(patch)::BIGINT AS patches FROM customer, full_tree
+    f"""SELECT c_custkey AS tree_id, lod, count(*) AS n, {PATCHES} FROM customer, full_tree
        GROUP BY c_custkey, lod""",
     "full_tree",
 )
 def _(t: Tables):
-    full = tree.complete_trees(t.tree_ids)
-    return full.groupBy("tree_id", "lod").agg(F.count(F.lit(1)).alias("n"), F.sum("patch").alias("patches"))
+    return _patches(tree.complete_trees(t.tree_ids), "tree_id", "lod")
 
 
 @query("q2_random_trees", "SELECT * FROM trees", "trees")
@@ -47,14 +56,13 @@ def _(t: Tables):
 
 @query(
     "q4_depth_and_level",
-    """SELECT 'copy' AS part, tree_id, count(*) AS n, sum(patch)::BIGINT AS patches FROM trees WHERE lod <= 4 GROUP BY tree_id
-       UNION ALL SELECT 'level', tree_id, count(*), sum(patch)::BIGINT FROM trees WHERE lod = 4 GROUP BY tree_id""",
+    f"""SELECT 'copy' AS part, tree_id, lod, count(*) AS n, {PATCHES} FROM trees WHERE lod <= 4 GROUP BY tree_id, lod
+       UNION ALL SELECT 'level', tree_id, lod, count(*), {PATCHES} FROM trees WHERE lod = 4 GROUP BY tree_id, lod""",
     "trees",
 )
 def _(t: Tables):
-    agg = [F.count(F.lit(1)).alias("n"), F.sum("patch").alias("patches")]
-    copy = tree.copy_to_depth(t.trees, 4).groupBy("tree_id").agg(*agg)
-    level = tree.nodes_at_level(t.trees, 4).groupBy("tree_id").agg(*agg)
+    copy = _patches(tree.copy_to_depth(t.trees, 4), "tree_id", "lod")
+    level = _patches(tree.nodes_at_level(t.trees, 4), "tree_id", "lod")
     return copy.select(F.lit("copy").alias("part"), "*").unionByName(
         level.select(F.lit("level").alias("part"), "*")
     )
@@ -94,28 +102,31 @@ def _(t: Tables):
     return tree.with_parents(kept)
 
 
+_STATUS_TEXT = f"string_agg(status::VARCHAR, ',' ORDER BY {_IDX})"
+
+
 @query(
     "j6_candidate_marking",
-    f"""SELECT tree_id, count(*) FILTER (status = 1) AS present, count(*) FILTER (status = 0) AS candidates,
-          count(*) FILTER (status = -1) AS absent, count(*) FILTER (status >= 0) AS active,
-          sum(({_IDX}) * (status + 2))::BIGINT AS checksum FROM node_status GROUP BY tree_id""",
+    f"""SELECT tree_id, {_STATUS_TEXT} AS status,
+          string_agg(CASE WHEN status = 1 THEN 1 ELSE -1 END::VARCHAR, ',' ORDER BY {_IDX}) AS present,
+          count(*) FILTER (status >= 0) AS active FROM node_status GROUP BY tree_id""",
     "node_status",
 )
 def _(t: Tables):
-    vectors = tree.status_vectors(tree.marked_candidates(t.trees))
-
-    def how_many(keep):
-        return F.size(F.filter("status", keep)).cast("bigint")
-
-    weighted = F.transform("status", lambda s, i: (s + 2) * i)
-    return vectors.select(
-        "tree_id",
-        how_many(lambda s: s == 1).alias("present"),
-        how_many(lambda s: s == 0).alias("candidates"),
-        how_many(lambda s: s == -1).alias("absent"),
-        how_many(lambda s: s >= 0).alias("active"),
-        F.aggregate(weighted, F.lit(0).cast("bigint"), lambda acc, x: acc + x).alias("checksum"),
-    )
+    vectors = tree.status_vectors(t.trees)
+    present = F.transform("status", lambda s: F.when(s == 1, F.lit(1)).otherwise(F.lit(-1)))
+    active = F.size(F.filter("status", lambda s: s >= 0)).cast("bigint")
+    return vectors.select("tree_id", joined("status").alias("status"), joined(present).alias("present"), active.alias("active"))
+
+
+@query(
+    "j6_candidate_rows",
+    f"""SELECT tree_id, lod, status, count(*) AS n, {PATCHES} FROM node_status WHERE status >= 0
+        GROUP BY tree_id, lod, status""",
+    "node_status",
+)
+def _(t: Tables):
+    return _patches(tree.marked_candidates(t.trees), "tree_id", "lod", "status")
 
 
 @query(
@@ -126,7 +137,7 @@ def _(t: Tables):
     "node_status",
 )
 def _(t: Tables):
-    return tree.split_labels(tree.marked_candidates(t.trees), GUARANTEED_DEPTH)
+    return tree.split_labels(t.trees, GUARANTEED_DEPTH)
 
 
 @query(
@@ -154,17 +165,17 @@ def _(t: Tables):
          LATERAL (SELECT unnest(range((n.patch % (1 << n.lod::INT)) * (32 >> n.lod::INT),
             (n.patch % (1 << n.lod::INT) + 1) * (32 >> n.lod::INT))) AS x) xs
          GROUP BY n.tree_id, y, x)
-       SELECT tree_id, count(*) AS cells, max(heat) AS hottest, sum(heat)::BIGINT AS total,
-         sum(heat * (y * 32 + x))::BIGINT AS checksum FROM h GROUP BY tree_id""",
+       SELECT tree_id, count(*) AS cells, max(heat) AS hottest,
+         string_agg(heat::VARCHAR, ',' ORDER BY y, x) AS heats FROM h GROUP BY tree_id""",
     "trees",
 )
 def _(t: Tables):
     heat = tree.heat_map(t.trees)
+    cells = F.array_sort(F.collect_list(F.struct("y", "x", "heat")))
     return heat.groupBy("tree_id").agg(
         F.count(F.lit(1)).alias("cells"),
         F.max("heat").alias("hottest"),
-        F.sum("heat").alias("total"),
-        F.sum(F.col("heat") * (F.col("y") * 32 + F.col("x"))).alias("checksum"),
+        joined(F.transform(cells, lambda c: c["heat"])).alias("heats"),
     )
 
 
@@ -230,16 +241,13 @@ def _(t: Tables):
         alive AS (SELECT tree_id, lod, patch FROM gains WHERE lod <= 3 UNION ALL
           SELECT tree_id, lod, patch FROM p4 WHERE drop3 > 0.3 UNION ALL
           SELECT tree_id, lod, patch FROM p5 WHERE drop3 > 0.3 AND drop4 > 0.2)
-        SELECT tree_id, lod, count(*) AS n, sum(patch)::BIGINT AS patches FROM alive GROUP BY tree_id, lod""",
+        SELECT tree_id, lod, count(*) AS n, {PATCHES} FROM alive GROUP BY tree_id, lod""",
     "gains",
 )
 def _(t: Tables):
     full = tree.complete_trees(t.tree_ids)
     drops = _drops(t, tree.complete_trees(t.tree_ids, 4))
-    pruned = tree.prune(full, drops)
-    return pruned.groupBy("tree_id", "lod").agg(
-        F.count(F.lit(1)).alias("n"), F.sum("patch").alias("patches")
-    )
+    return _patches(tree.prune(full, drops), "tree_id", "lod")
 
 
 _SEARCH = """WITH s3 AS (SELECT tree_id, patch FROM {c3} WHERE n > 1 AND place <= wanted),
@@ -258,44 +266,50 @@ _SEARCH = """WITH s3 AS (SELECT tree_id, patch FROM {c3} WHERE n > 1 AND place <
 @query(
     "q6_greedy_search",
     _SEARCH
-    + """SELECT tree_id, lod, count(*) AS n, sum(patch)::BIGINT AS patches, sum(patch * patch)::BIGINT AS squares
-         FROM found GROUP BY tree_id, lod""",
+    + f"SELECT tree_id, lod, count(*) AS n, {PATCHES} FROM found GROUP BY tree_id, lod",
     "gains",
 )
 def _(t: Tables):
-    found = tree.greedy_search(t.tree_ids, _scored(t), GUARANTEED_DEPTH, {4: 1.5})
-    return found.groupBy("tree_id", "lod").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.sum("patch").alias("patches"),
-        F.sum(F.col("patch") * F.col("patch")).alias("squares"),
-    )
+    return _patches(tree.greedy_search(t.tree_ids, _scored(t), GUARANTEED_DEPTH, {4: 1.5}), "tree_id", "lod")
 
 
-@query(
-    "d7_pretokenise",
-    _SEARCH.replace("floor((sum", "floor((1.0 * sum")
-    + f""", placed AS (SELECT *, row_number() OVER (PARTITION BY tree_id ORDER BY idx) - 1 AS pos FROM found),
-        linked AS (SELECT a.*, coalesce(b.pos, -1) AS parent_pos FROM placed a LEFT JOIN placed b
-          ON b.tree_id = a.tree_id AND b.lod = a.lod - 1 AND b.patch = {parent("a.lod", "a.patch")}),
-        cand AS (SELECT count(*) AS n, f.tree_id FROM found p JOIN gains f ON f.tree_id = p.tree_id AND f.lod = p.lod + 1
-            AND p.patch = {parent("f.lod", "f.patch")}
-          WHERE NOT EXISTS (SELECT 1 FROM found q WHERE q.tree_id = f.tree_id AND q.lod = f.lod AND q.patch = f.patch)
-          GROUP BY f.tree_id)
-        SELECT l.tree_id, count(*) AS tokens, sum(parent_pos * (pos + 1))::BIGINT AS parents,
-          any_value(coalesce(cand.n, 0)) AS candidates
-        FROM linked l LEFT JOIN cand USING (tree_id) GROUP BY l.tree_id""",
-    "gains",
-)
-def _(t: Tables):
-    from tesserae.plans.jobs import pretokenise
+_PLACED = f""", placed AS (SELECT *, row_number() OVER (PARTITION BY tree_id ORDER BY idx) - 1 AS pos FROM found),
+    linked AS (SELECT a.*, coalesce(b.pos, -1) AS parent_pos FROM placed a LEFT JOIN placed b
+      ON b.tree_id = a.tree_id AND b.lod = a.lod - 1 AND b.patch = {parent("a.lod", "a.patch")}),
+    marks AS (SELECT g.tree_id, g.idx, CASE WHEN f.patch IS NOT NULL THEN 1 WHEN q.patch IS NOT NULL THEN 0 ELSE -1 END AS status
+      FROM gains g LEFT JOIN found f ON f.tree_id = g.tree_id AND f.lod = g.lod AND f.patch = g.patch
+      LEFT JOIN found q ON q.tree_id = g.tree_id AND q.lod = g.lod - 1 AND q.patch = {parent("g.lod", "g.patch")}),
+    vectors AS (SELECT tree_id, string_agg(status::VARCHAR, ',' ORDER BY idx) AS status FROM marks GROUP BY tree_id)
+    SELECT lpad(l.tree_id::VARCHAR, 10, '0') AS key, l.tree_id // 100 AS shard, (l.tree_id % 10)::BIGINT AS class_id,
+      string_agg(((l.idx * 7 + l.tree_id) % 512)::VARCHAR, ',' ORDER BY pos) AS codes,
+      string_agg(lod::VARCHAR, ',' ORDER BY pos) AS lods, string_agg(patch::VARCHAR, ',' ORDER BY pos) AS patches,
+      string_agg(parent_pos::VARCHAR, ',' ORDER BY pos) AS parents, any_value(v.status) AS status
+    FROM linked l JOIN vectors v USING (tree_id) GROUP BY l.tree_id"""
 
-    nodes, marked = pretokenise(t.tree_ids, _scored(t), GUARANTEED_DEPTH, {4: 1.5})
-    tokens = nodes.groupBy("tree_id").agg(
-        F.count(F.lit(1)).alias("tokens"),
-        F.sum(F.col("parent_pos") * (F.col("pos") + 1)).alias("parents"),
+
+@query("d7_pretokenise", _SEARCH.replace("floor((sum", "floor((1.0 * sum") + _PLACED, "gains")
+def _(t: Tables):
+    """Search, pack, store as archives in the pretokenised form, and read back."""
+    from tesserae.plans.jobs import pretokenised_samples
+
+    def codes(lods, patches, tree_id):
+        both = F.zip_with(lods, patches, lambda lod, patch: geo.node_index(lod, patch))
+        return F.transform(both, lambda i: F.pmod(i * 7 + tree_id, F.lit(512)))
+
+    found = pretokenised_samples(t.tree_ids, _scored(t), GUARANTEED_DEPTH, {4: 1.5})
+    samples = found.select(
+        F.lpad(F.col("tree_id").cast("string"), 10, "0").alias("key"),
+        F.floor(F.col("tree_id") / 100).alias("shard"),
+        F.pmod("tree_id", F.lit(10)).alias("class_id"),
+        codes(F.col("lods"), F.col("patches"), F.col("tree_id")).alias("codes"),
+        "parents",
+        "json",
     )
-    free = marked.groupBy("tree_id").agg(F.count(F.when(F.col("status") == 0, 1)).alias("candidates"))
-    return tokens.join(free, "tree_id")
+    path = scratch(t.spark, "pretokenised")
+    token_io.write_tree_archives(samples, path)
+    back = token_io.read_tree_archives(t.spark, path)
+    texts = [joined(c).alias(c) for c in ("codes", "lods", "patches", "parents", "status")]
+    return back.select("key", "shard", "class_id", *texts)
 
 
 _ROLL = "WITH l5 AS (SELECT n.*, " + u("'value'", "tree_id", "patch") + " AS val FROM nodes n WHERE lod = 5)" + "".join(
@@ -344,12 +358,27 @@ def _(t: Tables):
 
 @query(
     "f3_json_round_trip",
-    "SELECT tree_id, lod, count(*) AS n, sum(patch)::BIGINT AS patches FROM trees GROUP BY tree_id, lod",
-    "trees",
+    f"""SELECT s.tree_id, s.status, n.lods, n.patches FROM
+          (SELECT tree_id, {_STATUS_TEXT} AS status FROM node_status GROUP BY tree_id) s JOIN
+          (SELECT tree_id, string_agg(lod::VARCHAR, ',' ORDER BY idx) AS lods,
+             string_agg(patch::VARCHAR, ',' ORDER BY idx) AS patches FROM nodes GROUP BY tree_id) n USING (tree_id)""",
+    "node_status",
+    "nodes",
+)
+def _(t: Tables):
+    back = level_arrays.from_json(level_arrays.to_json(level_arrays.packed(t.trees)))
+    return back.select("tree_id", *[joined(c).alias(c) for c in ("status", "lods", "patches")])
+
+
+@query(
+    "f3_status_to_nodes",
+    f"""SELECT tree_id, lod, status, count(*) AS n, {PATCHES} FROM node_status WHERE status >= 0
+        GROUP BY tree_id, lod, status""",
+    "node_status",
 )
 def _(t: Tables):
-    back = tree.from_json(tree.to_json(tree.marked_candidates(t.trees)))
-    return back.groupBy("tree_id", "lod").agg(F.count(F.lit(1)).alias("n"), F.sum("patch").alias("patches"))
+    back = level_arrays.from_json(level_arrays.to_json(level_arrays.packed(t.trees)))
+    return _patches(level_arrays.of_status(back), "tree_id", "lod", "status")
 
 
 @query(
