@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tesserae.functions import vectors as vec
+from tesserae.operators import accumulate
 from tesserae.operators.ordering import number_rows
+from tesserae.session import materialise
 
 INCEPTION_EPS = 1e-16
 
@@ -18,28 +17,9 @@ INCEPTION_EPS = 1e-16
 def moment_sums(df: DataFrame, column: str) -> DataFrame:
     """(i, n, s, g): per dimension the count, the sum, and the row of summed outer products.
 
-    Every task adds up its own batches and emits one row per dimension; the final sum is
-    grouped by dimension, so its size depends on the vector width and the number of tasks.
+    Tasks add up their own batches; their states are merged tile by tile as a tree.
     """
-
-    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        n, s, g = 0, None, None
-        for batch in batches:
-            if not len(batch):
-                continue
-            m = np.array(batch[column].tolist(), dtype=np.float64)
-            s = m.sum(0) if s is None else s + m.sum(0)
-            g = m.T @ m if g is None else g + m.T @ m
-            n += len(m)
-        if n:
-            yield pd.DataFrame({"i": np.arange(len(s)), "n": n, "s": s, "g": list(g)})
-
-    def final(group: pd.DataFrame) -> pd.DataFrame:
-        row = {"i": group["i"].iloc[0], "n": group["n"].sum(), "s": group["s"].sum()}
-        return pd.DataFrame([{**row, "g": np.sum(group["g"].tolist(), axis=0)}])
-
-    schema = "i bigint, n bigint, s double, g array<double>"
-    return df.select(column).mapInPandas(partial, schema).groupBy("i").applyInPandas(final, schema)
+    return accumulate.moments(materialise(accumulate.accumulate(df, column, accumulate.MOMENTS)))
 
 
 def covariance(sums: DataFrame) -> DataFrame:

@@ -7,12 +7,13 @@ from pyspark.sql import functions as F
 
 from tesserae.functions.core import rounded
 from tesserae.functions.vectors import softmax
-from tesserae.operators import dataset
+from tesserae.operators import dataset, quality
 from tesserae.operators.neighbours import codebook_products
 from tesserae.plans.catalogue import query
 from tesserae.plans.oracle_views import r
 from tesserae.plans.views import CODEBOOK_SIZE, Tables
 from tesserae.session import broadcast_if_small
+from tesserae.sources import archive
 from tesserae.streaming import metrics, run
 
 
@@ -22,7 +23,7 @@ def _stream(t: Tables, table: str) -> DataFrame:
 
 def _updated(t: Tables, stream: DataFrame, name: str, keys: list[str]) -> DataFrame:
     path = run.work_dir(t.spark, name)
-    run.update_table(stream, path, f"{path}-checkpoint")
+    run.update_table(stream, path, f"{path}-checkpoint", keys)
     return run.current(t.spark, path, keys)
 
 
@@ -43,6 +44,31 @@ def _(t: Tables):
     return t.spark.read.parquet(path)
 
 
+@query(
+    "t1_archive_stream",
+    """SELECT doc_id // 20 AS shard, lpad(doc_id::VARCHAR, 8, '0') AS key, md5(text) AS digest, lang AS label FROM documents""",
+)
+def _(t: Tables):
+    """Archives that arrive in two lots, streamed sample by sample over two runs of the query."""
+    columns = {"txt": "text", "cls": "lang"}
+    docs = t.table("documents").select(
+        F.floor(F.col("doc_id") / 20).alias("shard"),
+        F.lpad(F.col("doc_id").cast("string"), 8, "0").alias("key"),
+        archive.text_payload("text").alias("text"),
+        archive.text_payload("lang").alias("lang"),
+    )
+    rows = docs.select("shard", "key", archive.members_of(columns).alias("members"))
+    folder = run.work_dir(t.spark, "arriving")
+    out, ledger, checkpoint = f"{folder}-out", f"{folder}-ledger", f"{folder}-checkpoint"
+    for lot in (0, 1):
+        archive.write_sample_rows(rows.filter(F.col("shard") % 2 == lot), folder, f"lot{lot}")
+        stream = run.shard_stream(t.spark, folder, ledger, "samples")
+        wide = archive.sample_columns(stream, columns)
+        named = wide.select("shard", "key", F.md5("text").alias("digest"), archive.payload_text("lang").alias("label"))
+        run.append_to_table(named, out, checkpoint)
+    return t.spark.read.parquet(out)
+
+
 @query(
     "t2_relabel_in_flight",
     """SELECT s_suppkey AS key, n_nationkey::BIGINT AS idx FROM supplier
@@ -92,6 +118,24 @@ def _(t: Tables):
     return metrics.inception_from_sums(sums).withColumn("score", rounded("score", 4))
 
 
+@query(
+    "t3_online_covariance",
+    f"""WITH m AS (SELECT p, avg(v) AS mean FROM vec GROUP BY p)
+        SELECT a.p AS i, b.p AS j, {r("any_value(ma.mean)")} AS mean,
+          {r("sum((a.v - ma.mean) * (b.v - mb.mean)) / (count(*) - 1)")} AS cov
+        FROM vec a JOIN vec b USING (image_id) JOIN m ma ON ma.p = a.p JOIN m mb ON mb.p = b.p GROUP BY a.p, b.p""",
+    "vec",
+)
+def _(t: Tables):
+    """The vectors arrive in five files, two a batch, and are merged into one state."""
+    parts = run.work_dir(t.spark, "vectors")
+    t.vectors.select("v").repartition(5).write.parquet(parts)
+    stream = run.file_stream(t.spark, parts, "*.parquet", t.spark.read.parquet(parts).schema, files_per_trigger=2)
+    metrics.online_moments(stream, "v", f"{parts}-state", f"{parts}-checkpoint")
+    out = quality.covariance(metrics.current_moments(t.spark, f"{parts}-state"))
+    return out.select("i", "j", rounded("mean").alias("mean"), rounded("cov").alias("cov"))
+
+
 @query(
     "t4_tumbling_throughput",
     f"""SELECT strftime(time_bucket(INTERVAL 1 HOUR, ts), '%Y-%m-%d %H:%M') AS start, count(*) AS n, {r("sum(value)", 4)} AS total

@@ -147,6 +147,18 @@ def _(t: Tables):
     return out.select("i", "j", rounded("mean").alias("mean"), rounded("cov").alias("cov"))
 
 
+@query(
+    "a7_affine_distance",
+    # For fake = a * real + b the distance is |(a - 1) mean + b|^2 + (a - 1)^2 * (sum of variances).
+    f"SELECT {r('sum((-0.5 * m + 0.25) ** 2 + 0.25 * s)', 5)} AS distance FROM (SELECT avg(v) AS m, var_samp(v) AS s FROM vec GROUP BY p)",
+    "vec",
+)
+def _(t: Tables):
+    fake = t.vectors.select(F.transform("v", lambda x: x * 0.5 + 0.25).alias("v"))
+    value = quality.frechet_distance(t.vectors, fake)
+    return t.spark.createDataFrame([(value,)], "distance double").withColumn("distance", rounded("distance", 5))
+
+
 @query("a7_frechet_distance")
 def _(t: Tables):
     value = quality.frechet_distance(_real(t), _fake(t))

@@ -6,11 +6,13 @@ shard, not per event.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tesserae.operators import accumulate
 from tesserae.operators.codebook import _entropy_of_counts
 from tesserae.operators.quality import INCEPTION_EPS
+from tesserae.streaming import run
 
 
 def code_counts(codes: DataFrame, code: str = "code") -> DataFrame:
@@ -66,3 +68,17 @@ def latest_status(results: DataFrame, key: str, modified: str, first: str, colum
     rank = F.struct(F.col(modified), -F.col(first))
     out = results.groupBy(key).agg(F.max_by(F.struct(*columns), rank).alias("_r"))
     return out.select(key, *[F.col(f"_r.{c}").alias(c) for c in columns])
+
+
+def online_moments(vectors: DataFrame, column: str, path: str, checkpoint: str) -> None:
+    """Process what is there now into the merged count, sums and outer products of all vectors so far."""
+
+    def partial(batch: DataFrame) -> DataFrame:
+        return accumulate.partial(batch, column, accumulate.MOMENTS)
+
+    run.merge_table(vectors, path, checkpoint, partial, lambda parts: accumulate.merged(parts, accumulate.MOMENTS))
+
+
+def current_moments(spark: SparkSession, path: str) -> DataFrame:
+    """(i, n, s, g) so far, for ``quality.covariance``."""
+    return accumulate.moments(run.merged_state(spark, path))
