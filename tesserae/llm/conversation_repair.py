@@ -216,10 +216,12 @@ def edits(rows: DataFrame) -> DataFrame:
     gone = F.coalesce(F.col("fault").isin("blank", "duplicate"), F.lit(False)).alias("gone")
     cut = F.coalesce(F.col("fault") == "truncated", F.lit(False)).alias("cut")
     light = rows.select(F.col("conv_id").cast("bigint"), _piece(), "pos", initial, gone, cut)
-    pieces = light.repartition("conv_id", "piece").sortWithinPartitions("conv_id", "piece", "pos")
+    # The number is given: parsing is work in Python, and rows this light would be merged into few tasks.
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    pieces = light.repartition(tasks, "conv_id", "piece").sortWithinPartitions("conv_id", "piece", "pos")
     cells = pieces.mapInArrow(_parse_pieces, _CELLS)
     # One row for so many rows of the conversation; audits take some bytes a row.
-    return materialise(cells).repartition("conv_id").sortWithinPartitions("conv_id", "piece").mapInArrow(_join_pieces, _EDITS)
+    return materialise(cells).repartition(tasks, "conv_id").sortWithinPartitions("conv_id", "piece").mapInArrow(_join_pieces, _EDITS)
 
 
 def repaired(rows: DataFrame, found: DataFrame) -> DataFrame:

@@ -14,7 +14,9 @@ the row. Only its vectors reach the driver and are sent to the tasks; their size
 Defined cases: a null text counts as empty; a text without words has no direction and scores
 the share of good labels, as does everything when there are no labelled rows (0.5 without
 labels at all); texts are used whole; equal texts get equal scores; an empty table gives an
-empty table; ``doc_id`` may be null or repeat; other columns are ignored.
+empty table; ``doc_id`` may be null or repeat (one text of each labelled id is learned from); ids
+labelled both ways are left out; of equally similar neighbours at the edge of the vote any are
+taken; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -145,15 +147,20 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
 
     The sample is drawn from the labels, so only its few keys are sent to the documents.
     """
-    usable = labels.filter(F.col(label).isin(0, 1) & F.col(key).isNotNull()).select(key, label)
+    usable = labels.filter(F.col(label).isin(0, 1) & F.col(key).isNotNull())
+    # One row per document; contradicting labels say nothing.
+    usable = usable.groupBy(key).agg(F.min(label).alias(label), F.max(label).alias("_other"))
+    usable = usable.filter(F.col(label) == F.col("_other")).drop("_other")
     sizes = {row[label]: row["count"] for row in usable.groupBy(label).count().collect()}
-    drawn = sample(usable, PER_CLASS, 2 * PER_CLASS, label, [key], 2).dropDuplicates([key]).limit(4 * PER_CLASS)
-    rows = docs.select(key, text).join(F.broadcast(drawn), key)
+    # Keys occur once, so a share of their hashes is a bound.
+    drawn = sample(usable, PER_CLASS, 2 * PER_CLASS, label, [key], 2)
+    rows = docs.select(key, F.col(f"`{text}`").alias("text")).join(F.broadcast(drawn), key)
+    # Of documents that repeat a key, the one with the least hash of its text.
+    first = F.min(F.struct(F.xxhash64("text").alias("h"), F.col("text")))
+    rows = rows.groupBy(key, label).agg(first.alias("one")).select(label, F.col("one.text").alias("text"))
     found = texts.map_texts(
-        rows, text, [label], "vector binary", lambda part: {"vector": [v.tobytes() for v in terms(part).astype(np.float32)]}
-    )
-    # Documents that repeat a key are bounded here.
-    found = found.limit(4 * PER_CLASS).toPandas()
+        rows, "text", [label], "vector binary", lambda part: {"vector": [v.tobytes() for v in terms(part).astype(np.float32)]}
+    ).toPandas()
     if found.empty:
         return None
     found = found.sort_values([label, "vector"])

@@ -10,7 +10,10 @@ Sorting is a range partitioning on (index, tie-break), which divides a cell with
 all rows over many tasks. Positions come from local row numbers plus one start per range
 slice; the sorted rows are stored once so that both uses see the same slices.
 
-Defined cases: null metadata sorts before every value; equal rows sit side by side in any
+Strings are cut by their whole order, however long a beginning they share, and numbers by their
+value with fractions.
+
+Defined cases: null metadata has a cell of its own before every value; equal rows sit side by side in any
 order; with fewer rows than shards some shards are empty; an empty table gives an empty
 table; columns of the input named like the results (``shard``, ``slot``) are replaced, all
 others are kept.
@@ -24,9 +27,23 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType, LongType, StringType
+from pyspark.sql.types import (
+    BinaryType,
+    BooleanType,
+    ByteType,
+    DateType,
+    DecimalType,
+    DoubleType,
+    FloatType,
+    IntegerType,
+    LongType,
+    ShortType,
+    StringType,
+    TimestampType,
+)
 
 from tesserae.llm.names import fresh
+from tesserae.operators.ordering import running_totals
 from tesserae.session import materialise
 
 #: Bits per dimension.
@@ -62,29 +79,64 @@ def hilbert_index(cells: Sequence[np.ndarray], bits: int) -> np.ndarray:
     return out
 
 
-def ordinal(df: DataFrame, name: str) -> Column:
-    """A long that keeps the order of a column: of strings, the first seven bytes."""
-    kind = df.schema[name].dataType
-    column = F.col(f"`{name}`")
-    if isinstance(kind, (StringType, BinaryType)):
-        head = F.substring(F.encode(column, "UTF-8") if isinstance(kind, StringType) else column, 1, 7)
-        column = F.conv(F.rpad(F.hex(head), 14, "0"), 16, 10)
-    return F.coalesce(column.cast("bigint"), F.lit(-1))
+def _plain(df: DataFrame, name: str) -> Column:
+    """A column as a long, a double or a string in the same order."""
+    column, kind = F.col(f"`{name}`"), df.schema[name].dataType
+    if isinstance(kind, (ByteType, ShortType, IntegerType, LongType, BooleanType)):
+        return column.cast("bigint")
+    if isinstance(kind, DateType):
+        return F.unix_date(column).cast("bigint")
+    if isinstance(kind, TimestampType):
+        return F.unix_micros(column)
+    if isinstance(kind, (FloatType, DoubleType, DecimalType)):
+        return column.cast("double")
+    # Two digits a byte keep the order of bytes.
+    return F.hex(column) if isinstance(kind, BinaryType) else column.cast("string")
+
+
+def _limits(values: DataFrame, name: str, cells: int) -> list:
+    """At most ``cells - 1`` values that cut the rows into cells of about equal counts."""
+    rows = values.select(F.col(name).alias("v")).filter("v IS NOT NULL")
+    if not isinstance(values.schema[name].dataType, StringType):
+        ranks = F.array(*[F.lit(i / cells) for i in range(1, cells)])
+        found = rows.agg(F.percentile_approx("v", ranks, 10_000).alias("q")).first()["q"]
+        return sorted(set(found or []))
+    # Strings by their whole order: running counts of different values, sorted in slices.
+    counts = running_totals(rows.groupBy("v").agg(F.count(F.lit(1)).alias("n")), [], ["v"], {"upto": "n"})
+    counts = materialise(counts)
+    total = counts.agg(F.max("upto")).first()[0]
+    if not total:
+        return []
+    rank = lambda c: F.floor(c * cells / total)
+    edges = counts.filter((rank(F.col("upto")) > rank(F.col("upto") - F.col("n"))) & (F.col("upto") < total))
+    return sorted(r["v"] for r in edges.select("v").collect())
 
 
 def with_curve(df: DataFrame, dimensions: Sequence[str], name: str, bits: int = BITS) -> DataFrame:
-    """Add the Hilbert index as ``name``. Cell limits are quantiles over all rows: 2**bits - 1 numbers a dimension."""
-    values = [ordinal(df, d) for d in dimensions]
-    ranks = F.array(*[F.lit(i / (1 << bits)) for i in range(1, 1 << bits)])
-    limits = df.select(*[F.percentile_approx(v, ranks, 10_000).alias(str(i)) for i, v in enumerate(values)]).first()
-    edges = [np.unique(np.array(limit or [], dtype=np.int64)) for limit in limits]
+    """Add the Hilbert index as ``name``. Cell limits are quantiles over all rows, fewer than 2**bits a dimension.
+
+    Cell 0 of a dimension is that of null.
+    """
+    values = df.select(*[_plain(df, d).alias(f"d{i}") for i, d in enumerate(dimensions)])
+    edges = []
+    for field in values.schema.fields:
+        kind = object if isinstance(field.dataType, StringType) else np.float64 if isinstance(field.dataType, DoubleType) else np.int64
+        edges.append(np.array(_limits(values, field.name, (1 << bits) - 1), dtype=kind))
 
     @F.pandas_udf(LongType())
     def index(columns: pd.DataFrame) -> pd.Series:
-        cells = [np.searchsorted(e, columns.iloc[:, i].to_numpy(), side="left") for i, e in enumerate(edges)]
+        cells = []
+        for i, e in enumerate(edges):
+            none, value = columns[f"n{i}"].to_numpy(), columns[f"d{i}"].to_numpy()
+            cells.append(np.where(none, 0, 1 + np.searchsorted(e, value.astype(e.dtype), side="left")))
         return pd.Series(hilbert_index(cells, bits))
 
-    return df.withColumn(name, index(F.struct(*[v.alias(f"d{i}") for i, v in enumerate(values)])))
+    def filled(i: int, d: str) -> list[Column]:
+        value, kind = _plain(df, d), values.schema[f"d{i}"].dataType
+        least = F.lit("") if isinstance(kind, StringType) else F.lit(0).cast(kind)
+        return [F.coalesce(value, least).alias(f"d{i}"), value.isNull().alias(f"n{i}")]
+
+    return df.withColumn(name, index(F.struct(*[c for i, d in enumerate(dimensions) for c in filled(i, d)])))
 
 
 def assign(df: DataFrame, dimensions: Sequence[str], ties: Sequence[str], shards: int, bits: int = BITS) -> DataFrame:
