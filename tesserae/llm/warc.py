@@ -39,6 +39,9 @@ from tesserae.session import shared_dir
 
 #: Payloads smaller than this are always stored.
 REVISIT_FROM = 1000
+#: Bytes of a member inflated first, and tasks of a reading stage at most.
+MEMBER_BYTES = 1 << 14
+MOST_TASKS = 20_000
 #: Bytes of archive per byte range of the reader.
 SPLIT_BYTES = 8 << 20
 #: Bytes of payload after which a task starts its next archive.
@@ -140,7 +143,8 @@ def write(records: DataFrame, folder: str) -> DataFrame:
             if out is not None:
                 written = out.tell()
                 out.close()
-                name = f"{root}/part-{context.partitionId():06d}-{number:04d}.warc.gz"
+                # Each attempt has names of its own: a late one can't replace what the manifest lists.
+                name = f"{root}/part-{context.partitionId():06d}-{number:04d}-{uuid.uuid4().hex}.warc.gz"
                 system.move(part, name)
                 done.append((name, written))
                 out, size, number = None, 0, number + 1
@@ -257,21 +261,24 @@ def records_in(stream, size: int, start: int, end: int) -> Iterator[Record]:
             window.forget(position)
             continue
         position = window.base + found
-        window.forget(position)
+        if position - window.base >= READ_BYTES:
+            window.forget(position)
         if not _begins_record(window, position):
             position += 1
             continue
         # A member: inflate it whole, fetching as needed; its end is where the search goes on.
         unpack = zlib.decompressobj(31)
-        pieces, taken = [], position
+        pieces, taken, step = [], position, MEMBER_BYTES
         try:
             while not unpack.eof:
-                chunk = window.at(taken, READ_BYTES)
+                # Small members are common: what is fetched beyond one is copied, so steps begin small.
+                chunk = window.at(taken, step)
                 if not chunk:
                     break
                 pieces.append(unpack.decompress(chunk))
-                taken += len(chunk)
-                window.forget(taken)
+                taken, step = taken + len(chunk), min(2 * step, READ_BYTES)
+                if taken - window.base >= 4 * READ_BYTES:
+                    window.forget(taken)
         except zlib.error:
             unpack = None
         if unpack is None or not unpack.eof:
@@ -282,7 +289,8 @@ def records_in(stream, size: int, start: int, end: int) -> Iterator[Record]:
         whole = _headers(b"".join(pieces))
         yield Record(position, *whole)
         position = taken - len(unpack.unused_data)
-        window.base, window.data = position, unpack.unused_data + window.data
+        if position < window.base:
+            window.base, window.data = position, unpack.unused_data + window.data
 
 
 def _row(record: Record) -> dict:
@@ -317,7 +325,9 @@ def read(archives: DataFrame, split_bytes: int = SPLIT_BYTES) -> DataFrame:
     last = F.floor((F.greatest(F.col("bytes"), F.lit(1)) - 1) / split_bytes)
     splits = archives.select("path", "bytes", F.explode(F.sequence(F.lit(0), last)).alias("n"))
     splits = splits.select("path", "bytes", (F.col("n") * split_bytes).alias("start"))
-    splits = splits.repartition(F.col("path"), F.col("start"))
+    # The number is given: these rows are light and the work behind them is not.
+    count = archives.agg(F.sum(F.ceil(F.greatest(F.col("bytes"), F.lit(1)) / split_bytes))).first()[0] or 1
+    splits = splits.repartition(int(min(count, MOST_TASKS)))
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
