@@ -2,17 +2,23 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tesserae.operators.ordering import number_rows, running_totals
-from tesserae.session import materialise
+from tesserae.operators.ordering import number_rows
+from tesserae.session import broadcast_if_small, materialise
 
 # Overlap thresholds .50 to .95, recall levels 0 to 1, detections scored per
 # image and category.
 THRESHOLDS = tuple(k / 20 for k in range(10, 20))
 RECALL_LEVELS = 100
 MAX_DETECTIONS = 100
+#: Thresholds are bits of one integer.
+MAX_THRESHOLDS = 62
 # Box areas that count as small, medium and large.
 AREAS = {"all": (0.0, 1e10), "small": (0.0, 32.0**2), "medium": (32.0**2, 96.0**2), "large": (96.0**2, 1e10)}
 
@@ -95,42 +101,124 @@ def matches(
     overlaps. Boxes outside ``area`` are only taken when no other is left, and give -1. At
     most ``limit`` detections choose, so a detection never needs more than its ``limit`` best
     boxes inside and as many outside, whatever the threshold: a group is at most twice
-    ``limit`` squared pairs and is settled inside one row.
+    ``limit`` squared pairs.
+    """
+    n = len(thresholds)
+    if n > MAX_THRESHOLDS:
+        raise ValueError(f"at most {MAX_THRESHOLDS} thresholds")
+    masks = _settled(pairs, tuple(thresholds), limit, area)
+    hit = [F.when(_bit("soft", i) == 1, -1).otherwise(_bit("taken", i)) for i in range(n)]
+    return masks.select("det_id", F.array(*hit).alias("hit"))
+
+
+def _tasks(df: DataFrame) -> int:
+    """Few bytes but much work per row: a given number of partitions keeps it on all tasks."""
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+def _bit(mask: str, i: int) -> Column:
+    return F.shiftright(mask, i).bitwiseAND(F.lit(1)).cast("int")
+
+
+def _settled(pairs: DataFrame, thresholds: tuple[float, ...], limit: int, area: str) -> DataFrame:
+    """(det_id, taken, soft): bit ``i`` says that the detection got a box at threshold ``i``, or one outside.
+
+    One sort by (image, category, order of choice) and one Arrow pass. The pass holds a
+    batch and the group that reaches over its end.
     """
     pairs = pairs.withColumn("soft", _outside(F.col("gt_area"), area))
     own = Window.partitionBy("det_id", "soft").orderBy(F.desc("iou"), F.desc("gt_id"))
     rows = pairs.withColumn("_c", F.row_number().over(own)).filter(F.col("_c") <= limit)
-    choice = F.struct("det_rank", "soft", (-F.col("iou")).alias("far"), (-F.col("gt_id")).alias("back"), "det_id", "gt_id", "iou")
-    # Few bytes but much work per group: a given number keeps it on all tasks.
-    n = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = rows.repartition(n, "image_id", "category_id")
-    groups = rows.groupBy("image_id", "category_id").agg(F.array_sort(F.collect_list(choice)).alias("c"))
-    empty = F.array().cast("array<bigint>")
-    none = F.struct(empty.alias("dets"), empty.alias("gts"), empty.alias("soft"))
-
-    def settle(t: float) -> Column:
-        def step(acc: Column, c: Column) -> Column:
-            taken = F.array_contains(acc["dets"], c["det_id"]) | F.array_contains(acc["gts"], c["gt_id"])
-            both = F.struct(
-                F.concat(acc["dets"], F.array(c["det_id"])).alias("dets"),
-                F.concat(acc["gts"], F.array(c["gt_id"])).alias("gts"),
-                F.when(c["soft"], F.concat(acc["soft"], F.array(c["det_id"]))).otherwise(acc["soft"]).alias("soft"),
-            )
-            return F.when(taken | (c["iou"] < t), acc).otherwise(both)
-
-        return F.aggregate("c", none, step)
-
-    settled = groups.select(
-        F.array_distinct(F.transform("c", lambda c: c["det_id"])).alias("ids"),
-        *[settle(t).alias(f"m{i}") for i, t in enumerate(thresholds)],
+    rows = rows.select("image_id", "category_id", "det_rank", "soft", "iou", "gt_id", "det_id")
+    rows = rows.repartition(_tasks(pairs), "image_id", "category_id").sortWithinPartitions(
+        "image_id", "category_id", "det_rank", "soft", F.desc("iou"), F.desc("gt_id")
     )
-    hit = [
-        F.when(F.array_contains(F.col(f"m{i}.soft"), F.col("det_id")), -1)
-        .when(F.array_contains(F.col(f"m{i}.dets"), F.col("det_id")), 1)
-        .otherwise(0)
-        for i in range(len(thresholds))
-    ]
-    return settled.withColumn("det_id", F.explode("ids")).select("det_id", F.array(*hit).alias("hit"))
+    ids = rows.schema["det_id"].dataType.simpleString()
+
+    def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        open_rows: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            cut = _last_group(batch)
+            # The group at the end of the rows before may go on in this batch.
+            if cut or (open_rows and not _same_group(open_rows[-1], batch)):
+                if not cut:
+                    yield _choose(pa.Table.from_batches(open_rows), thresholds)
+                    open_rows = []
+                else:
+                    yield _choose(pa.Table.from_batches([*open_rows, batch.slice(0, cut)]), thresholds)
+                    open_rows, batch = [], batch.slice(cut)
+            open_rows.append(batch)
+        if open_rows:
+            yield _choose(pa.Table.from_batches(open_rows), thresholds)
+
+    return rows.mapInArrow(settle, f"det_id {ids}, taken bigint, soft bigint")
+
+
+def _values(rows: pa.RecordBatch | pa.Table, name: str) -> np.ndarray:
+    return rows.column(name).to_pandas().to_numpy()
+
+
+def _changes(rows: pa.RecordBatch | pa.Table, *names: str) -> np.ndarray:
+    """Whether a row differs in ``names`` from the row before; the first one does."""
+    new = np.ones(rows.num_rows, bool)
+    new[1:] = False
+    for name in names:
+        value = _values(rows, name)
+        new[1:] |= value[1:] != value[:-1]
+    return new
+
+
+def _last_group(batch: pa.RecordBatch) -> int:
+    """First row of the last group."""
+    return int(np.flatnonzero(_changes(batch, "image_id", "category_id"))[-1])
+
+
+def _same_group(before: pa.RecordBatch, after: pa.RecordBatch) -> bool:
+    return all(before.column(c)[-1].equals(after.column(c)[0]) for c in ("image_id", "category_id"))
+
+
+def _choose(rows: pa.Table, thresholds: tuple[float, ...]) -> pa.RecordBatch:
+    """Settle whole groups, all thresholds at once and one pair of every group per step.
+
+    A set bit of a detection or a box says that it is free at that threshold. A pair takes
+    the bits that both have and that its overlap allows.
+    """
+    new_group = _changes(rows, "image_id", "category_id")
+    start = np.flatnonzero(new_group)
+    size = np.diff(np.append(start, rows.num_rows))
+    group = np.cumsum(new_group) - 1
+    rank = _values(rows, "det_rank")
+    new_det = new_group.copy()
+    new_det[1:] |= rank[1:] != rank[:-1]
+    det = np.cumsum(new_det) - 1
+    # Boxes are told apart inside their group.
+    _, box = np.unique(_values(rows, "gt_id"), return_inverse=True)
+    _, box = np.unique(group * (int(box.max()) + 1) + box, return_inverse=True)
+    soft = _values(rows, "soft")
+    iou = _values(rows, "iou")
+    allowed = np.zeros(len(iou), np.int64)
+    for i, t in enumerate(thresholds):
+        allowed |= (iou >= t).astype(np.int64) << i
+    every = (1 << len(thresholds)) - 1
+    free_det = np.full(int(det[-1]) + 1, every, np.int64)
+    free_box = np.full(int(box.max()) + 1, every, np.int64)
+    outside = np.zeros(len(free_det), np.int64)
+    by_size = np.argsort(-size, kind="stable")
+    start, size = start[by_size], size[by_size]
+    # Groups with more than k pairs, for every k.
+    left = len(size) - np.searchsorted(size[::-1], np.arange(int(size[0])), side="right")
+    for k, m in enumerate(left):
+        at = start[:m] + k
+        d, b = det[at], box[at]
+        take = allowed[at] & free_det[d] & free_box[b]
+        free_det[d] ^= take
+        free_box[b] ^= take
+        outside[d] |= np.where(soft[at], take, 0)
+    ids = rows.column("det_id").take(pa.array(np.flatnonzero(new_det))).combine_chunks()
+    columns = [ids, pa.array(every & ~free_det), pa.array(outside)]
+    return pa.RecordBatch.from_arrays(columns, names=["det_id", "taken", "soft"])
 
 
 def in_area(boxes: DataFrame, area: str) -> DataFrame:
@@ -151,42 +239,95 @@ def precision_points(
     themselves, are not counted.
 
     Ranks run over a whole category in score order, which is where one group may hold most
-    rows; :func:`running_totals` slices such groups. Precision between true positives is
-    never the best for any recall, so those rows are not needed.
+    rows: they are counted inside slices of one range sort, and the counts of a category's
+    slices before are added after. Precision between true positives is never the best for any
+    recall, so those rows are not needed.
     """
     n = len(thresholds)
-    size = (F.col("w") * F.col("h")).alias("size")
-    rows = best.select("category_id", "image_id", "det_id", (-F.col("score")).alias("_order"), size)
+    inside = ~_outside(F.col("w") * F.col("h"), area)
+    rows = best.select("category_id", "image_id", "det_id", (-F.col("score")).alias("_order"), inside.alias("inside"))
     rows = rows.join(matched, "det_id", "left")
+    taken, soft = F.lit(0).cast("bigint"), F.lit(0).cast("bigint")
     for i in range(n):
-        state = F.coalesce(F.col("hit")[i], F.lit(0))
-        counted = (state == 1) | ((state == 0) & ~_outside(F.col("size"), area))
-        rows = rows.withColumn(f"h{i}", (state == 1).cast("int")).withColumn(f"c{i}", counted.cast("int"))
-    rows = rows.drop("hit", "size")
-    sums = {f"t{i}": f"h{i}" for i in range(n)} | {f"r{i}": f"c{i}" for i in range(n)}
-    rows = running_totals(rows, ["category_id"], ["_order", "image_id", "det_id"], sums)
-    item = F.array(
-        *[
-            F.when(
-                F.col(f"h{i}") == 1,
-                F.struct(F.lit(t).alias("threshold"), F.col(f"t{i}").alias("tp"), F.col(f"r{i}").alias("rank")),
-            )
-            for i, t in enumerate(thresholds)
-        ]
+        state = F.coalesce(F.get("hit", F.lit(i)), F.lit(0))
+        taken = taken + F.when(state == 1, F.lit(1 << i).cast("bigint")).otherwise(0)
+        soft = soft + F.when(state == -1, F.lit(1 << i).cast("bigint")).otherwise(0)
+    rows = rows.select("category_id", "_order", "image_id", "det_id", "inside", taken.alias("taken"), soft.alias("soft"))
+    every = F.lit((1 << n) - 1).cast("bigint")
+    counted = F.when(F.col("inside"), every.bitwiseAND(F.bitwise_not("soft"))).otherwise(F.col("taken"))
+    order = ["category_id", "_order", "image_id", "det_id"]
+    sliced = rows.repartitionByRange(_tasks(best), *order).sortWithinPartitions(*order)
+    sliced = sliced.select("category_id", "taken", counted.alias("counted"), F.spark_partition_id().alias("slice"))
+    # Range bounds come from a sample: points and counts of slices are stored together so that they agree.
+    kind = rows.schema["category_id"].dataType.simpleString()
+    shape = f"category_id {kind}, slice int, level int, tp bigint, rank bigint, point boolean"
+    counts = materialise(sliced.mapInArrow(_counter(n), shape))
+    slices = Window.partitionBy("category_id", "level").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+    before = counts.filter(~F.col("point")).select(
+        "category_id",
+        "slice",
+        "level",
+        F.coalesce(F.sum("tp").over(slices), F.lit(0)).alias("tp0"),
+        F.coalesce(F.sum("rank").over(slices), F.lit(0)).alias("rank0"),
     )
-    points = rows.select("category_id", F.explode(F.filter(item, lambda x: x.isNotNull())).alias("p"))
+    points = counts.filter("point").join(broadcast_if_small(before), ["category_id", "slice", "level"])
     wanted = in_area(truth, area).groupBy("category_id").agg(F.count(F.lit(1)).alias("boxes"))
+    tp, rank = F.col("tp") + F.col("tp0"), F.col("rank") + F.col("rank0")
     points = points.join(wanted, "category_id")
     return points.select(
         "category_id",
-        "p.threshold",
-        "p.rank",
-        "p.tp",
-        (F.col("p.tp") / F.col("boxes")).alias("recall"),
-        (F.col("p.tp") / F.col("p.rank")).alias("precision"),
+        F.get(F.array(*[F.lit(t) for t in thresholds]), F.col("level")).alias("threshold"),
+        rank.alias("rank"),
+        tp.alias("tp"),
+        (tp / F.col("boxes")).alias("recall"),
+        (tp / rank).alias("precision"),
     )
 
 
+def _counter(n: int):
+    """Arrow pass over one slice: running counts per category at true positives, and the counts at its end."""
+    names = ["category_id", "slice", "level", "tp", "rank", "point"]
+
+    def made(category: pa.Array, slice_no: int, level, tp, rank, point: bool) -> pa.RecordBatch:
+        size = len(level)
+        columns = [
+            category,
+            pa.array(np.full(size, slice_no, np.int32)),
+            pa.array(level.astype(np.int32)),
+            pa.array(tp),
+            pa.array(rank),
+            pa.array(np.full(size, point)),
+        ]
+        return pa.RecordBatch.from_arrays(columns, names=names)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, slice_no = None, 0
+        sums = np.zeros((2, n), np.int64)
+        every = np.arange(n)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            slice_no = batch.column("slice")[0].as_py()
+            starts = np.flatnonzero(_changes(batch, "category_id"))
+            for lo, hi in zip(starts, [*starts[1:], batch.num_rows], strict=True):
+                part = batch.slice(lo, hi - lo)
+                if last is not None and not last[0].equals(part.column("category_id")[0]):
+                    yield made(last.take(pa.array(np.zeros(n, int))), slice_no, every, *sums, False)
+                    sums = np.zeros((2, n), np.int64)
+                last = part.column("category_id").slice(0, 1)
+                bits = [(_values(part, c)[:, None] >> every) & 1 for c in ("taken", "counted")]
+                upto = [s + b.cumsum(axis=0) for s, b in zip(sums, bits, strict=True)]
+                sums = np.stack([u[-1] for u in upto])
+                at, level = np.nonzero(bits[0])
+                yield made(
+                    part.column("category_id").take(pa.array(at)), slice_no, level, upto[0][at, level], upto[1][at, level], True
+                )
+        if last is not None:
+            yield made(last.take(pa.array(np.zeros(n, int))), slice_no, every, *sums, False)
+
+    return count
+
+
 def average_precision(
     points: DataFrame, truth: DataFrame, thresholds: tuple[float, ...] = THRESHOLDS
 ) -> DataFrame:
@@ -244,7 +385,10 @@ def evaluate(
 
 
 def _evaluate(best: DataFrame, pairs: DataFrame, truth: DataFrame, thresholds, limit: int, area: str) -> DataFrame:
-    matched = matches(pairs, thresholds, limit, area)
+    return _scored(best, matches(pairs, thresholds, limit, area), truth, thresholds, area)
+
+
+def _scored(best: DataFrame, matched: DataFrame, truth: DataFrame, thresholds, area: str) -> DataFrame:
     points = precision_points(best, matched, truth, thresholds, area)
     return average_precision(points, in_area(truth, area), thresholds)
 
@@ -264,20 +408,21 @@ def full_summary(detections: DataFrame, truth: DataFrame, box_format: str = "cor
     """(name, value) of the twelve usual numbers: precision overall, at .50 and .75 and by
     area; recall at 1, 10 and 100 detections and by area. -1 where no truth box counts.
 
-    Overlaps are computed and stored once; smaller limits only look at the first ranks.
+    Overlaps are computed and stored once, and matched once per area: detections choose in
+    order of rank, so what the first ranks get does not depend on the later ones.
     """
     best = materialise(best_detections(in_truth(detections, truth)))
     pairs = materialise(overlaps(best, truth, min(THRESHOLDS), box_format))
 
-    def part(limit: int, area: str, names: dict[str, str]) -> DataFrame:
-        within = F.col("det_rank") < limit
-        row = summary(_evaluate(best.filter(within), pairs.filter(within), truth, THRESHOLDS, limit, area))
+    def part(matched: DataFrame, limit: int, area: str, names: dict[str, str]) -> DataFrame:
+        row = summary(_scored(best.filter(F.col("det_rank") < limit), matched, truth, THRESHOLDS, area))
         items = [F.struct(F.lit(n).alias("name"), F.coalesce(c, F.lit(-1.0)).alias("value")) for n, c in names.items()]
         return row.select(F.explode(F.array(*items)).alias("i")).select("i.name", "i.value")
 
-    out = part(100, "all", {"ap": "ap", "ap50": "ap50", "ap75": "ap75", "ar100": "ar"})
+    everywhere = materialise(matches(pairs))
+    out = part(everywhere, 100, "all", {"ap": "ap", "ap50": "ap50", "ap75": "ap75", "ar100": "ar"})
     for limit in (1, 10):
-        out = out.unionByName(part(limit, "all", {f"ar{limit}": "ar"}))
+        out = out.unionByName(part(everywhere, limit, "all", {f"ar{limit}": "ar"}))
     for area in ("small", "medium", "large"):
-        out = out.unionByName(part(100, area, {f"ap_{area}": "ap", f"ar_{area}": "ar"}))
+        out = out.unionByName(part(matches(pairs, area=area), 100, area, {f"ap_{area}": "ap", f"ar_{area}": "ar"}))
     return out

@@ -89,11 +89,12 @@ def _greedy(low: int, high: int) -> str:
 """
 
 
-_AP = f"""SELECT category_id, threshold, {r("avg(p)")} AS ap, {r("max(top)")} AS max_recall FROM (
+_RAW_AP = """SELECT category_id, threshold, avg(p) AS ap, max(top) AS max_recall FROM (
     SELECT n.category_id, th.t AS threshold, l.level, coalesce(max(pr.precision), 0) AS p, coalesce(max(pr.recall), 0) AS top
     FROM npos n, th, (SELECT unnest(range(101)) * 0.01::DOUBLE AS level) l LEFT JOIN pr
       ON pr.category_id = n.category_id AND pr.threshold = th.t AND pr.recall >= l.level
     GROUP BY n.category_id, th.t, l.level) GROUP BY category_id, threshold"""
+_AP = f"SELECT category_id, threshold, {r('ap')} AS ap, {r('max_recall')} AS max_recall FROM ({_RAW_AP})"
 _GREEDY = _greedy(0, 10**10)
 
 
@@ -129,6 +130,29 @@ def _(t: Tables):
     return _scores(t, "medium")
 
 
-@query("a17_summary")
+def _means(low: int, high: int, limit: int, names: dict[str, str]) -> str:
+    """Means over categories and thresholds: -1 when no category has a box of these areas."""
+    greedy = _greedy(low, high).replace("WHERE g.det_id >= 0 AND", f"WHERE g.det_id >= 0 AND d.det_rank < {limit} AND")
+    rows = " UNION ALL ".join(f"SELECT '{n}' AS name, {what} AS value FROM s" for n, what in names.items())
+    return f"""SELECT name, {r("coalesce(value, -1.0)")} AS value FROM ({greedy}, s AS ({_RAW_AP}) {rows})"""
+
+
+_WHOLE = {"ap": "avg(ap)", "ap50": "avg(ap) FILTER (threshold = 0.5)", "ap75": "avg(ap) FILTER (threshold = 0.75)"}
+
+
+@query(
+    "a17_summary",
+    " UNION ALL ".join(
+        [
+            _means(0, 10**10, 100, _WHOLE | {"ar100": "avg(max_recall)"}),
+            *[_means(0, 10**10, k, {f"ar{k}": "avg(max_recall)"}) for k in (1, 10)],
+            *[
+                _means(low, high, 100, {f"ap_{area}": "avg(ap)", f"ar_{area}": "avg(max_recall)"})
+                for area, low, high in (("small", 0, 1024), ("medium", 1024, 9216), ("large", 9216, 10**10))
+            ],
+        ]
+    ),
+    "ious",
+)
 def _(t: Tables):
-    return det.full_summary(t.detections, t.truth_boxes)
+    return det.full_summary(t.detections, t.truth_boxes).withColumn("value", rounded("value"))

@@ -103,3 +103,54 @@ def test_boxes_outside_the_area_are_kept_for_strict_thresholds(spark, limit):
     rows = [(1, 0, 7, 0, 1, 100.0, 0.60), (1, 0, 7, 0, 2, 100.0, 0.55), (1, 0, 7, 0, 3, 5000.0, 0.90)]
     got = det.matches(spark.createDataFrame(rows, cols), (0.5, 0.75), limit, "small").collect()
     assert [(r["det_id"], list(r["hit"])) for r in got] == [(7, [1, -1])]
+
+
+def plain_states(pairs, threshold, area):
+    """States of one (image, category): 1 for a box inside the area, -1 for one outside, 0 for none."""
+    low, high = det.AREAS[area]
+    used, out = set(), {}
+    for d in sorted({p[3] for p in pairs}):
+        own = [p for p in pairs if p[3] == d]
+        out[own[0][2]] = 0
+        free = [(low <= p[5] <= high, p[6], p[4]) for p in own if p[6] >= threshold and p[4] not in used]
+        if free:
+            inside, _, box = max(free)
+            used.add(box)
+            out[own[0][2]] = 1 if inside else -1
+    return out
+
+
+@pytest.mark.parametrize("area", ["all", "small"])
+def test_groups_over_many_batches(spark, area):
+    """Groups of one pair and of thousands, in batches of seven rows: the same states as one at a time."""
+    rng = random.Random(5)
+    groups = {}
+    for image in range(40):
+        dets, boxes = (60, 40) if image == 17 else (rng.randrange(1, 4), rng.randrange(1, 4))
+        groups[image] = [
+            (image, 0, image * 100 + d, d, image * 100 + g, rng.choice([100.0, 5000.0]), rng.randrange(10, 20) / 20)
+            for d in range(dets)
+            for g in range(boxes)
+        ]
+    for rows in groups.values():
+        sizes = {p[4]: p[5] for p in rows}
+        rows[:] = [(*p[:5], sizes[p[4]], p[6]) for p in rows]
+    cols = "image_id bigint, category_id bigint, det_id bigint, det_rank bigint, gt_id bigint, gt_area double, iou double"
+    pairs = spark.createDataFrame([p for rows in groups.values() for p in rows], cols)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = {r["det_id"]: list(r["hit"]) for r in det.matches(pairs, area=area).collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    for i, t in enumerate(det.THRESHOLDS):
+        want = {d: s for rows in groups.values() for d, s in plain_states(rows, t, area).items()}
+        assert {d: hit[i] for d, hit in got.items()} == want
+
+
+def test_no_pairs_and_too_many_thresholds(spark):
+    cols = "image_id bigint, category_id bigint, det_id bigint, det_rank bigint, gt_id bigint, gt_area double, iou double"
+    empty = spark.createDataFrame([], cols)
+    assert det.matches(empty).count() == 0
+    with pytest.raises(ValueError):
+        det.matches(empty, tuple(k / 100 for k in range(63)))
