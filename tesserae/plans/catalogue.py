@@ -19,6 +19,7 @@ _MODULES = (
     "queries_status",
     "queries_tree",
     "queries_grid",
+    "queries_raster",
     "queries_vectors",
     "queries_boxes",
     "queries_jobs",

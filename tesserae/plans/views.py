@@ -101,6 +101,30 @@ class Tables:
             gray.cast("bigint").alias("gray"),
         )
 
+    @cached_property
+    def images(self) -> DataFrame:
+        """(image_id, height, width, gray[], gt[], pred[]): vectors as whole images of three shapes."""
+        shape = F.pmod("image_id", F.lit(3))
+        width = F.when(shape == 0, 8).when(shape == 1, 4).otherwise(16).cast("int")
+        rows = self.vectors.withColumn("width", width)
+
+        def level(v: Column) -> Column:
+            return F.least(F.greatest(F.floor((v + 0.3) * 6), F.lit(0)), F.lit(3)).cast("bigint")
+
+        def true_class(v: Column, p: Column) -> Column:
+            place = F.col("image_id") + F.floor(p / F.col("width")) + p % F.col("width")
+            return F.when(F.pmod(place, F.lit(50)) == 0, F.lit(1000).cast("bigint")).otherwise(level(v))
+
+        gray = F.transform("v", lambda v: F.least(F.greatest(F.floor((v + 1) * 127.5), F.lit(0)), F.lit(255)))
+        return rows.select(
+            "image_id",
+            F.floor(F.size("v") / F.col("width")).cast("int").alias("height"),
+            "width",
+            gray.alias("gray"),
+            F.transform("v", true_class).alias("gt"),
+            F.transform("v", lambda v: level(F.floor(v * 10 + 0.5) / 10)).alias("pred"),
+        )
+
     @cached_property
     def pairs(self) -> DataFrame:
         """(image_id, real[], fake[]): a vector and its coarse reconstruction, in [0, 1]."""
