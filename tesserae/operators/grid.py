@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from tesserae.functions.core import share_entropy
 from tesserae.functions.vectors import mean_squared_error
-from tesserae.operators.ordering import running_totals
+from tesserae.operators.quantiles import exact_percentiles
+from tesserae.session import materialise
 
 #: Entropy given to cells that reach over the image edge.
 EDGE_ENTROPY = 1e6
@@ -118,36 +119,14 @@ def contribution_by_position(per_pixel: DataFrame) -> DataFrame:
     return out.withColumn("log_abs", F.log("mean_abs")).withColumn("log_sq", F.log("mean_sq"))
 
 
-def exact_percentiles(df: DataFrame, value: str, shares: Sequence[float]) -> DataFrame:
-    """(share, value): exact percentiles with linear interpolation, at any size.
-
-    Rows are first counted per distinct value; ranks come from running totals over those
-    counts, so no task ever holds all values.
-    """
-    counts = df.groupBy(value).agg(F.count(F.lit(1)).alias("_c"))
-    ranked = running_totals(counts, [], [value], {"_upto": "_c"})
-    total = ranked.agg(F.max("_upto")).first()[0] or 0
-    ends = []
-    for i, share in enumerate(shares):
-        place = share * max(total - 1, 0)
-        low = int(place)
-        high = min(low + 1, max(total - 1, 0))
-        for name, rank in (("l", low), ("h", high)):
-            ends.append(F.min(F.when(F.col("_upto") > rank, F.col(value))).alias(f"{name}{i}"))
-    row = ranked.agg(*ends)
-    items = []
-    for i, share in enumerate(shares):
-        part = share * max(total - 1, 0)
-        part -= int(part)
-        mixed = F.col(f"l{i}") + (F.col(f"h{i}") - F.col(f"l{i}")) * F.lit(part)
-        items.append(F.struct(F.lit(float(share)).alias("share"), mixed.alias("value")))
-    return row.select(F.explode(F.array(*items)).alias("i")).select("i.share", "i.value")
-
-
 def distribution(
     df: DataFrame, value: str, shares: Sequence[float], threshold: float
 ) -> DataFrame:
-    """(name, value): mean, population deviation, extremes, percentiles, share below a limit."""
+    """(name, value): mean, population deviation, extremes, percentiles, share below a limit.
+
+    The column is stored once, as the percentiles read it four times.
+    """
+    df = materialise(df.select(F.col(value).cast("double").alias(value)))
     v = F.col(value)
     row = df.agg(
         F.avg(v).alias("mean"),

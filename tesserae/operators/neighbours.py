@@ -298,7 +298,7 @@ def manifold_radii(
     radii = near.filter(F.col("place") == k).select("id", F.col("distance").alias("radius"))
     if clamp_percentile is None:
         return radii
-    from tesserae.operators.grid import exact_percentiles
+    from tesserae.operators.quantiles import exact_percentiles
     from tesserae.session import materialise
 
     radii = materialise(radii)

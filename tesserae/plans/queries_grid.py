@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tesserae.functions import core
 from tesserae.functions.core import rounded
 from tesserae.operators import grid, segmentation as sg
+from tesserae.operators.quantiles import exact_percentiles
 from tesserae.plans.catalogue import query
 from tesserae.plans.oracle_views import r, view
 from tesserae.plans.views import IMAGE_SIDE, Tables
@@ -57,6 +58,22 @@ def _(t: Tables):
     return out.withColumn("value", rounded("value"))
 
 
+_SHARES = (0.0, 0.01, 0.5, 0.99, 1.0)
+
+
+@query(
+    "a20_price_quantiles",
+    " UNION ALL ".join(
+        f"""SELECT {s}::DOUBLE AS share, {r(f"quantile_cont(l_extendedprice::DOUBLE, {s})")} AS value FROM lineitem"""
+        for s in _SHARES
+    ),
+)
+def _(t: Tables):
+    """Exact quantiles of a whole column, straight from its files."""
+    found = exact_percentiles(t.table("lineitem"), "l_extendedprice", _SHARES)
+    return found.withColumn("value", rounded("value"))
+
+
 @query(
     "q5_entropy_selection",
     """WITH k AS (SELECT *, entropy < CASE size WHEN 8 THEN 4.6 WHEN 4 THEN 3.6 END AS calm FROM entropies WHERE size <> 3)
