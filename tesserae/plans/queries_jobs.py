@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import gzip
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType
 
 from tesserae.functions.core import rounded
+from tesserae.functions.text import base_name
 from tesserae.functions.vectors import joined
 from tesserae.operators import sequences
 from tesserae.plans import jobs
@@ -14,7 +18,7 @@ from tesserae.plans.catalogue import query
 from tesserae.plans.oracle_views import r, u, view
 from tesserae.plans.views import Tables
 from tesserae.session import scratch
-from tesserae.sources import archive, tokens as token_io
+from tesserae.sources import archive, nested, tokens as token_io
 
 
 def _scratch(t: Tables, name: str) -> str:
@@ -62,6 +66,76 @@ def _(t: Tables):
     return wide.select("shard", "key", F.md5("text").alias("digest"), archive.payload_text("lang").alias("label"))
 
 
+# Pages as image files by name: 16 to an inner archive, every other one of them packed, 8 of those to an outer archive.
+_NAMED = """SELECT *, page_id // 16 AS batch, name || '.' || ext AS file FROM (SELECT page_id, html, 'p' || page_id::VARCHAR || '_n'
+    || lpad((page_id * 7919)::VARCHAR, 8, '0') AS name, CASE WHEN url LIKE 'https:%' THEN 'JPEG' WHEN url LIKE '%#top' THEN 'png'
+    ELSE 'jpg' END AS ext FROM pages WHERE html IS NOT NULL)"""
+_OUTER = "'outer-' || lpad((batch // 8)::VARCHAR, 6, '0') || '.tar'"
+_INNER = "'batch-' || lpad(batch::VARCHAR, 6, '0') || CASE WHEN batch % 2 = 0 THEN '.tar' ELSE '.tar.gz' END"
+
+
+@F.pandas_udf(BinaryType())
+def _squeezed(payloads: pd.Series) -> pd.Series:
+    return payloads.map(lambda b: gzip.compress(b, mtime=0))
+
+
+def _nested_folder(t: Tables) -> str:
+    inner, outer = _scratch(t, "inner"), _scratch(t, "outer")
+    pages = t.table("pages").filter(F.col("html").isNotNull())
+    number = F.lpad((F.col("page_id") * 7919).cast("string"), 8, "0")
+    ext = F.when(F.col("url").startswith("https:"), "JPEG").when(F.col("url").endswith("#top"), "png").otherwise("jpg")
+    files = pages.select(
+        F.floor(F.col("page_id") / 16).alias("shard"),
+        F.concat(F.lit("p"), F.col("page_id").cast("string"), F.lit("_n"), number).alias("key"),
+        ext.alias("ext"),
+        archive.text_payload("html").alias("payload"),
+    )
+    archive.write_members(files, inner, "batch")
+    whole = t.spark.read.format("binaryFile").load(inner).select(
+        F.regexp_extract("path", r"(batch-\d+)\.tar$", 1).alias("key"), "content"
+    )
+    batch = F.substring_index("key", "-", -1).cast("bigint")
+    even = batch % 2 == 0
+    members = whole.select(
+        F.floor(batch / 8).alias("shard"),
+        "key",
+        F.when(even, "tar").otherwise("tar.gz").alias("ext"),
+        F.when(even, F.col("content")).otherwise(_squeezed("content")).alias("payload"),
+    )
+    archive.write_members(members, outer, "outer")
+    return outer
+
+
+@query(
+    "s4_nested_images",
+    f"""SELECT {_OUTER} AS archive, {_INNER} AS inner, file AS name, substr(split_part(name, '_', 2) || '.' || ext, 1, 9) AS label,
+          strlen(html)::INT AS size, md5(html) AS digest FROM ({_NAMED}) WHERE lower(ext) IN ('jpg', 'jpeg')""",
+)
+def _(t: Tables):
+    """Images of archives inside archives, with the label of their name; every range has a few members only."""
+    images = nested.labelled_images(t.spark, _nested_folder(t), split_bytes=1 << 16)
+    return images.select(
+        base_name("archive").alias("archive"), "inner", "name", "label",
+        F.octet_length("payload").alias("size"), F.md5("payload").alias("digest"),
+    )
+
+
+@query(
+    "s4_converted_images",
+    f"""SELECT number // 100 AS shard, lpad(number::VARCHAR, 8, '0') AS key, label AS cls, digest FROM (
+          SELECT row_number() OVER (ORDER BY batch, name, ext) - 1 AS number,
+            substr(split_part(name, '_', 2) || '.' || ext, 1, 9) AS label, md5(html) AS digest
+          FROM ({_NAMED}) WHERE lower(ext) IN ('jpg', 'jpeg'))""",
+)
+def _(t: Tables):
+    """The same images as sample shards, numbered in the order of the archives."""
+    out = _scratch(t, "converted")
+    jobs.convert_images(t.spark, _nested_folder(t), out, "val", 100)
+    columns = {"jpg": "jpg", "cls": "cls"}
+    rows = archive.sample_columns(archive.read_sample_rows(t.spark, out), columns)
+    return rows.select("shard", "key", archive.payload_text("cls").alias("cls"), F.md5("jpg").alias("digest"))
+
+
 _TOKEN_SAMPLES = """SELECT lpad(sample_key::VARCHAR, 8, '0') AS key, string_agg(code::VARCHAR, ',' ORDER BY pos) AS codes,
     string_agg(lod::VARCHAR, ',' ORDER BY pos) AS lods, string_agg(patch::VARCHAR, ',' ORDER BY pos) AS patches,
     any_value(o_custkey % 10) AS class_id, sample_key // 500 AS shard
