@@ -6,11 +6,12 @@ proportion to their weights until no source is above its cap. A document is then
 ``floor(target / size of its source)`` times, and a seeded sample fills up the fraction.
 
 Water-filling is solved in closed form: in the order of cap / weight the clamped sources come
-first, so one pass over the table of sources, one row each, finds the common level. The
-sample takes documents in the order of a seeded hash until the fraction is reached, to within
-one document. Sums per source and hash bin find the one bin in which that happens; only the
-rows of that bin (1 in 4096) are put in order, so a source with a third of all rows is never
-sorted in one task.
+first, so running sums over the table of sources, one row each, find the common level; they go
+by slices, so sources may be as many as hosts. The sample takes documents in the order of a
+seeded hash until the fraction is reached, to within one document. Sums per source and hash bin
+find the one bin in which that happens; only the rows of that bin (1 in 4096) are put in order.
+Null and repeated ids share a hash, so such a bin can hold a whole source: above ``HOT_ROWS``
+rows it is sliced over many tasks too.
 
 Defined cases: a null text has size 0; sources order by code point with null last, a source
 of its own; documents of size 0 are taken 0 words; equal rows share a hash and are taken one
@@ -22,11 +23,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tesserae.llm import texts
 from tesserae.llm.names import fresh
+from tesserae.operators.ordering import HOT_ROWS, number_rows, running_totals
 from tesserae.session import materialise
 
 #: Weights by rank of the source, repeating.
@@ -38,32 +40,46 @@ BIN_BITS = 12
 
 
 def targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, max_epochs: int = MAX_EPOCHS) -> DataFrame:
-    """(source, source_size) to (source, source_size, target): one row per source."""
-    everything = Window.partitionBy(F.lit(0))
-    ranked = sizes.withColumn("_rank", F.row_number().over(everything.orderBy(F.col("source").asc_nulls_last())))
-    ranked = ranked.withColumn(
-        "_weight", F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("_rank") - 1) % len(weights) + 1)
-    ).withColumn("_cap", F.col("source_size") * max_epochs)
-    tightest = everything.orderBy(F.col("_cap") / F.col("_weight"), "_rank")
-    before = tightest.rowsBetween(Window.unboundedPreceding, -1)
-    level = (F.sum("source_size").over(everything) - F.coalesce(F.sum("_cap").over(before), F.lit(0))) / (
-        F.sum("_weight").over(everything) - F.coalesce(F.sum("_weight").over(before), F.lit(0.0))
-    )
-    placed = ranked.withColumns({"_place": F.row_number().over(tightest), "_level": level})
-    fits = F.col("_cap") / F.col("_weight") >= F.col("_level")
-    placed = placed.withColumn("_first", F.min(F.when(fits, F.struct("_place", "_level"))).over(everything))
-    target = F.when(F.col("_place") < F.col("_first._place"), F.col("_cap").cast("double")).otherwise(
-        F.least(F.col("_weight") * F.col("_first._level"), F.col("_cap").cast("double"))
-    )
+    """(source, source_size) to (source, source_size, target): one row per source, however many there are."""
+    ranked = number_rows(sizes, [], [F.col("source").asc_nulls_last()], "_rank")
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), ((F.col("_rank") - 1) % len(weights) + 1).cast("int"))
+    ranked = ranked.withColumns({"_weight": weight, "_cap": F.col("source_size") * max_epochs})
+    ranked = ranked.withColumn("_ratio", F.col("_cap") / F.col("_weight"))
+    placed = materialise(running_totals(ranked, [], ["_ratio", "_rank"], {"_caps": "_cap", "_weights": "_weight"}))
+    every = placed.agg(F.sum("source_size").alias("size"), F.sum("_weight").alias("weight")).first()
+    # The level that the sources from this one on would share if all before it were clamped.
+    level = (F.lit(every["size"]) - (F.col("_caps") - F.col("_cap"))) / (F.lit(every["weight"]) - (F.col("_weights") - F.col("_weight")))
+    fits = placed.withColumn("_level", level).filter(F.col("_ratio") >= F.col("_level"))
+    first = fits.agg(F.min(F.struct("_ratio", "_rank", "_level")).alias("f")).first()["f"]
+    cap = F.col("_cap").cast("double")
+    if first is None:
+        return placed.select("source", "source_size", cap.alias("target"))
+    clamped = (F.col("_ratio") < first["_ratio"]) | ((F.col("_ratio") == first["_ratio"]) & (F.col("_rank") < first["_rank"]))
+    target = F.when(clamped, cap).otherwise(F.least(F.col("_weight") * F.lit(first["_level"]), cap))
     return placed.select("source", "source_size", target.alias("target"))
 
 
+def _edge_totals(rows: DataFrame, order: list[Column], name: str, any_hot: bool, hot: Column, hot_rows: int) -> DataFrame:
+    """Add the words of the rows of a source up to each row. Bins above ``hot_rows`` go by slices."""
+    upto = Window.partitionBy("source").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    if not any_hot:
+        return rows.withColumn(name, F.sum("size").over(upto))
+    held = F.struct(*[F.col(f"`{c}`") for c in rows.columns]).alias("held")
+    keys = [c.alias(f"k{i}") for i, c in enumerate(order)]
+    many = rows.filter(hot).select(held, "source", "size", *keys)
+    many = running_totals(many, ["source"], [f"k{i}" for i in range(len(order))], {"upto": "size"}, hot_rows)
+    return rows.filter(~hot).withColumn(name, F.sum("size").over(upto)).unionByName(
+        many.select("held.*", F.col("upto").alias(name))
+    )
+
+
 def mix(
     docs: DataFrame,
     weights: Sequence[float] = WEIGHTS,
     max_epochs: int = MAX_EPOCHS,
     seed: int = SEED,
     bin_bits: int = BIN_BITS,
+    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Add ``source_size``, ``target``, ``times`` and ``taken`` to rows with ``doc_id``, ``source`` and ``size``."""
     docs = docs.drop("source_size", "target", "times", "taken")
@@ -81,12 +97,12 @@ def mix(
     drawn = docs.withColumn(draw, F.conv(head, 16, 10).cast("bigint"))
     drawn = drawn.withColumn(part, F.shiftright(draw, 32 - bin_bits))
 
-    bins = drawn.groupBy("source", part).agg(F.sum("size").alias(run))
+    bins = drawn.groupBy("source", part).agg(F.sum("size").alias(run), F.count(F.lit(1)).alias("rows"))
     upto = Window.partitionBy("source").orderBy(part).rowsBetween(Window.unboundedPreceding, 0)
     bins = bins.withColumn(start, F.sum(run).over(upto))
     bins = bins.alias("b").join(plan.alias("p"), F.expr("b.source <=> p.source")).filter(F.col(start) > F.col(need))
     edges = bins.groupBy(F.col("b.source").alias(key)).agg(
-        F.min(F.struct(F.col(part).alias("bin"), (F.col(start) - F.col(run)).alias("sum"))).alias(edge)
+        F.min(F.struct(F.col(part).alias("bin"), (F.col(start) - F.col(run)).alias("sum"), "rows")).alias(edge)
     )
     plan = plan.join(edges, plan["source"].eqNullSafe(edges[key]), "left").drop(key)
     # Stored, its size is known: a table of one row per source is then sent to the tasks when it
@@ -98,10 +114,12 @@ def mix(
     taken_rows = rows.filter(F.coalesce(~inside, F.lit(True))).withColumn(
         "times", F.col(whole) + F.when(F.coalesce(F.col(part) < F.col(f"{edge}.bin"), F.lit(True)), 1).otherwise(0)
     )
-    before = Window.partitionBy("source").orderBy(draw, "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    edge_rows = rows.filter(inside).withColumn(
-        run, F.col(f"{edge}.sum") + F.coalesce(F.sum("size").over(before), F.lit(0)) + F.col("size") / 2
-    )
+    # Rows that share an id are told apart by all their columns, so that reruns take the same ones.
+    plain = [F.col(f"`{c}`") for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind]
+    order = [F.col(draw), F.col("doc_id"), F.col("size"), F.xxhash64(*plain)]
+    hot = F.col(f"{edge}.rows") > hot_rows
+    edge_rows = _edge_totals(rows.filter(inside), order, run, not plan.filter(hot).isEmpty(), hot, hot_rows)
+    edge_rows = edge_rows.withColumn(run, F.col(f"{edge}.sum") + F.col(run) - F.col("size") / 2)
     edge_rows = edge_rows.withColumn("times", F.col(whole) + F.when(F.col(run) <= F.col(need), 1).otherwise(0)).drop(run)
     out = taken_rows.unionByName(edge_rows)
     # A source at its cap has no fraction left, whatever the rounding of its target.

@@ -638,6 +638,24 @@ def test_mix_comes_near_targets(spark):
     assert mixed.columns == DOCS.replace(" bigint", "").replace(" string", "").split(", ") + ["target"]
 
 
+def test_mix_of_null_and_repeated_ids_by_slices(spark):
+    rows = [(None, "s0" if i % 3 else "s1", i % 7, f"text {i}") for i in range(400)] + [(5, "s1", 3, f"{i}") for i in range(200)]
+    rows += [(i, f"t{i % 5}", 4, "x") for i in range(300)] + [(None, None, 2, "none")] * 60
+    docs = spark.createDataFrame(rows, "doc_id bigint, source string, size bigint, text string").withColumn("_row", F.lit("own"))
+
+    def taken(df, **options):
+        return sorted(map(str, mixing.mix(df, **options).select("doc_id", "source", "size", "text", "_row", "times").collect()))
+
+    usual = taken(docs)
+    assert len(usual) == len(rows) and taken(docs.repartition(7)) == usual
+    # Bins above the limit take the other route, to the same result.
+    assert taken(docs, hot_rows=10) == usual
+    by = collections.defaultdict(list)
+    for r in mixing.mix(docs, hot_rows=10).collect():
+        by[r.source].append(r)
+    assert all(abs(sum(r.taken for r in own) - own[0].target) <= 7 for own in by.values())
+
+
 # languages ---------------------------------------------------------------------------------------------------
 
 
