@@ -18,7 +18,8 @@ from tesserae.streaming import metrics, run
 
 
 def _stream(t: Tables, table: str) -> DataFrame:
-    return run.file_stream(t.spark, t.folder, f"{table}.parquet", t.table(table).schema)
+    # A table is one file or a folder of them. Spark streams from both when the path is a pattern.
+    return run.file_stream(t.spark, f"{t.folder}/{table}.parque[t]", "*", t.table(table).schema)
 
 
 def _updated(t: Tables, stream: DataFrame, name: str, keys: list[str]) -> DataFrame:

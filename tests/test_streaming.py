@@ -2,6 +2,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
+from tesserae.plans import catalogue
 from tesserae.sources import archive
 from tesserae.streaming import metrics, run
 
@@ -66,3 +67,18 @@ def test_archives_are_taken_once(spark, tmp_path):
     got = spark.read.parquet(out)
     assert got.count() == 8 and got.select("key").distinct().count() == 8
     assert got.agg(F.countDistinct("shard")).first()[0] == 2
+
+
+def test_streams_of_tables_in_one_file_or_many(spark, tmp_path):
+    catalogue.load()
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(45)], "doc_id bigint, text string")
+    vectors = spark.createDataFrame([(i, i % 3, [float(i), 1.0]) for i in range(9)], "vec_id bigint, label int, embedding array<float>")
+    many, one = tmp_path / "many", tmp_path / "one"
+    for name, rows in (("documents", docs), ("embeddings", vectors)):
+        rows.repartition(3).write.parquet(str(many / f"{name}.parquet"))
+        rows.coalesce(1).write.parquet(str(tmp_path / name))
+        one.mkdir(exist_ok=True)
+        next((tmp_path / name).glob("*.parquet")).rename(one / f"{name}.parquet")
+    for name, count in (("t1_incremental_ingest", 45), ("t3_online_inception_score", 1)):
+        found = [sorted(catalogue.QUERIES[name](spark, str(folder)).collect()) for folder in (one, many)]
+        assert found[0] == found[1] and len(found[0]) == count
