@@ -154,3 +154,19 @@ def test_no_pairs_and_too_many_thresholds(spark):
     assert det.matches(empty).count() == 0
     with pytest.raises(ValueError):
         det.matches(empty, tuple(k / 100 for k in range(63)))
+
+
+def test_points_are_not_moved_by_category(spark):
+    """Three categories would bring all points into three tasks."""
+    rows = [(i, i // 4, i % 3, 10 * (i % 4), 0, 8, 8, i / 400) for i in range(400)]
+    boxes = spark.createDataFrame(rows, "det_id bigint, image_id bigint, category_id bigint, x int, y int, w int, h int, score double")
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        best = det.best_detections(boxes)
+        points = det.precision_points(best, det.matches(det.overlaps(best, boxes)), boxes)
+        plan = points._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" not in plan and "ShuffledHashJoin" not in plan
+        assert points.count() == 10 * 400
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
