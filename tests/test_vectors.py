@@ -140,3 +140,18 @@ def test_large_codebook_with_repeated_text_keys(spark, clouds, monkeypatch):
     small = results()
     monkeypatch.setattr(nb, "MAX_CODEBOOK", 10)
     assert results() == small
+
+
+def test_rows_are_sent_to_groups_not_to_cells(spark, monkeypatch):
+    """Forty cells, a few groups: copies of a row do not grow with the number of cells."""
+    import pandas as pd
+
+    groups = nb._groups(pd.Series([10.0] * 40), np.ones(40, int), np.arange(40))
+    assert len({g for _, _, g in groups}) == nb.MIN_GROUPS and len(groups) == 40
+    monkeypatch.setattr(nb, "CELL_ROWS", 10)
+    values = np.random.default_rng(3).integers(0, 4, (400, 3)).astype(float)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(values)], "id bigint, v array<double>")
+    got = {(r["id"], r["place"]): r["other"] for r in nb.nearest(df, df, 3, block_rows=16).collect()}
+    for i, v in enumerate(values):
+        best = np.argsort(((values - v) ** 2).sum(1), kind="stable")[:3]
+        assert [got[i, place] for place in range(3)] == best.tolist()
