@@ -140,3 +140,13 @@ def test_nodes_at_level(spark, level):
     full = tree.complete_trees(ids(spark, 1))
     assert tree.nodes_at_level(full, level).count() == 4**level
     assert tree.copy_to_depth(full, level).agg(F.max("lod")).first()[0] == level
+
+
+def test_tasks_of_trees_grow_in_number(spark, monkeypatch):
+    """Full trees of one task fit its memory, however many trees there are."""
+    monkeypatch.setattr(tree, "TASK_TREES", 10)
+    ids = spark.range(300).withColumnRenamed("id", "tree_id")
+    nodes = tree.complete_trees(ids, 1)
+    assert nodes.rdd.getNumPartitions() == 30
+    assert nodes.count() == 300 * 5
+    assert tree.random_size_trees(ids, 1, 3).rdd.getNumPartitions() == 30
