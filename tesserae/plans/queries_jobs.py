@@ -168,7 +168,7 @@ def _(t: Tables):
 @query("s5_token_archives", _TOKEN_SAMPLES, "tokens")
 def _(t: Tables):
     path = _scratch(t, "token-archives")
-    token_io.write_token_archives(_samples(t), path)
+    token_io.write_token_archives(_samples(t), path, compressed=True)
     return _texts(token_io.read_token_archives(t.spark, path))
 
 

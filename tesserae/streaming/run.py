@@ -33,6 +33,7 @@ def shard_stream(
 
     archive.register(spark)
     reader = spark.readStream.format("samples").option("ledger", ledger).option("rows", rows)
+    reader = reader.option("tasks", spark.sparkContext.defaultParallelism)
     if ext:
         reader = reader.option("ext", ",".join(ext))
     if shards_per_trigger:
