@@ -7,12 +7,15 @@ are one row each.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tesserae.functions.core import uniform
 from tesserae.operators.ordering import number_rows
 
+#: Positions of a sample that are sorted together.
+BLOCK = 4096
+
 
 def lengths(tokens: DataFrame, sample: str = "sample_key") -> DataFrame:
     return tokens.groupBy(sample).agg(F.count(F.lit(1)).alias("len"))
@@ -63,22 +66,26 @@ def next_token_pairs(padded: DataFrame, sample: str = "sample_key", fill: int =
     """(sample, pos, input, target, valid) for next-token training.
 
     The target at a position is its own code, the input is the code before it (NULL at the
-    first position, where the class takes its place); filled inputs become 0. Each row is
-    sent to its own and to the next position, which is one shuffle and no self-join.
+    first position, where the class takes its place); filled inputs become 0. Rows are sorted
+    in blocks of a sample, and the last position of a block is sent to the next block too: one
+    shuffle, no self-join and no table of all rows in memory. Of rows with equal positions the largest code counts.
     """
-    code = F.col("code")
-    none = F.lit(None).cast("bigint")
-    sent = padded.select(
+    code, pos = F.col("code"), F.col("pos")
+    block = F.floor(pos / F.lit(BLOCK))
+    own = F.struct(block.alias("_block"), F.lit(True).alias("_own"))
+    following = F.struct((block + 1).alias("_block"), F.lit(False).alias("_own"))
+    both = F.when(F.pmod(pos, F.lit(BLOCK)) == BLOCK - 1, F.array(own, following)).otherwise(F.array(own))
+    sent = padded.select(sample, "pos", "code", F.explode(both).alias("_to")).select(sample, "pos", "code", "_to.*")
+    order = Window.partitionBy(sample, "_block").orderBy("pos")
+    pairs = sent.select(
         sample,
-        F.explode(
-            F.array(
-                F.struct(F.col("pos").alias("pos"), code.alias("t"), none.alias("i")),
-                F.struct((F.col("pos") + 1).alias("pos"), none.alias("t"), code.alias("i")),
-            )
-        ).alias("s"),
-    ).select(sample, "s.pos", "s.t", "s.i")
-    pairs = sent.groupBy(sample, "pos").agg(F.max("t").alias("target"), F.max("i").alias("prev"))
-    return pairs.filter(F.col("target").isNotNull()).select(
+        "pos",
+        "_own",
+        F.max(code).over(order.rangeBetween(0, 0)).alias("target"),
+        F.max(code).over(order.rangeBetween(-1, -1)).alias("prev"),
+        (F.row_number().over(order) == F.rank().over(order)).alias("_first"),
+    )
+    return pairs.filter(F.col("_own") & F.col("_first") & F.col("target").isNotNull()).select(
         sample,
         "pos",
         F.when(F.col("prev") == fill, F.lit(0).cast("bigint")).otherwise(F.col("prev")).alias("input"),
