@@ -115,6 +115,39 @@ def test_resumed_job_repeats_failed_shards(spark, tmp_path):
     assert spark.read.parquet(out).count() == 12
 
 
+def test_resumed_job_deals_small_shards_to_many_tasks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(jobs, "TASK_FOLDERS", 8, raising=False)
+    rows = spark.range(400).select((F.col("id") % 100).alias("shard"), F.col("id").alias("bytes"), F.lit(None).alias("bad").cast("int"))
+    out, log = tmp_path / "out", str(tmp_path / "log")
+    step = lambda df: df.withColumn("error", F.when(F.col("shard") == 7, F.lit("broken")))
+    status = jobs.run_resumable(rows.select("shard"), rows, step, str(out), log, "one").groupBy("status").count().collect()
+    assert {r["status"]: r["count"] for r in status} == {"SUCCESS": 99, "FAILED": 1}
+    files = list(out.glob("shard=*/*.parquet"))
+    assert len(files) == 99 and not (out / "shard=7").exists()
+    # The number of its task stands in the name of a file.
+    assert len({f.name.split("-")[1] for f in files}) > 8
+    back = spark.read.parquet(str(out))
+    assert sorted(back.columns) == ["bad", "bytes", "shard"]
+    assert sorted((r["shard"], r["bytes"]) for r in back.collect()) == sorted((i % 100, i) for i in range(400) if i % 100 != 7)
+
+
+def test_resumed_job_deals_a_large_shard_to_several_tasks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(jobs, "PART_BYTES", 4096, raising=False)
+    text, pair = F.repeat(F.lit("x"), 200).alias("text"), F.array("id", "id").alias("pair")
+    rows = spark.range(300).select(F.when(F.col("id") < 200, 0).otherwise(F.col("id") % 5 + 1).alias("shard"), text, pair)
+    out, log = tmp_path / "out", str(tmp_path / "log")
+    wanted = rows.select("shard")
+    step = lambda df: df.withColumn("error", F.lit(None).cast("string"))
+    # What an interrupted run left behind is replaced.
+    rows.filter("shard = 0").write.partitionBy("shard").parquet(str(out))
+    assert jobs.run_resumable(wanted, rows, step, str(out), log, "one").filter("status = 'SUCCESS'").count() == 6
+    assert len(list((out / "shard=0").glob("*.parquet"))) > 4
+    back = spark.read.parquet(str(out))
+    assert sorted((r["shard"], r["pair"][0], r["pair"][1], len(r["text"])) for r in back.collect()) == sorted(
+        (0 if i < 200 else i % 5 + 1, i, i, 200) for i in range(300)
+    )
+
+
 def test_extensions_lose_their_case():
     assert archive.split_member("a/b.JPEG") == ("a/b", "jpeg") and archive.split_member("c.Seg.PNG") == ("c", "seg.png")
 
