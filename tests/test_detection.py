@@ -170,3 +170,26 @@ def test_points_are_not_moved_by_category(spark):
         assert points.count() == 10 * 400
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+def test_summary_sorts_once_and_equals_its_parts(boxes, monkeypatch):
+    """One range sort and one matching for all twelve numbers; small batches cut groups and blocks."""
+    _, _, truth_df, found_df = boxes
+    spark, parts, kind = truth_df.sparkSession, {}, type(truth_df)
+    # Boxes of all three sizes, one of them just at a bound, and a category that is null.
+    truth_df = truth_df.selectExpr("det_id", "image_id", "CASE WHEN det_id % 31 = 5 THEN NULL ELSE category_id END AS category_id", "x", "y",
+                                   "CASE WHEN det_id % 3 = 0 THEN w * 6 WHEN det_id % 3 = 1 THEN 32 ELSE w END AS w", "CASE WHEN det_id % 3 = 0 THEN h * 5 WHEN det_id % 3 = 1 THEN 32 ELSE h END AS h")
+    found_df = truth_df.join(found_df.select("det_id", "score"), "det_id").withColumn("x", truth_df["x"] + truth_df["det_id"] % 5)
+    for limit, area, names in ((100, "all", ("ap", "ar100")), (10, "all", (None, "ar10")), (1, "all", (None, "ar1")), *((100, a, (f"ap_{a}", f"ar_{a}")) for a in ("small", "medium", "large"))):
+        row = det.summary(det.evaluate(found_df, truth_df, limit=limit, area=area)).first()
+        parts |= dict(zip(names, (row["ap"], row["ar"])))
+    sorts, sort = [], kind.repartitionByRange
+    monkeypatch.setattr(kind, "repartitionByRange", lambda self, *a: sorts.append(a) or sort(self, *a))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = {r["name"]: r["value"] for r in det.full_summary(found_df, truth_df).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len(sorts) == 1 and got["ap_large"] > 0 and got["ap_small"] > 0
+    parts.pop(None)
+    assert {k: got[k] for k in parts} == pytest.approx(parts, abs=1e-12)
