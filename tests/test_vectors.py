@@ -155,3 +155,44 @@ def test_rows_are_sent_to_groups_not_to_cells(spark, monkeypatch):
     for i, v in enumerate(values):
         best = np.argsort(((values - v) ** 2).sum(1), kind="stable")[:3]
         assert [got[i, place] for place in range(3)] == best.tolist()
+
+
+@pytest.mark.parametrize("spread", [1e-25, 1.0, 1e20])
+def test_screened_pairs_hold_all_within_the_limit(monkeypatch, spread):
+    monkeypatch.setattr(nb, "TILE", 1000)
+    monkeypatch.setattr(nb, "PAIRS", 64)
+    rng = np.random.default_rng(5)
+    a, b = rng.normal(size=(90, 7)) * spread + 3 * spread, rng.normal(size=(70, 7)) * spread + 3 * spread
+    b[:5] = a[:5]
+    d = ((a[:, None] - b[None]) ** 2).sum(2)
+    limit = np.sort(d, axis=1)[:, 3]
+    limit[0], limit[7] = 0.0, np.inf
+    got = {(int(i), int(j)): float(v) for part in nb._screened(a, b, limit) for i, j, v in zip(*part)}
+    assert all((i, j) in got for i, j in zip(*np.nonzero(d <= limit[:, None]))) and len(got) < 90 * 70 / 4
+    assert got[3, 3] == 0.0 and all(got[k] == pytest.approx(d[k], rel=1e-12) for k in got)
+
+
+def test_queries_look_nearby_first(spark, monkeypatch):
+    """Many cells, ids that repeat, duplicates of points and a far point: as all pairs give them."""
+    monkeypatch.setattr(nb, "CELL_ROWS", 16)
+    monkeypatch.setattr(nb, "GROUP_ROWS", 64)
+    rng = np.random.default_rng(6)
+    real = rng.normal(size=(400, 5)).round(1)
+    real[50:60], real[399] = real[40:50], 100.0
+    fake = np.concatenate([real[:200] + 0.01, rng.normal(size=(100, 5)) * 3, real[200:203]])
+    frame = lambda m, ids: spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, m)], "id bigint, v array<double>")
+    points, queries = frame(real, range(400)), frame(fake, [*range(300), 0, 1, 2])
+    radii = {r.id: r.radius for r in nb.manifold_radii(points).collect()}
+    dd = ((real[:, None] - real[None]) ** 2).sum(2)
+    assert radii == pytest.approx(dict(enumerate(np.sort(dd, axis=1)[:, 3])), rel=1e-9, abs=1e-12)
+    ball = np.array([radii[i] for i in range(400)])
+    d = ((fake[:, None] - real[None]) ** 2).sum(2)
+    d = [d[[i, 300 + i]] if i < 3 else d[[i]] for i in range(300)]
+    made = spark.createDataFrame(list(radii.items()), "id bigint, radius double")
+    rows = {r.id: r for r in nb.in_manifold(queries, points, made).collect()}
+    only = {r.id: r.inside for r in nb.in_manifold(queries, points, made, only_inside=True).collect()}
+    assert len(rows) == len(only) == 300
+    for i, e in enumerate(d):
+        assert rows[i].inside == only[i] == bool((e <= ball).any())
+        assert rows[i].realism == pytest.approx((ball / (e + nb.REALISM_EPS)).max(), rel=1e-9)
+        assert e[:, rows[i].nearest].min() == pytest.approx(e.min(), abs=1e-12)
